@@ -1,11 +1,268 @@
-"""Registered queries of the fragmentation engine."""
+"""Registered queries of the fragmentation engine, over the customer lattice."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import curves as C
+from ..operators import deletion as D
+from ..operators import network as N
+from ..operators import powerlaw as P
+from ..operators import sweep as S
+from ..operators import trial as T
+from ..operators import zoning as Z
+from ..operators.components import frozen, keyed_components, star_components
+from . import sql
+from . import surrogates as U
+
+PS, REPLICATES = [0.1, 0.2, 0.3, 0.4, 0.5], 2
+CENTRES = sql.CENTRES
+
+
+def _r(df: DataFrame, *cols: str, digits: int = 9) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in cols})
+
+
+def road_filter(spark: SparkSession, d: str) -> DataFrame:
+    return N.road_filter(U.lattice(spark, d)).select("edge_id", "MTFCC")
+
+
+def road_filter_main(spark, d):
+    return N.road_filter(U.lattice(spark, d), "main").select("edge_id", "MTFCC")
+
+
+def try_numeric_nodes(spark, d):
+    return N.id_nodes(U.messy(U.lattice(spark, d))).select("edge_id", "src", "dst")
+
+
+def self_loop_drop(spark, d):
+    return N.drop_self_loops(N.id_nodes(U.messy(U.lattice(spark, d)))).select("edge_id", "src", "dst")
+
+
+def _open(spark, d):
+    return U.network(spark, d, giant_only=False)
+
+
+def degree(spark, d):
+    return N.degree(_open(spark, d)).select("node", "degree")
+
+
+def network_summary(spark, d):
+    return _r(N.summary(U.network(spark, d)), "mean_degree", "total_km", *(f"deg_{k}_frac" for k in range(1, 6)))
+
+
+def node_coords(spark, d):
+    return N.nodes(_open(spark, d)).select("node", "x", "y")
+
+
+def geometric_noding(spark, d):
+    e = N.grid_nodes(U.lattice(spark, d).drop("TNIDF", "TNIDT"), tol=150.0)
+    return e.groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def components(spark, d):
+    return star_components(_open(spark, d).select("src", "dst"))
+
+
+def components_keyed(spark, d):
+    return keyed_components(_open(spark, d), ["fips"]).select("node", "label")
+
+
+def giant_component(spark, d):
+    return N.giant_labels(star_components(_open(spark, d), by=["fips"]), ["fips"])
+
+
+def restrict_giant(spark, d):
+    return U.network(spark, d).select("edge_id", "src", "dst", "length_m")
+
+
+def edge_midpoint(spark, d):
+    return _open(spark, d).select("edge_id", "mid_x", "mid_y")
+
+
+def point_in_zone_first_match(spark, d):
+    net = U.network(spark, d)
+    return Z.point_in_zone(net, U.zone_grid(spark, d, "medium"), 400.0).select("edge_id", "zone_idx")
+
+
+def edges_per_zone(spark, d):
+    net = U.network(spark, d)
+    return Z.edges_per_zone(Z.point_in_zone(net, U.zone_grid(spark, d, "medium"), 400.0)).select("zone_idx", "n_edges")
+
+
+def zone_anchor(spark, d):
+    net = U.network(spark, d)
+    _, zs = U.assigned(spark, d, net, ("medium",), drop_empty=False)
+    return zs.select("zone_id", "cx", "cy", "anchor_node")
+
+
+def drop_small_zones(spark, d):
+    net = U.network(spark, d)
+    ez, zs = U.assigned(spark, d, net, ("medium",))
+    return Z.edges_per_zone(ez).join(zs, ["fips", "level", "zone_idx"]).select("zone_idx", "zone_id", "n_edges", "anchor_node")
+
+
+def nearest_centre(spark, d):
+    """One round: each midpoint's nearest centre, then the centres' new places."""
+    near = Z.nearest_centre(U.network(spark, d).select("edge_id", "mid_x", "mid_y"), CENTRES)
+    return _r(near.groupBy("zone_idx").agg(F.count("*").alias("n"), F.avg("mid_x").alias("x"), F.avg("mid_y").alias("y")), "x", "y", digits=6)
+
+
+def pmedian(spark, d):
+    ez, zs = Z.assign_by_pmedian(U.network(spark, d), 5, fips=U.FIPS)
+    return Z.edges_per_zone(ez).join(zs, ["fips", "level", "zone_idx"]).select("zone_idx", "n_edges", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "anchor_node")
+
+
+def _sc(spark, ps=PS, replicates=REPLICATES, protocols=("random",), units=("edge",)):
+    return D.scenarios(spark, ps, replicates, protocols, units)
+
+
+def _deleted(spark, d, protocol, unit):
+    gone = D.deletions(U.network(spark, d), _sc(spark, protocols=(protocol,), units=(unit,)))
+    return gone.where("deleted").select("p_milli", "replicate", "edge_id")
+
+
+def delete_random_edge(spark, d):
+    return _deleted(spark, d, "random", "edge")
+
+
+def delete_fitness_edge(spark, d):
+    return _deleted(spark, d, "fitness", "edge")
+
+
+def delete_random_road(spark, d):
+    return _deleted(spark, d, "random", "road")
+
+
+def delete_fitness_road(spark, d):
+    return _deleted(spark, d, "fitness", "road")
+
+
+def _trial(spark, d, scope, strict=False):
+    net = U.network(spark, d)
+    ez, zs = U.assigned(spark, d, net)
+    gone = frozen(D.deletions(net, _sc(spark)))
+    return T.per_zone(gone, ez, zs, scope, strict)
+
+
+def trial_county(spark, d):
+    return _trial(spark, d, "county").select("p_milli", "replicate", "level", "zone_idx", "n_total", "n_deleted", "n_marooned")
+
+
+def trial_zone(spark, d):
+    return _trial(spark, d, "zone").select("p_milli", "replicate", "level", "zone_idx", "n_total", "n_deleted", "n_marooned")
+
+
+def trial_zone_strict(spark, d):
+    return _trial(spark, d, "zone", True).select("p_milli", "replicate", "level", "zone_idx", "n_total", "n_deleted", "n_marooned")
+
+
+def trial_km(spark, d):
+    return _r(_trial(spark, d, "county"), "km_total", "km_lost", digits=6).select("p_milli", "replicate", "level", "zone_idx", "km_total", "km_lost")
+
+
+def trial_global(spark, d):
+    gone = frozen(D.deletions(U.network(spark, d), _sc(spark)))
+    return _r(T.diagnostics(gone, T.surviving_labels(gone)), "giant_frac", "second_frac").select("p_milli", "replicate", "giant_frac", "second_frac", "n_components")
+
+
+def _swept(spark, d, scopes=("county", "zone")):
+    net = U.network(spark, d)
+    ez, zs = U.assigned(spark, d, net)
+    return net, *S.sweep(net, ez, zs, _sc(spark), scopes, [0.2])
+
+
+def sweep_global(spark, d):
+    return _r(_swept(spark, d)[1], "frag_nominal", "frag_effective", "marooned_frac", "zone_mean_frag_effective", "giant_frac", "second_frac")
+
+
+def sweep_zone_detail(spark, d):
+    return _r(_swept(spark, d)[2], "frag_nominal", "frag_marooned", "frag_effective")
+
+
+def _zones_at(spark, d):
+    return frozen(_r(_swept(spark, d, ("county",))[2], "frag_nominal", "frag_marooned", "frag_effective"))
+
+
+def rank_curves(spark, d):
+    return C.rank_curves(_zones_at(spark, d)).select("level", "zone_id", "frag_effective", F.round("norm_rank", 9).alias("norm_rank"))
+
+
+def curve_summary(spark, d):
+    s = C.curve_summary(C.rank_curves(_zones_at(spark, d)))
+    return _r(s, "median_frag", "rank_at_50pct", digits=9).withColumn("tail_slope_ols", F.round("tail_slope_ols", 6)).select("level", "n_zones", "median_frag", "rank_at_50pct", "tail_slope_ols")
+
+
+def estimate_pc(spark, d):
+    return _r(C.estimate_pc(_swept(spark, d, ("county",))[1]), "max_second_frac").select("level", "pc_second_peak", "max_second_frac", "pc_giant_half")
+
+
+def county_summary(spark, d):
+    net, g, z = _swept(spark, d, ("county",))
+    s = C.county_summary(C.rank_curves(z), g, N.summary(net))
+    return _r(s, "median_frag", "mean_degree", "total_km").select("fips", "level", "n_zones", "median_frag", "pc_second_peak", "pc_giant_half", "n_nodes", "n_edges", "mean_degree", "total_km")
+
+
+def percolation_means(spark, d):
+    m = C.percolation_means(_swept(spark, d, ("county",))[1])
+    return _r(m, "giant_frac", "second_frac", "frag_effective").select("level", "p", "giant_frac", "second_frac", "frag_effective")
+
+
+def _hist(spark, d):
+    return P.histogram(P.cluster_sizes(U.network(spark, d), 0.4, 4), ["fips"])
+
+
+def cluster_sizes(spark, d):
+    return _hist(spark, d).select(F.col("size").cast("bigint").alias("size"), "n")
+
+
+def ccdf(spark, d):
+    return P.ccdf(_hist(spark, d), ["fips"]).select("size", F.round("ccdf", 9).alias("ccdf"))
+
+
+def powerlaw_mle(spark, d):
+    return _r(P.fit_powerlaw(frozen(_hist(spark, d)), ["fips"]), "alpha", "ks", digits=6).select("alpha", "xmin", "n_tail", "ks")
+
+
+def critical_exponent(spark, d):
+    return _r(P.critical_exponent(U.network(spark, d), 0.4, 4), "alpha", "ks", "tau_2d_reference", digits=6).select("alpha", "xmin", "n_tail", "ks", "p", "tau_2d_reference")
+
+
+def marooned_score_rank(spark, d):
+    s = C.scored(_zones_at(spark, d), "medium", "county")
+    return _r(s, "marooned", "score", "norm_rank", digits=6).select("zone_id", "n_edges", "marooned", "score", "rank", "norm_rank")
+
+
+def score_powerfit(spark, d):
+    f = C.power_fit(C.scored(_zones_at(spark, d)), ["fips", "level"])
+    return _r(f, "a", "b", "r2", digits=6).select("fips", "level", "n_zones", "a", "b", "r2")
+
+
+def overlay_rescale(spark, d):
+    f = C.overlay(C.power_fit(C.scored(_zones_at(spark, d)), ["fips", "level"]))
+    return _r(f, "a_norm", "b", digits=6).select("fips", "level", "a_norm", "b")
+
+
+def restart_antijoin(spark, d):
+    """Counties (nations here) still to do, given those done (with a supplier of a balance above 9000)."""
+    nation = spark.read.parquet(f"{d}/nation.parquet").select(F.lpad(F.col("n_nationkey").cast("string"), 5, "0").alias("fips"))
+    done = spark.read.parquet(f"{d}/supplier.parquet").where("s_acctbal > 9000").select(F.lpad(F.col("s_nationkey").cast("string"), 5, "0").alias("fips"))
+    return nation.join(done, "fips", "left_anti")
+
+
+_ALL = (
+    road_filter, road_filter_main, try_numeric_nodes, self_loop_drop, degree, network_summary, node_coords, geometric_noding, components, components_keyed,
+    giant_component, restrict_giant, edge_midpoint, point_in_zone_first_match, edges_per_zone, zone_anchor, drop_small_zones, nearest_centre, pmedian,
+    delete_random_edge, delete_fitness_edge, delete_random_road, delete_fitness_road, trial_county, trial_zone, trial_zone_strict, trial_km, trial_global,
+    sweep_global, sweep_zone_detail, rank_curves, curve_summary, estimate_pc, county_summary, percolation_means, cluster_sizes, ccdf, powerlaw_mle,
+    critical_exponent, marooned_score_rank, score_powerfit, overlay_rescale, restart_antijoin,
+)
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.all_queries()
