@@ -63,15 +63,18 @@ def drop_recurring_lines(docs: DataFrame, depth: int = 3, agree: int = 3, min_do
     gone = mine.join(found.select("template", "first"), "template").where(~F.col("id").eqNullSafe(F.col("first")))
     marks = gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("pos")).alias("_gone"))
     named = marks.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "_gone")
-    out = docs.join(named, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_th")), "left")
-    return cut(out, text_col).drop("_id", "_th", "_gone")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    own = F.col("_row")[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("_row")[text_col]) == F.col("_th"))
+    text, n_lines, n_dropped = cut(F.col("_row")[text_col])
+    kept = [(text if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return rows.join(named, own, "left").select(*kept, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
-def cut(df: DataFrame, text_col: str) -> DataFrame:
-    """text_col without the lines at the sorted positions in _gone, in time linear in the lines.
+def cut(text: Column) -> tuple[Column, Column, Column]:
+    """A text without the lines at the sorted positions in _gone, its lines with words, and how many are gone.
 
-    What lies between two positions is a slice; the split text is bound once, as the only
-    element of an array."""
+    Linear in the lines: what lies between two positions is a slice, and the split text is
+    bound once, as the only element of an array."""
     gone = F.coalesce("_gone", F.array().cast("array<int>"))
 
     def between(parts: Column) -> Column:
@@ -81,10 +84,8 @@ def cut(df: DataFrame, text_col: str) -> DataFrame:
 
         return F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), piece))
 
-    kept = F.element_at(F.transform(F.array(F.split(text_col, "\n")), between), 1)
+    kept = F.element_at(F.transform(F.array(F.split(text, "\n")), between), 1)
     left = F.array_join(kept, "\n")
-    return df.withColumns({
-        "n_lines": F.coalesce(F.regexp_count(F.concat(F.lit("\n"), F.col(text_col)), F.lit(r"\n[^\n]*?[^\x20\x09-\x0D][^\n]*")), F.lit(0)).cast("long"),
-        "n_dropped": F.size(gone).cast("long"),
-        text_col: F.when(F.size(gone) == 0, F.col(text_col)).otherwise(F.when(F.regexp_like(left, F.lit(WORD)), left).otherwise(F.lit(""))),
-    })
+    n_lines = F.coalesce(F.regexp_count(F.concat(F.lit("\n"), text), F.lit(r"\n[^\n]*?[^\x20\x09-\x0D][^\n]*")), F.lit(0)).cast("long")
+    new = F.when(F.size(gone) == 0, text).otherwise(F.when(F.regexp_like(left, F.lit(WORD)), left).otherwise(F.lit("")))
+    return new, n_lines, F.size(gone).cast("long")

@@ -48,12 +48,12 @@ def targets(totals: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: fl
     return by.withColumn("target", F.least(most, F.col("_w") * F.lit(level))).drop("_w")
 
 
-def _taken(docs: DataFrame, weights, share: float, cap: float, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    """docs with _g, _key, size, source_size, target and taken."""
+def _taken(docs: DataFrame, carry: list[str], weights, share: float, cap: float, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    """_row (a struct of the columns ``carry``), size, source_size, target and taken."""
     key = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("long")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    keyed = docs.withColumns({"_g": null_safe(source_col), "_key": key, "size": size})
-    slim = frozen(keyed.select("_g", F.col(source_col).alias("source"), "_key", "size"))
+    keyed = docs.select(F.struct(*carry).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), null_safe(source_col).alias("_g"), key.alias("_key"), size.alias("size"))
+    slim = frozen(keyed.select("_g", F.col("_source").alias("source"), "_key", "size"))
     n = slim.count()
     bits = max(8, math.ceil(math.log2(max(1, n / 100_000))))
     bucket = F.shiftrightunsigned("_key", 52 - bits).alias("_bucket")
@@ -64,19 +64,18 @@ def _taken(docs: DataFrame, weights, share: float, cap: float, id_col: str, sour
         sums.select("_g", "_bucket", F.coalesce(before, F.lit(0)).alias("_base"))
         .join(per_source.select("_g", "source_size", "target"), "_g")
     )
-    at = W.partitionBy("_g", "_bucket").orderBy("_key", F.col(id_col), "size").rowsBetween(W.unboundedPreceding, -1)
+    at = W.partitionBy("_g", "_bucket").orderBy("_key", "_id", "size").rowsBetween(W.unboundedPreceding, -1)
     out = keyed.withColumn("_bucket", bucket).join(base, ["_g", "_bucket"]).withColumn("_at", F.col("_base") + F.coalesce(F.sum("size").over(at), F.lit(0)))
     budget = F.floor("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as long) div source_size")).otherwise(F.lit(0))
     rest = budget - whole * F.col("source_size") - F.col("_at")
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return out.withColumn("taken", taken.cast("long")).drop("_bucket", "_base", "_at")
+    return out.select("_row", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (words, repeats counted)."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    return _taken(slim, weights, share, cap, "doc_id", "source", "text").select("doc_id", "size", "source_size", "target", "taken")
+    return _taken(docs, [id_col], weights, share, cap, id_col, source_col, text_col).select(F.col("_row")[id_col].alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -85,10 +84,11 @@ def mixed_documents(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap:
     The one document of a source at its budget's edge is cut after the words that remain, so
     that every source holds its budget exactly. Documents of no words take no words of any
     budget and are passed on once."""
-    out = _taken(docs, weights, share, cap, id_col, source_col, text_col)
+    out = _taken(docs, docs.columns, weights, share, cap, id_col, source_col, text_col)
     copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.ceil(F.col("taken") / F.col("size"))).cast("int")
     out = out.withColumn("_copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))))
     left = F.col("taken") - (F.col("_copy") - 1) * F.col("size")
-    cut = F.concat(F.lit(r"^([\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), left.cast("string"), F.lit("}"))
-    out = out.withColumn(text_col, F.when(left < F.col("size"), F.regexp_substr(F.col(text_col), cut)).otherwise(F.col(text_col)))
-    return out.select(*docs.columns)
+    text = F.col("_row")[text_col]
+    head = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1), F.lit(1), F.greatest(left, F.lit(0)).cast("int")), "")
+    new = F.when(left < F.col("size"), head).otherwise(text)
+    return out.select(*[(new if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns])

@@ -208,8 +208,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component: that of the component's id, once. Null ids stay."""
-    keep = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
+    keep = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("__near_id"), F.col("th").alias("__near_th")).distinct()
     th = F.xxhash64("text")
-    one = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (th == F.col("_th")), "left_semi")
-    named = one.where(F.col("doc_id").isNotNull()).withColumn("_th", th).dropDuplicates(["doc_id", "_th"]).drop("_th")
+    one = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__near_id")) & (th == F.col("__near_th")), "left_semi")
+    named = one.where(F.col("doc_id").isNotNull()).withColumn("__near_th", th).dropDuplicates(["doc_id", "__near_th"]).drop("__near_th")
     return named.unionByName(one.where(F.col("doc_id").isNull()))

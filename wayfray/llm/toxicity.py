@@ -173,9 +173,12 @@ def toxic_labels(labels: DataFrame) -> DataFrame:
 
 def _features_of(model, which: int, keep: list[str]):
     """Batches with text -> columns ``keep`` and _f, under table ``which`` of the broadcast models."""
+    known: list[WordRatios] = []  # one for a task, as closures are shipped empty
 
     def each(batches):
-        ratios = WordRatios(model.value[which])
+        if not known:
+            known.append(WordRatios(model.value[which]))
+        ratios = known[0]
         for b in batches:
             texts = [tokens(t) for t in b.column("text").to_pylist()]
             found = []
@@ -212,18 +215,38 @@ def trained(docs: DataFrame, labels: DataFrame, fit_rows: int):
     return model, _logistic(x, np.array([r["toxic"] for r in sample], float))
 
 
-def scores(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, keep: list[str] | None = None) -> DataFrame:
-    """keep (doc_id by default) with score (0 to 1) and predicted (1 if score >= 0.5, else 0)."""
-    keep = keep or ["doc_id"]
+def _scored(docs: DataFrame, labels: DataFrame, fit_rows: int):
+    """Batches -> (batch, scores)."""
     model, w = trained(docs, labels, fit_rows)
-    kinds = dict(docs.dtypes)
-    slim = docs.select(*keep, *(["text"] if "text" not in keep else []))
-    over = _features_of(model, 1, keep)
+    over = _features_of(model, 1, [])
 
     def each(batches):
-        for b in over(batches):
-            z = np.array(b.column("_f").to_pylist(), float).reshape(-1, N_FEATURES) @ w[:-1] + w[-1]
-            score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
+        for b in batches:
+            found = next(over(iter([b])))
+            z = np.array(found.column("_f").to_pylist(), float).reshape(-1, N_FEATURES) @ w[:-1] + w[-1]
+            yield b, 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    return each
+
+
+def scores(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> DataFrame:
+    """doc_id with score (0 to 1) and predicted (1 if score >= 0.5, else 0)."""
+    slim = docs.select("doc_id", "text")
+    over = _scored(docs, labels, fit_rows)
+
+    def each(batches):
+        for b, score in over(batches):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+
+    return arrow_map(slim, each, f"doc_id {dict(slim.dtypes)['doc_id']}, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> DataFrame:
+    """The rows of docs that the models don't predict toxic."""
+    over = _scored(docs, labels, fit_rows)
+
+    def each(batches):
+        for b, score in over(batches):
+            yield b.filter(pa.array(score < 0.5))
 
-    return arrow_map(slim, each, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double, predicted int")
+    return arrow_map(docs, each, docs.schema)
