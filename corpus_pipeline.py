@@ -14,7 +14,7 @@ from wayfray.llm.queries import tokenizer_path
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models reject go."""
-    return toxicity.scores(docs, table(spark, sf_dir, "labels"), keep=docs.columns).where("predicted = 0").select(*docs.columns)
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
