@@ -1 +1 @@
-
+"""Operators on networks, zones and sweeps."""

@@ -1 +1 @@
-
+"""Plans: experiments and registered queries."""

@@ -1 +1 @@
-
+"""Where layers and results come from and go to."""

@@ -1 +1 @@
-
+"""Nothing streams here: every input is a finite table, and restarts are an anti-join with what is done."""
