@@ -31,11 +31,13 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--outdir", default="results")
     s.add_argument("--seed", type=int, default=0)
     s.add_argument("--describe-only", action="store_true")
+    s.add_argument("--quiet", action="store_true", help="log errors only")
     f = sub.add_parser("fit", help="power fits of marooned scores")
     f.add_argument("--results", default="results")
     f.add_argument("--fips", nargs="*", help="all with results, if none is named")
     f.add_argument("--level", default="tract")
     f.add_argument("--scope", default="county")
+    f.add_argument("--xaxis", default="rank", choices=["rank", "norm_rank"])
     f.add_argument("--outdir", default=None)
     return top
 
@@ -43,11 +45,13 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName("wayfray").getOrCreate()
+    if getattr(a, "quiet", False):
+        spark.sparkContext.setLogLevel("ERROR")
     if a.command == "fit":
         zone = L.read_results(spark, a.results, "zones")
         if a.fips:
             zone = zone.where(zone.fips.isin([str(x).zfill(5) for x in a.fips]))
-        scored, fits = P.postprocess(zone, a.level, a.scope)
+        scored, fits = P.postprocess(zone, a.level, a.scope, a.xaxis)
         if a.outdir:
             L.write_results({"powerlaw": scored, "powerlaw_summary": fits}, a.outdir)
         fits.show(100, truncate=False)

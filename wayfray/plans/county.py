@@ -74,7 +74,7 @@ def run_many(spark: SparkSession, fips: Iterable[str], outdir: str, skip_existin
         return None
 
 
-def postprocess(zone: DataFrame, level: str = "tract", scope: str = "county") -> tuple[DataFrame, DataFrame]:
-    """Scored zones and their power fits, a row per county; counties of fewer than two positive scores have no fit."""
+def postprocess(zone: DataFrame, level: str = "tract", scope: str = "county", x: str = "rank") -> tuple[DataFrame, DataFrame]:
+    """Scored zones and their power fits over rank or norm_rank, a row per county; counties of fewer than two positive scores have no fit."""
     s = C.scored(zone, level, scope)
-    return s, C.overlay(C.power_fit(s, ["fips"]))
+    return s, C.overlay(C.power_fit(s, ["fips"], x))
