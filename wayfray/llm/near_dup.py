@@ -7,10 +7,12 @@ is indexed with each of its symbols left out in turn, so all such pairs meet in
 (At a similarity of 0.8 the expected difference is a fifth of the symbols; with 14 chunks
 of 5 a pair misses all buckets with probability 8e-9.)
 
-No bucket emits its pairs. First each bucket's least class is checked against the rest and
-components are formed; then only buckets that still hold several components compare
-members of different components, block by block, on signatures; what passes is checked.
-Every check is on whole shingle sets.
+No bucket emits its pairs. First each bucket's head, the class that meets most others, is
+checked against the rest and components are formed. Then only buckets that still hold
+several components compare members of different components, block by block, and emit no
+more than a spanning forest of links; members travel as their differences from the head's
+set, from which two members' whole sets are compared exactly. Every check is on whole
+shingle sets.
 
 Defined cases: null, empty and word-less texts have an empty set, no link, and are kept; a
 text of fewer words than a shingle is one shingle; repeated rows are copies of each other
@@ -38,7 +40,7 @@ _A = _rng.integers(1, 2**63, H, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, H, np.uint64)
 _SALT = _rng.integers(0, 2**63, (CHUNKS, SYMBOLS), np.uint64)
 #: Members of a bucket that are compared at a time.
-BLOCK = 256
+BLOCK = 1024
 
 
 def shingles(text: bytes | None, words: WordHashes, k: int) -> np.ndarray:
@@ -111,25 +113,52 @@ def _prefiltered(percent: int):
     return each
 
 
-def _within(percent: int):
-    """Pairs of a bucket's members in different components that may be linked. Members stand in one or two blocks."""
+def spanning_links(comp: np.ndarray, n: np.ndarray, deltas: list[np.ndarray], first: np.ndarray, percent: int):
+    """Links between members of different components, enough to join all that are linked.
+
+    A member is given by the size of its set and by how the set differs from the bucket's
+    head; two members differ by the symmetric difference of these. first: whether a member
+    stands in the first block; pairs have a member there."""
+    root = {x: x for x in comp.tolist()}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    own = np.array([len(d) for d in deltas])
+    values = np.unique(np.concatenate(deltas)) if len(deltas) else np.zeros(0, np.int64)
+    at = [np.searchsorted(values, d) for d in deltas]
+    for i in np.flatnonzero(first):
+        mark = np.zeros(len(values), bool)
+        mark[at[i]] = True
+        mine = find(int(comp[i]))
+        near = 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
+        near &= (100 + percent) * np.abs(own - own[i]) <= (100 - percent) * (n + n[i])  # the difference is at least this
+        near[: i + 1] &= ~first[: i + 1]
+        for j in np.flatnonzero(near):
+            other = find(int(comp[j]))
+            if other != mine:
+                apart = own[i] + own[j] - 2 * int(mark[at[j]].sum())
+                if 100 * (n[i] + n[j] - apart) >= percent * (n[i] + n[j] + apart):
+                    yield int(i), int(j)
+                    root[other] = mine
+
 
+def _within(percent: int):
     def each(batches):
         for b in batches:
             xs, ys = [], []
             for members in b.column("members").to_pylist():
-                c = np.array([m["c"] for m in members])
-                comp = np.array([m["comp"] for m in members])
-                n = np.array([m["n"] for m in members])
-                blk = np.array([m["blk"] for m in members])
-                s = np.frombuffer(b"".join(m["sig"] for m in members), np.uint16).reshape(-1, H)
-                low, high = blk.min(), blk.max()
-                for i in np.flatnonzero(blk == low):
-                    rest = np.flatnonzero((comp != comp[i]) & ((blk == high) if low != high else (np.arange(len(c)) > i)))
-                    if len(rest):
-                        rest = rest[_alike(s[i][None], s[rest], n[i], n[rest], percent)]
-                        xs += np.minimum(c[i], c[rest]).tolist()
-                        ys += np.maximum(c[i], c[rest]).tolist()
+                c = [m["c"] for m in members]
+                comp, n, blk = (np.array([m[k] for m in members]) for k in ("comp", "n", "blk"))
+                if (comp == comp[0]).all():
+                    continue
+                deltas = [np.array(m["delta"], np.int64) for m in members]
+                for i, j in spanning_links(comp, n, deltas, blk == blk.min(), percent):
+                    xs.append(c[i])
+                    ys.append(c[j])
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
 
     return each
@@ -146,16 +175,16 @@ def _sets(k: int):
     return each
 
 
-def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (x, y) of classes whose whole sets are similar enough."""
-    pairs = frozen(pairs.distinct())
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("c")).distinct()
-    who = classes.join(ids, "c").select(F.col("rep").alias("doc_id"), "c", "fp")
+def _sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """c, s: the whole shingle sets of the classes in ids, each from its document of least id."""
+    who = classes.join(ids, "c", "left_semi").select(F.col("rep").alias("doc_id"), "c", "fp")
     texts = docs.select("doc_id", "text").join(who, "doc_id").select("c", "fp", "text")
-    sets = frozen(arrow_map(texts, _sets(k), "c long, s array<long>").dropDuplicates(["c"]))
-    both = pairs.join(sets.select(F.col("c").alias("x"), F.col("s").alias("a")), "x").join(sets.select(F.col("c").alias("y"), F.col("s").alias("b")), "y")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("x", "y")
+    return frozen(arrow_map(texts, _sets(k), "c long, s array<long>").dropDuplicates(["c"]))
+
+
+def _both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """x, y with their sets a, b."""
+    return pairs.join(sets.select(F.col("c").alias("x"), F.col("s").alias("a")), "x").join(sets.select(F.col("c").alias("y"), F.col("s").alias("b")), "y")
 
 
 def classes_of(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -169,30 +198,35 @@ def classes_of(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 def linked_classes(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """node, label: classes with links and their components."""
     index = arrow_map(classes.select("c", "sig"), _keys, "c long, keys array<long>").select("c", F.explode("keys").alias("key"))
-    heads = index.groupBy("key").agg(F.min("c").alias("x"), F.count("*").alias("n")).where("n > 1")
-    met = frozen(index.join(heads, "key"))
+    shared = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = frozen(index.join(shared, "key"))
+    # the head of a bucket: its class that meets most others, which near copies of one text have in common
+    weight = met.groupBy("c").agg(F.sum("n").alias("w"))
+    heads = met.join(weight, "c").groupBy("key").agg(F.max(F.struct("w", "c")).getField("c").alias("x"))
+    met = frozen(met.join(heads, "key"))
     side = lambda c, s, n: classes.select(F.col("c").alias(c), F.col("sig").alias(s), F.col("n").alias(n))
     star = met.where("c <> x").select("x", F.col("c").alias("y")).distinct()
-    near = arrow_map(star.join(side("x", "sa", "na"), "x").join(side("y", "sb", "nb"), "y"), _prefiltered(percent), "x long, y long")
-    first = frozen(_linked(docs, classes, near, k, percent))
+    near = frozen(arrow_map(star.join(side("x", "sa", "na"), "x").join(side("y", "sb", "nb"), "y"), _prefiltered(percent), "x long, y long"))
+    wanted = near.select(F.explode(F.array("x", "y")).alias("c")).union(met.where("n > 2").select("c")).distinct()
+    sets = _sets_of(docs, classes, wanted, k)
+    common = F.size(F.array_intersect("a", "b"))
+    first = frozen(_both(near, sets).where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("x", "y"))
     comp = frozen(star_components(first, src="x", dst="y"))
-    # buckets of three or more members that still hold several components
-    placed = met.where("n > 2").join(comp.withColumnRenamed("node", "c"), "c", "left").select("key", "n", "c", F.coalesce("label", "c").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a < _b").select("key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    held = placed.join(mixed, "key").withColumn("nb", blocks).withColumn("blk", F.pmod(F.hash("c", "key"), F.col("nb")))
-    held = held.join(classes.select("c", "sig", F.col("n").alias("size")), "c")
+    # buckets of three or more classes that still hold several components; equal buckets once
+    placed = met.where("n > 2").join(comp.withColumnRenamed("node", "c"), "c", "left").select("key", "n", "x", "c", F.coalesce("label", "c").alias("comp"))
+    alike = placed.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.max("x").alias("_x"), F.count("*").alias("_n"), F.bit_xor(F.xxhash64("c")).alias("_h"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("_g"))
+    mixed = alike.where("_a < _b").groupBy("_x", "_n", "_h", "_g").agg(F.min("key").alias("key")).select("key")
+    held = frozen(placed.join(mixed, "key", "left_semi"))
+    apart = F.concat(F.array_except("a", "b"), F.array_except("b", "a"))
+    deltas = frozen(_both(held.where("x <> c").select("x", F.col("c").alias("y")).distinct(), sets).select("x", F.col("y").alias("c"), apart.alias("delta")))
+    held = held.join(deltas, ["x", "c"], "left").withColumn("delta", F.coalesce("delta", F.array().cast("array<bigint>")))
+    held = held.withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.hash("c", "key"), F.col("nb")))
+    held = held.join(classes.select("c", F.col("n").alias("size")), "c")
     met_by = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least(F.col("blk"), j).alias("i"), F.greatest(F.col("blk"), j).alias("j")))
     dealt = held.withColumn("at", F.explode(met_by))
-    groups = dealt.groupBy("key", "at").agg(F.collect_list(F.struct("c", "comp", F.col("size").alias("n"), "sig", "blk")).alias("members"))
-    more = arrow_map(groups.select("members"), _within(percent), "x long, y long").distinct().join(near_or(star), ["x", "y"], "left_anti")
-    second = frozen(_linked(docs, classes, more, k, percent))
-    return star_components(first.union(second), src="x", dst="y")
-
-
-def near_or(star: DataFrame) -> DataFrame:
-    """Pairs that were checked already, the smaller class first."""
-    return star.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    groups = dealt.groupBy("key", "at").agg(F.collect_list(F.struct("c", "comp", F.col("size").alias("n"), "delta", "blk")).alias("members"))
+    more = arrow_map(groups.select("members"), _within(percent), "x long, y long")
+    return star_components(first.union(more), src="x", dst="y")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
