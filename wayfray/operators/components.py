@@ -25,8 +25,9 @@ def star_components(edges: DataFrame, by: list[str] | None = None, src: str = "s
     pre-aggregated and joined back."""
     by = by or []
     e = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(*by, F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
+    e = frozen(e.distinct())
     nodes = e.select(*by, F.explode(F.array("u", "v")).alias("node")).distinct()
-    e = frozen(e.where("u <> v").distinct())
+    e = e.where("u <> v")
     last = None
     for _ in range(rounds):
         now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
