@@ -229,6 +229,8 @@ def test_host_rates_shrink(spark):
         ("plus four four two zero seven nine four six zero nine five eight", "", "phone:0:64"),
         ("192[.]168[.]1[.]7", "", "ip:0:17"),
         ("４111 1111 1111 1111", "", "card:0:19"),
+        ("one nine two dot one six eight dot one dot one", "", "ip:0:46"),
+        ("+1 (3O3) 555-I2I2", "", "phone:0:17"),
         ("é 10.0.0.256 and 10.0.0.25", "ip:17:26", "ip:17:26"),
         ("+1 (303) 555-1212 x", "phone:0:17", "phone:0:17"),
         ("we met at the cafe.Then we left at noon dot", "", ""),

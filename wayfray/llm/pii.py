@@ -52,7 +52,12 @@ DIGIT_WORDS = {
 _DW = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _ODD = re.compile("[̀-\U0010ffff­²³¹]")
 _TWO_DIGIT_WORDS = re.compile(rf"\b(?:{_DW})[\s,.-]{{1,3}}(?:{_DW})\b", re.I)
-_DIGIT_RUN = re.compile(rf"(?:\bplus[\s-]+)?\b(?:{_DW}|[0-9]+)(?:[\s,-]{{1,2}}(?:{_DW}|[0-9]+)\b)+", re.I)
+_DOTS = "dot|punkt|punto|point"
+_DIGIT_RUN = re.compile(rf"(?:\bplus[\s-]+)?\b(?:{_DW}|[0-9]+)(?:(?:[\s,-]{{1,2}}|[ \t]+(?:{_DOTS})[ \t]+)(?:{_DW}|[0-9]+)\b)+", re.I)
+#: Letters that stand for digits inside a number (fixed values).
+DIGIT_LETTERS = {"O": "0", "o": "0", "I": "1", "l": "1"}
+_MIXED = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl]*(?:[0-9][OoIl]|[OoIl][0-9])[0-9OoIl]*(?![A-Za-z0-9])")
+_LETTER = re.compile(r"[OoIl]")
 _IN_RUN = re.compile(rf"plus|{_DW}|[0-9]", re.I)
 _DOT_HINT = re.compile(r"dot|punkt|punto|point|[\[({<]\s*[.@]|[\[({<]\s*(?:at|arobase)\b|&#|&(?:commat|period);|%40", re.I)
 _AT_BRACKET = re.compile(r"[ \t]*[\[({<][ \t]*(?:at|arobase|@)[ \t]*[\])}>][ \t]*", re.I)
@@ -126,15 +131,19 @@ def _plain(c: str) -> str:
 
 
 def _digits(m: re.Match) -> list[tuple[int, int, str]]:
-    """One piece for each digit or digit word of a run; the separators between two of which one is spelled go."""
+    """One piece for each digit or digit word of a run; the separators between two of which one is spelled go, and dot words become dots."""
     pieces, at = [], None
     for x in _IN_RUN.finditer(m[0]):
         w = x[0].lower()
         new = "+" if w == "plus" else DIGIT_WORDS.get(w, w)
         a, b = m.start() + x.start(), m.start() + x.end()
         spelled = new != w
-        if at is not None and a > at[0] and (spelled or at[1]):
-            pieces.append((at[0], a, ""))
+        if at is not None and a > at[0]:
+            between = m.string[at[0] : a]
+            if not between.isascii() or any(c.isalpha() for c in between):
+                pieces.append((at[0], a, "."))
+            elif spelled or at[1]:
+                pieces.append((at[0], a, ""))
         if spelled:
             pieces.append((a, b, new))
         at = (b, spelled)
@@ -152,13 +161,15 @@ def _spelled(t: Tape, m: re.Match) -> list[tuple[int, int, str]]:
 
 def deobfuscated(text: str) -> Tape | None:
     """None if nothing in the text looks disguised."""
-    odd, words, dots = _ODD.search(text), _TWO_DIGIT_WORDS.search(text), _DOT_HINT.search(text)
-    if not (odd or words or dots):
+    odd, words, dots, mixed = _ODD.search(text), _TWO_DIGIT_WORDS.search(text), _DOT_HINT.search(text), _MIXED.search(text)
+    if not (odd or words or dots or mixed):
         return None
     t = Tape(text)
     whole = lambda new: lambda m: [(m.start(), m.end(), new)]
     if odd:
         t.rewrite(_ODD, lambda m: [] if (p := _plain(m[0])) == m[0] else [(m.start(), m.end(), p)])
+    if mixed:
+        t.rewrite(_MIXED, lambda m: [(m.start() + x.start(), m.start() + x.end(), DIGIT_LETTERS[x[0]]) for x in _LETTER.finditer(m[0])])
     for p, new in ((_AT_CODE, "@"), (_DOT_CODE, "."), (_AT_BRACKET, "@"), (_DOT_BRACKET, ".")) if dots else ():
         t.rewrite(p, whole(new))
     if words or odd and _TWO_DIGIT_WORDS.search(t.text):
