@@ -40,7 +40,7 @@ class WordIds(dict):
     The tokenizer's pre-tokenizer never joins characters across white space, so a text's
     ids are those of its words, one after another. Memory is bounded by ``most`` words."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 500_000):
         self.encode, self.most = tokenizer(path).encode, most
 
     def __missing__(self, word: bytes) -> bytes:
