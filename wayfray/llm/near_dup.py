@@ -40,7 +40,7 @@ _A = _rng.integers(1, 2**63, H, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, H, np.uint64)
 _SALT = _rng.integers(0, 2**63, (CHUNKS, SYMBOLS), np.uint64)
 #: Members of a bucket that are compared at a time.
-BLOCK = 1024
+BLOCK = 4096
 
 
 def shingles(text: bytes | None, words: WordHashes, k: int) -> np.ndarray:
@@ -113,12 +113,13 @@ def _prefiltered(percent: int):
     return each
 
 
-def spanning_links(comp: np.ndarray, n: np.ndarray, deltas: list[np.ndarray], first: np.ndarray, percent: int):
+def spanning_links(comp: np.ndarray, n: np.ndarray, deltas: list[np.ndarray], blk: np.ndarray, percent: int):
     """Links between members of different components, enough to join all that are linked.
 
     A member is given by the size of its set and by how the set differs from the bucket's
-    head; two members differ by the symmetric difference of these. first: whether a member
-    stands in the first block; pairs have a member there."""
+    head; two members differ by the symmetric difference of these, counted through an
+    inverted index. Of two blocks only pairs across them count. Every pair of different
+    components has a member outside the largest one, so only those look for partners."""
     root = {x: x for x in comp.tolist()}
 
     def find(x):
@@ -127,23 +128,28 @@ def spanning_links(comp: np.ndarray, n: np.ndarray, deltas: list[np.ndarray], fi
             x = root[x]
         return x
 
+    m = len(comp)
     own = np.array([len(d) for d in deltas])
-    values = np.unique(np.concatenate(deltas)) if len(deltas) else np.zeros(0, np.int64)
-    at = [np.searchsorted(values, d) for d in deltas]
-    for i in np.flatnonzero(first):
-        mark = np.zeros(len(values), bool)
-        mark[at[i]] = True
-        mine = find(int(comp[i]))
-        near = 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
-        near &= (100 + percent) * np.abs(own - own[i]) <= (100 - percent) * (n + n[i])  # the difference is at least this
-        near[: i + 1] &= ~first[: i + 1]
-        for j in np.flatnonzero(near):
-            other = find(int(comp[j]))
-            if other != mine:
-                apart = own[i] + own[j] - 2 * int(mark[at[j]].sum())
-                if 100 * (n[i] + n[j] - apart) >= percent * (n[i] + n[j] + apart):
-                    yield int(i), int(j)
-                    root[other] = mine
+    _, value = np.unique(np.concatenate(deltas), return_inverse=True)
+    order = np.argsort(value, kind="stable")
+    member = np.repeat(np.arange(m), own)[order]
+    ptr = np.concatenate([[0], np.cumsum(np.bincount(value))]).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(own)])
+    names, sizes = np.unique(comp, return_counts=True)
+    two = blk.min() != blk.max()
+    for i in np.flatnonzero(comp != names[sizes.argmax()]).tolist():
+        v = value[first[i] : first[i + 1]]
+        lens = ptr[v + 1] - ptr[v]
+        at = np.repeat(ptr[v] - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())
+        apart = own[i] + own - 2 * np.bincount(member[at], minlength=m)
+        ok = (comp != comp[i]) & (100 * (n + n[i] - apart) >= percent * (n + n[i] + apart))
+        if two:
+            ok &= blk != blk[i]
+        for j in np.flatnonzero(ok).tolist():
+            mine, other = find(int(comp[i])), find(int(comp[j]))
+            if mine != other:
+                yield i, j
+                root[other] = mine
 
 
 def _within(percent: int):
@@ -156,7 +162,7 @@ def _within(percent: int):
                 if (comp == comp[0]).all():
                     continue
                 deltas = [np.array(m["delta"], np.int64) for m in members]
-                for i, j in spanning_links(comp, n, deltas, blk == blk.min(), percent):
+                for i, j in spanning_links(comp, n, deltas, blk, percent):
                     xs.append(c[i])
                     ys.append(c[j])
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
@@ -225,7 +231,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, k: int, percent: int) ->
     met_by = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least(F.col("blk"), j).alias("i"), F.greatest(F.col("blk"), j).alias("j")))
     dealt = held.withColumn("at", F.explode(met_by))
     groups = dealt.groupBy("key", "at").agg(F.collect_list(F.struct("c", "comp", F.col("size").alias("n"), "delta", "blk")).alias("members"))
-    more = arrow_map(groups.select("members"), _within(percent), "x long, y long")
+    more = frozen(arrow_map(groups.select("members"), _within(percent), "x long, y long"))
     return star_components(first.union(more), src="x", dst="y")
 
 
