@@ -317,6 +317,28 @@ def test_html(page, text):
     assert html_text.main_text(page) == text
 
 
+def paragraphs(tag, first, n, size=200):
+    return "".join(f"<{tag}>p{k} {'word ' * (size // 5)}</{tag}>" for k in range(first, first + n))
+
+
+@pytest.mark.parametrize(
+    ("page", "n"),
+    [
+        (f"<body><article><section>{paragraphs('p', 0, 10)}</section><section>{paragraphs('p', 10, 10)}</section></article>", 20),
+        (f"<body><div><section>{paragraphs('p', 0, 10)}</section><h2>p10</h2><section>{paragraphs('p', 11, 10, 150)}</section></div>", 21),
+        (f"<body><section>{paragraphs('p', 0, 10)}</section><section>{paragraphs('p', 10, 10)}</section>", 20),
+        (f"<body><article>{paragraphs('p', 0, 3)}<blockquote>{paragraphs('p', 3, 5)}</blockquote></article>", 8),
+        (f"<body><div>{paragraphs('p', 0, 3)}<blockquote>{paragraphs('p', 3, 5)}</blockquote>{paragraphs('p', 8, 1, 20)}</div>", 9),
+        (f"<body><div>{paragraphs('p', 0, 2)}<ul>{paragraphs('li', 2, 30)}</ul>{paragraphs('p', 32, 1)}</div>", 33),
+    ],
+)
+def test_html_keeps_every_part(page, n):
+    links = "<div class=x>" + "<a href=y>go there</a> " * 9 + "</div><div><div>short legal text</div></div>"
+    got = html_text.main_text(page + links).split()
+    assert [w for w in got if w[0] == "p"] == [f"p{k}" for k in range(n)]
+    assert "go" not in got and "legal" not in got
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", "<p>a b</p>", "z"), (1, "u", "<p>a b</p>", "z"), (2, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, html_text.main_texts(df).collect())) == [(1, "u", "a b", 3), (1, "u", "a b", 3), (2, None, "", 0)]

@@ -2,9 +2,9 @@
 
 A forgiving reader makes the tree of a page. Every node gets its characters per tag,
 adjusted for the characters and tags of links; a node's density sum adds its children's
-densities. Under the body, the node of the largest density sum holds the article; the
-smallest density on the path from the body to it is the threshold under which parts of
-it are noise. Elements that are never article text by name, role or class are taken out
+densities. Under the body, the node of the largest density sum is the article's core; the
+smallest density on the path from the body to it is the threshold under which parts are
+noise, and whatever else reaches it, with what stands between, is the article too. Elements that are never article text by name, role or class are taken out
 first.
 
 Defined cases: null, empty and text-less pages give an empty text; repeated rows each give
@@ -45,6 +45,11 @@ NOISE = frozenset(
     "subscription signup login share sharing social related recommended recommendations widget form search complementary contentinfo alert toolbar pagination pager".split()
 )
 KEEPS = frozenset("body html article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of running text.
+RUNNING = HEADINGS | frozenset("p blockquote pre ul ol dl table figure".split())
+#: Beside the article's own path, a part as plain as this share of the path's least is the article's too.
+SLACK = 0.5
 
 
 class Node:
@@ -189,6 +194,69 @@ def article(root: Node) -> tuple[Node, float]:
     return best, threshold
 
 
+def _plainness(n: Node) -> float:
+    """Characters outside links per tag: density without its growth by the part's size, so that a lone paragraph compares with a section."""
+    return (n.chars - n.link_chars) / max(1, n.tags)
+
+
+def _linked(n: Node) -> bool:
+    return n.link_chars > 0.5 * n.chars
+
+
+def parts(top: Node, threshold: float) -> list[Node]:
+    """The nodes whose subtrees are the article, in page order: ``top`` and what else reaches the threshold.
+
+    Beside the path from top to the body a part is kept if its density reaches the threshold, or its plainness
+    reaches SLACK times the least on the path. So are the blocks between two kept ones, a heading before the first, and
+    running text that stands beside a kept part below the body. An article or main on the path is kept whole."""
+    path = [top]
+    while path[-1].parent is not None and path[-1].name != "body":
+        path.append(path[-1].parent)
+    whole = max((k for k, n in enumerate(path) if n.name in ("article", "main")), default=0)
+    level = SLACK * min(map(_plainness, path))
+    kept = {path[whole]}
+
+    def reaches(n: Node) -> bool:
+        return bool(n.chars) and not _linked(n) and (n.density >= threshold or _plainness(n) >= level)
+
+    for at, p in zip(path[whole:], path[whole + 1 :]):
+        blocks = [c for c in p.children if isinstance(c, Node) and not c.noise and (c.chars or c is at)]
+        good = []
+        for k, c in enumerate(blocks):
+            if c is at:
+                good.append(k)
+            elif reaches(c) or c.name in RUNNING and p.name not in ("html", "body") and not _linked(c):
+                kept.add(c)
+                good.append(k)
+            else:
+                stack = [x for x in c.children if isinstance(x, Node)]
+                found = False
+                while stack:
+                    n = stack.pop()
+                    if n.noise or n.name in INLINE:
+                        continue
+                    if reaches(n):
+                        kept.add(n)
+                        found = True
+                    else:
+                        stack.extend(x for x in n.children if isinstance(x, Node))
+                if found:
+                    good.append(k)
+        kept.update(c for c in blocks[good[0] + 1 : good[-1]] if c is not at and c.chars and not _linked(c))
+        for c in reversed(blocks[: good[0]]):
+            if c.name not in HEADINGS:
+                break
+            kept.add(c)
+    out, stack = [], [path[-1]]
+    while stack:
+        n = stack.pop()
+        if n in kept:
+            out.append(n)
+        else:
+            stack.extend(c for c in reversed(n.children) if isinstance(c, Node) and not c.noise)
+    return out
+
+
 def _blocks(top: Node, threshold: float) -> list[str]:
     out: list[str] = []
     now: list[str] = []
@@ -222,7 +290,7 @@ def main_text(page: str | None) -> str:
         return ""
     root = tree(page)
     top, threshold = article(root)
-    return " ".join(_blocks(top, threshold))
+    return " ".join(s for part in parts(top, threshold) for s in _blocks(part, threshold))
 
 
 def _each(batches):
