@@ -186,6 +186,17 @@ def test_lines(spark):
     assert lines.drop_recurring_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_families_of_one_leaf(spark):
+    """Two families with a variable of letters only, and a fixed line met more often, in one leaf."""
+    name = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    fixed = "posted by user ann about our own shop"
+    rows = [(i, f"posted by user {name(i)} in our cooking section\nposted by user {name(i)} at the garden board\n{fixed}\n{fixed}\nnews of {name(i)}", "s") for i in range(40)]
+    got = {r["doc_id"]: r for r in lines.drop_recurring_lines(frame(spark, rows)).collect()}
+    assert got[0]["text"] == rows[0][1] and got[0]["n_dropped"] == 0
+    for i in range(1, 40):
+        assert (got[i]["text"], got[i]["n_dropped"]) == (f"news of {name(i)}", 4)
+
+
 def brute_counts(t):
     import re
 

@@ -1,10 +1,9 @@
 """Line dedup by a log-template tree (operator 4), DataFrame functions only.
 
 A line's words pass a fixed-depth tree: word count, then the leading words, with variable
-fields (words with a digit, addresses) generalised. In each leaf the form met in most
-lines is the leaf's template; forms that agree with it in three of four quarters of their
-words belong to it, the quarter that differs being variable; other forms are templates of
-their own. A template found in ``min_docs`` documents or more recurs: its lines are
+fields (words with a digit, addresses) generalised. In each leaf, forms that agree in three
+of four quarters of their words share a template, the quarter that differs being variable;
+a leaf has any number of templates. A template found in ``min_docs`` documents or more recurs: its lines are
 dropped from every document but the first one (smallest doc_id) that has it, so that no
 content is lost altogether.
 
@@ -17,7 +16,9 @@ untouched. Rows that travel are hashes of fixed size; a text moves once, to its
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import itertools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, frozen
@@ -43,24 +44,27 @@ def line_rows(docs: DataFrame, depth: int = 3, id_col: str = "doc_id", text_col:
 
 
 def recurring(lines: DataFrame, agree: int = 3, min_docs: int = 3) -> tuple[DataFrame, DataFrame]:
-    """The lines of templates that may recur (id, th, pos, template), and those that do (template, first)."""
-    spread = lambda by: by.agg(F.count("*").alias("_n"), F.min("id").alias("_low"), F.max("id").alias("_high"))
+    """The lines that may recur (id, th, pos, leaf, form), and the forms of recurring templates (leaf, form, first).
+
+    A template is ``agree`` quarters of a leaf; a form belongs to all that its quarters make, and goes by the one whose
+    first document is the least. The smallest ``min_docs`` documents of a form are enough to tell whether its templates
+    have as many, and which is first."""
     several = (F.col("_n") >= min_docs) & (F.col("_low") < F.col("_high"))
-    some = frozen(lines.join(spread(lines.groupBy("leaf")).where(several).select("leaf"), "leaf", "left_semi"))
+    wide = lines.groupBy("leaf").agg(F.count("*").alias("_n"), F.min("id").alias("_low"), F.max("id").alias("_high"))
+    some = frozen(lines.join(wide.where(several).select("leaf"), "leaf", "left_semi"))
     qs = [f"q{k}" for k in range(4)]
-    forms = some.groupBy("leaf", "form", *qs).agg(F.count("*").alias("n"))
-    top = forms.groupBy("leaf").agg(F.max(F.struct("n", "form", *qs)).alias("top"))
-    equal = sum(((F.col(q) == F.col(f"top.{q}")).cast("int") for q in qs), F.lit(0))
-    template = forms.join(top, "leaf").select("form", "leaf", F.when(equal >= agree, F.col("top.form")).otherwise(F.col("form")).alias("template"))
-    mine = frozen(some.select("id", "th", "pos", "leaf", "form").join(template, ["leaf", "form"]).select("id", "th", "pos", "template"))
-    docs = mine.groupBy("template", "id").agg(F.count("*").alias("_lines"))
-    return mine, docs.groupBy("template").agg(F.count("*").alias("docs"), F.min("id").alias("first")).where(F.col("docs") >= min_docs)
+    place = F.row_number().over(Window.partitionBy("leaf", "form").orderBy(F.col("id").asc_nulls_last()))
+    few = frozen(some.select("leaf", "form", *qs, "id").distinct().withColumn("_k", place).where(F.col("_k") <= min_docs))
+    template = F.explode(F.array(*[F.xxhash64("leaf", F.lit(k), *c) for k, c in enumerate(itertools.combinations(qs, agree))])).alias("template")
+    found = few.select(template, "id").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min("id").alias("first")).where(F.col("docs") >= min_docs)
+    forms = few.where(F.col("_k") == 1).select("leaf", "form", template).join(found.select("template", "first"), "template")
+    return some.select("id", "th", "pos", "leaf", "form"), forms.groupBy("leaf", "form").agg(F.min("first").alias("first"))
 
 
 def drop_recurring_lines(docs: DataFrame, depth: int = 3, agree: int = 3, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the lines of recurring templates dropped from ``text_col``, and n_lines, n_dropped (long)."""
     mine, found = recurring(frozen(line_rows(docs, depth, id_col, text_col)), agree, min_docs)
-    gone = mine.join(found.select("template", "first"), "template").where(~F.col("id").eqNullSafe(F.col("first")))
+    gone = mine.join(found, ["leaf", "form"]).where(~F.col("id").eqNullSafe(F.col("first")))
     marks = gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("pos")).alias("_gone"))
     named = marks.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "_gone")
     rows = docs.select(F.struct(*docs.columns).alias("_row"))
