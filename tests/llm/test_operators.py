@@ -255,6 +255,32 @@ def test_pii_spans(text, base, every):
     assert pii.joined(b) == base and pii.joined(e) == every
 
 
+@pytest.mark.parametrize(
+    ("text", "every"),
+    [
+        ("eight dot eight dot four dot four", "ip:0:33"),
+        ("10 dot zero dot zero dot one", "ip:0:28"),
+        ("at 10.0.0.one", "ip:3:13"),
+        ("plus 4 nine 1 seven 2 three 4 five 6 seven 8", "phone:0:44"),
+        ("plus four four - two zero seven - nine four six - zero nine five eight", "phone:0:70"),
+        ("4 one 1 one 1 one 1 one 1 one 1 one 1 one 1 one", "card:0:47"),
+        ("four one one one - one one one one - one one one one - one one one one", "card:0:70"),
+        ("jane at example.com", "email:0:19"),
+        ("write jane.doe at mail.example.com. Thanks", "email:6:34"),
+        ("arobase: jane arobase example.fr", "email:9:32"),
+        ("visit us at example.com", ""),
+        ("jane at example.com/page", ""),
+        ("fails at main.py and stays at home.then goes", ""),
+        ("she stood at cafe.Then we left", ""),
+    ],
+)
+def test_pii_disguises(text, every):
+    b, e = pii.find(text)
+    if "10.0.0" not in text:
+        assert pii.joined(b) == ""
+    assert pii.joined(e) == every
+
+
 def test_pii_frame(spark, corpus):
     got = pii.personal_data(frame(spark, [*corpus, (90, "x a@b.cd, 4111 1111 1111 1111", "s")])).collect()
     assert len(got) == len(corpus) + 1

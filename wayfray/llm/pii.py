@@ -51,9 +51,12 @@ DIGIT_WORDS = {
 
 _DW = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _ODD = re.compile("[̀-\U0010ffff­²³¹]")
-_TWO_DIGIT_WORDS = re.compile(rf"\b(?:{_DW})[\s,.-]{{1,3}}(?:{_DW})\b", re.I)
 _DOTS = "dot|punkt|punto|point"
-_DIGIT_RUN = re.compile(rf"(?:\bplus[\s-]+)?\b(?:{_DW}|[0-9]+)(?:(?:[\s,-]{{1,2}}|[ \t]+(?:{_DOTS})[ \t]+)(?:{_DW}|[0-9]+)\b)+", re.I)
+#: What may stand between two digits of a run.
+_RUN_SEP = rf"(?:[\s,-]{{1,3}}|\.|[ \t]+(?:{_DOTS})[ \t]+)"
+#: Part of every run with a digit word: the word beside a digit or another one.
+_SPELLED_DIGIT = re.compile(rf"\b(?:{_DW}){_RUN_SEP}(?:{_DW}|[0-9])|[0-9]{_RUN_SEP}(?:{_DW})\b", re.I)
+_DIGIT_RUN = re.compile(rf"(?:\bplus[\s-]+)?\b(?:{_DW}|[0-9]+)(?:{_RUN_SEP}(?:{_DW}|[0-9]+)\b)+", re.I)
 #: Letters that stand for digits inside a number (fixed values).
 DIGIT_LETTERS = {"O": "0", "o": "0", "I": "1", "l": "1"}
 _MIXED = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl]*(?:[0-9][OoIl]|[OoIl][0-9])[0-9OoIl]*(?![A-Za-z0-9])")
@@ -70,6 +73,20 @@ _DOTW = rf"(?:{_SEP}(?:dot|punkt|punto|point){_SEP}|\.)"
 _SPELLED = re.compile(rf"{_PART}(?:{_DOTW}{_PART})*(?:{_SEP}(?:at|arobase){_SEP}|@){_PART}(?:{_DOTW}{_PART})+", re.I)
 _AT_WORD = re.compile(rf"{_SEP}(?:at|arobase){_SEP}", re.I)
 _DOT_WORD = re.compile(rf"{_SEP}(?:dot|punkt|punto|point){_SEP}", re.I)
+_AT_HINT = re.compile(rf"(?<=[A-Za-z0-9%+-]){_SEP}(?:at|arobase){_SEP}{_PART}\.[A-Za-z0-9]", re.I)
+#: Endings of files, and words that start a sentence after a missing space (fixed values).
+NOT_DOMAINS = frozenset(
+    "py sh rs js ts jsx tsx md txt rst htm html php asp aspx jsp css scss json xml yml yaml toml ini cfg conf log csv tsv sql pdf doc docx xls xlsx ppt pptx jpg jpeg png gif svg "
+    "mp mp3 mp4 wav zip tar gz tgz exe dll bin jar java class cpp hpp cc hs rb go kt swift lua ipynb parquet "
+    "the then and but or so he she we they you this that these those there here when while if as at by for from on of with was were is it his her our your their not no yes an".split()
+)
+#: Words before a spelled at that name no mailbox (fixed values).
+BEFORE_AT = frozenset(
+    "us me you him her them it we they is are was were be been available found find look looks looking looked see seen visit visited online hosted host read more here there "
+    "live lives lived work works worked working arrive arrived meet met stay stayed posted published site website page blog shop order buy download downloads downloaded "
+    "browse details out up over and or to only start starts started sold learn register registered sign join located listed aimed hints pointed directed "
+    "now today also best good not all one once even that this".split()
+)
 _DIGIT_DOT = re.compile(r"(?<=[0-9])[ \t]+(?:dot|punkt|punto|point)[ \t]+(?=[0-9])", re.I)
 
 
@@ -140,7 +157,9 @@ def _digits(m: re.Match) -> list[tuple[int, int, str]]:
         spelled = new != w
         if at is not None and a > at[0]:
             between = m.string[at[0] : a]
-            if not between.isascii() or any(c.isalpha() for c in between):
+            if between == ".":
+                pass
+            elif not between.isascii() or any(c.isalpha() for c in between):
                 pieces.append((at[0], a, "."))
             elif spelled or at[1]:
                 pieces.append((at[0], a, ""))
@@ -150,19 +169,27 @@ def _digits(m: re.Match) -> list[tuple[int, int, str]]:
     return pieces
 
 
+def _whole_domain(m: re.Match, domain: str) -> bool:
+    """Whether a plain ``domain`` that ends the match is one by its form and by what follows, and not a missing space, a file or the start of a link."""
+    after = m.string[m.end() : m.end() + 2]
+    last = domain.rsplit(".", 1)[-1]
+    return domain in (domain.lower(), domain.upper()) and 2 <= len(last) <= 12 and last.isalpha() and last.lower() not in NOT_DOMAINS and after[:1] not in tuple("@/:\\_") and not (after[:1] == "." and after[1:].isalnum())
+
+
 def _spelled(t: Tape, m: re.Match) -> list[tuple[int, int, str]]:
-    """The at and dot words of an address. After a spelled at, a plain dot counts only if it stood in disguise, as prose has names after at."""
+    """The at and dot words of an address. After a spelled at, plain dots that didn't stand in disguise count if they make a whole domain and no word before at is one that prose has there."""
     ats = [x.span() for x in _AT_WORD.finditer(m[0])]
     if ats and any(c == "." and t.end[i] - t.start[i] == 1 for i, c in enumerate(m[0][ats[0][1] :], m.start() + ats[0][1])):
-        return []
+        if len(ats) > 1 or m[0][: ats[0][0]].lower() in BEFORE_AT or not _whole_domain(m, _DOT_WORD.sub(".", m[0][ats[0][1] :])):
+            return []
     dots = [x.span() for x in _DOT_WORD.finditer(m[0])]
     return sorted((m.start() + a, m.start() + b, new) for found, new in ((ats, "@"), (dots, ".")) for a, b in found)
 
 
 def deobfuscated(text: str) -> Tape | None:
     """None if nothing in the text looks disguised."""
-    odd, words, dots, mixed = _ODD.search(text), _TWO_DIGIT_WORDS.search(text), _DOT_HINT.search(text), _MIXED.search(text)
-    if not (odd or words or dots or mixed):
+    odd, words, dots, mixed, at = (p.search(text) for p in (_ODD, _SPELLED_DIGIT, _DOT_HINT, _MIXED, _AT_HINT))
+    if not (odd or words or dots or mixed or at):
         return None
     t = Tape(text)
     whole = lambda new: lambda m: [(m.start(), m.end(), new)]
@@ -172,9 +199,9 @@ def deobfuscated(text: str) -> Tape | None:
         t.rewrite(_MIXED, lambda m: [(m.start() + x.start(), m.start() + x.end(), DIGIT_LETTERS[x[0]]) for x in _LETTER.finditer(m[0])])
     for p, new in ((_AT_CODE, "@"), (_DOT_CODE, "."), (_AT_BRACKET, "@"), (_DOT_BRACKET, ".")) if dots else ():
         t.rewrite(p, whole(new))
-    if words or odd and _TWO_DIGIT_WORDS.search(t.text):
+    if words or t.changed and _SPELLED_DIGIT.search(t.text):
         t.rewrite(_DIGIT_RUN, _digits)
-    if _DOT_HINT.search(t.text):
+    if _DOT_HINT.search(t.text) or _AT_HINT.search(t.text):
         t.rewrite(_DIGIT_DOT, whole("."))
         t.rewrite(_SPELLED, lambda m: _spelled(t, m))
     return t if t.changed else None
