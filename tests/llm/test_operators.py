@@ -376,6 +376,15 @@ def test_html_keeps_every_part(page, n):
     assert "go" not in got and "legal" not in got
 
 
+@pytest.mark.parametrize("wrap", ["div class='page has-sidebar'", "div class='no-sidebar'", "div id=post-with-comments", "div class='content widget'", "div class=search-result", "form id=aspnetForm", "div role=search class=main"])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_html_names_of_wrappers(wrap, inner):
+    body = paragraphs("p", 0, 6) + "<figure><img src=x><figcaption>p6 shown</figcaption></figure><p>p7 where <math><mi>px</mi><mo>=</mo><mn>2</mn></math></p>"
+    page = f"<body><{wrap}><{inner}>{body}</{inner}><div class=sidebar>more links</div><div class=comments>{paragraphs('p', 90, 9)}</div></{wrap.split()[0]}><p>legal</p>"
+    got = html_text.main_text(page).split()
+    assert [w for w in got if w[0] == "p"] == [*(f"p{k}" for k in range(8)), "px=2"]
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", "<p>a b</p>", "z"), (1, "u", "<p>a b</p>", "z"), (2, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, html_text.main_texts(df).collect())) == [(1, "u", "a b", 3), (1, "u", "a b", 3), (2, None, "", 0)]

@@ -4,8 +4,8 @@ A forgiving reader makes the tree of a page. Every node gets its characters per
 adjusted for the characters and tags of links; a node's density sum adds its children's
 densities. Under the body, the node of the largest density sum is the article's core; the
 smallest density on the path from the body to it is the threshold under which parts are
-noise, and whatever else reaches it, with what stands between, is the article too. Elements that are never article text by name, role or class are taken out
-first.
+noise, and whatever else reaches it, with what stands between, is the article too. Elements that are never article text are taken out first, as are those whose class, id
+or role names noise, unless they hold the page's articles or most of its text.
 
 Defined cases: null, empty and text-less pages give an empty text; repeated rows each give
 a row; an empty table gives an empty result; other columns are ignored; the whole page is
@@ -25,7 +25,7 @@ from .common import arrow_map
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?P<body>.*?)(?:</(?P=raw)\b[^>]*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?P<body>.*?)(?:</(?P=raw)\b[^>]*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
@@ -35,8 +35,13 @@ _SPACE = re.compile(r"\s+")
 
 # Element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("nav footer aside form button select option menu dialog head object embed audio video canvas figcaption label fieldset".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+NEVER = frozenset("nav footer aside button select option menu dialog head object embed audio video canvas label annotation annotation-xml".split())
+#: Elements that count as named noise, as they may wrap a page.
+FORMS = frozenset("form fieldset".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math semantics mi mn mo ms mtext mspace mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mtable mtr mtd mstyle mpadded".split()
+)
 ENDS_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Words of class, id and role that mark what isn't the article.
 NOISE = frozenset(
@@ -45,6 +50,11 @@ NOISE = frozenset(
     "subscription signup login share sharing social related recommended recommendations widget form search complementary contentinfo alert toolbar pagination pager".split()
 )
 KEEPS = frozenset("body html article main".split())
+#: Words of names for readers' comments, and those that make a name speak of the layout (has-sidebar).
+TALK = frozenset("comment comments disqus reply replies respond".split())
+LAYOUT = frozenset("has with no without".split())
+#: Characters outside comments that can be an article.
+LEFT = 200
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements of running text.
 RUNNING = HEADINGS | frozenset("p blockquote pre ul ol dl table figure".split())
@@ -53,26 +63,58 @@ SLACK = 0.5
 
 
 class Node:
-    __slots__ = ("children", "chars", "density", "link_chars", "link_tags", "name", "noise", "own", "parent", "tags")
+    __slots__ = ("children", "chars", "density", "link_chars", "link_tags", "mark", "name", "noise", "own", "parent", "tags")
 
-    def __init__(self, name: str, parent: Node | None, noise: bool = False):
-        self.name, self.parent, self.noise, self.children = name, parent, noise, []
+    def __init__(self, name: str, parent: Node | None, noise: bool = False, mark: str = ""):
+        self.name, self.parent, self.noise, self.mark, self.children = name, parent, noise, mark, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.own = 0.0
 
 
-def _is_noise(name: str, attrs: str) -> bool:
+def _is_noise(name: str, attrs: str) -> tuple[bool, str]:
+    """Whether an element is never shown or never text, and else how its names mark it: "" (not), "part", "own" (a whole name is noise) or "talk" (readers' comments)."""
     if name in NEVER:
-        return True
+        return True, ""
+    mark = "own" if name in FORMS else ""
     if name in KEEPS or not attrs or attrs.isspace():
-        return False
+        return False, mark
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if key in ("class", "id", "role") and not NOISE.isdisjoint(w.lower() for w in _WORDS.split(value)):
-            return True
-    return False
+            return True, ""
+        if key in ("class", "id", "role"):
+            for token in value.split():
+                words = {w.lower() for w in _WORDS.split(token) if w}
+                if NOISE.isdisjoint(words) or not LAYOUT.isdisjoint(words):
+                    continue
+                if not TALK.isdisjoint(words):
+                    mark = "talk"
+                elif mark != "talk":
+                    mark = "own" if words <= NOISE else mark or "part"
+    return False, mark
+
+
+def _drop_named(root: Node) -> None:
+    """Takes out the elements whose names mark them, unless they hold the page's articles or most of its text.
+
+    Comments go wherever text for an article is left without them."""
+    order, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        order.append(n)
+        stack.extend(c for c in n.children if isinstance(c, Node) and not c.noise)
+    if not any(n.mark for n in order):
+        return
+    chars: dict[Node, int] = {}
+    held: dict[Node, int] = {}
+    for n in reversed(order):
+        kids = [c for c in n.children if isinstance(c, Node) and not c.noise]
+        chars[n] = sum(len(c) - sum(map(c.count, " \n\t\r")) for c in n.children if isinstance(c, str)) + sum(chars[c] for c in kids)
+        held[n] = (n.name in ("article", "main")) + sum(held[c] for c in kids)
+    for n in order:
+        if n.mark and not (held[n] and held[n] == held[root]):
+            rest, share = chars[root] - chars[n], chars[n] / max(1, chars[root])
+            n.noise = not chars[n] or share <= (0.75 if n.mark == "own" else 0.5) or n.mark == "talk" and rest >= LEFT
 
 
 def tree(page: str) -> Node:
@@ -115,11 +157,13 @@ def tree(page: str) -> Node:
                 n = n.parent
             if n.name == name and n.parent is not None:
                 here = n.parent
-        node = Node(name, here, _is_noise(name, m["attrs"]) or name == "header" and not _inside(here, "article"))
+        noise, mark = _is_noise(name, m["attrs"])
+        node = Node(name, here, noise or name == "header" and not _inside(here, "article"), mark)
         here.children.append(node)
         if name not in VOID and not m["attrs"].endswith("/"):
             here = node
     text(page[at:])
+    _drop_named(root)
     return root
 
 
