@@ -71,6 +71,25 @@ def test_mix(spark, corpus):
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(frame(spark, corpus).repartition(3)).collect()))
 
 
+def test_targets_of_widely_spread_sources(spark):
+    """Each of 75 rounds caps one more source, and the total still comes out."""
+    n, q = 75, 0.65
+    level, free, left, sizes, weights = 1.0, 1.0, 1.0, [], []
+    at = 0.9
+    for _ in range(n):
+        w = q * free
+        sizes.append(at * w / 2)
+        weights.append(w)
+        free, left = free - w, left - at * w
+        at, level = level * 1.01, left / free
+    sizes = [int(3e18 * x) for x in [*sizes, 2 / 3 - sum(sizes)]]
+    rows = [(str(k), f"s{k:03}", x) for k, x in enumerate(sizes)]
+    by = spark.createDataFrame(rows, "_g string, source string, source_size long")
+    got = {r["source"]: (r["target"], r["source_size"]) for r in mixing.targets(by, weights=(*weights, free)).collect()}
+    assert all(got[f"s{k:03}"][0] == 2.0 * sizes[k] for k in range(n))
+    assert abs(sum(t for t, _ in got.values()) - 1.5 * sum(sizes)) < 1e-12 * sum(sizes)
+
+
 def test_mixed_documents(spark, corpus):
     docs = frame(spark, corpus)
     out = mixing.mixed_documents(docs)

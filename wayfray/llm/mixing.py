@@ -21,9 +21,6 @@ from pyspark.sql import functions as F
 
 from .common import WORD, frozen, null_safe, ranked
 
-#: Source totals beyond which an iteration of reshare would still find a source above its cap.
-ROUNDS = 64
-
 
 def targets(totals: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """totals (g, source, source_size) with ``target`` (double).
@@ -36,13 +33,13 @@ def targets(totals: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: fl
     most = F.col("source_size") * F.lit(float(cap))
     level = 0.0
     all_size = by.agg(F.sum("source_size")).first()[0] or 0
-    for _ in range(ROUNDS):  # each round caps at least one more source; two or three rounds are usual
+    while True:  # each round caps at least one more source or is the last; two or three rounds are usual
         over = F.col("_w") * F.lit(level) > most
         at_cap, free = by.agg(F.sum(F.when(over, most)), F.sum(F.when(~over, F.col("_w")))).first()
         if not free:
             break
         new = (share * all_size - (at_cap or 0.0)) / free
-        if new == level:
+        if new <= level:  # the level only rises, but for rounding
             break
         level = new
     return by.withColumn("target", F.least(most, F.col("_w") * F.lit(level))).drop("_w")
