@@ -78,6 +78,43 @@ def binary(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+_BIT = np.uint64(0xD6E8FEB86659FD93)
+
+
+def bit_places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each 64-bit hash in a map of ``bits`` bits (a power of two)."""
+    h = h.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * _BIT
+    h ^= h >> np.uint64(32)
+    mask = np.uint64(bits - 1)
+    return (h & mask).astype(np.int64), ((h >> np.uint64(32)) * _BIT >> np.uint64(20) & mask).astype(np.int64)
+
+
+def bit_map(keys: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A map of ``bits`` bits with the places of all keys (long). At most bits / 64 rows reach the driver.
+
+    It lets through every key and, the fuller it is, others too: an exact join must follow."""
+
+    def each(batches):
+        for b in batches:
+            at = np.concatenate(bit_places(b.column(0).to_numpy().view(np.uint64), bits))
+            one = np.left_shift(np.uint64(1), (at & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(one.view(np.int64))], ["w", "b"])
+
+    rows = arrow_map(keys.select(column), each, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy().view(np.uint64)
+    return out
+
+
+def in_map(have: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes a map lets through."""
+    ok = np.ones(len(h), bool)
+    for at in bit_places(h, 64 * len(have)):
+        ok &= (have[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+    return ok
+
+
 def null_safe(c: Column | str) -> Column:
     """A string key that tells null from every string."""
     c = F.col(c) if isinstance(c, str) else c

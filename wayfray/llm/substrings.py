@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_map, binary, frozen, gram_hashes
+from .common import WordHashes, arrow_map, binary, bit_map, frozen, gram_hashes, in_map
 
 _M = np.uint64(0xD6E8FEB86659FD93)
 _S = np.uint64(32)
@@ -70,41 +70,14 @@ def _path_rows(window: int, k: int):
     return each
 
 
-def _bits(m: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    h = _mix(m.astype(np.uint64))
-    mask = np.uint64(bits - 1)
-    return (h & mask).astype(np.int64), ((h >> _S) * _M >> np.uint64(20) & mask).astype(np.int64)
-
-
-def _words_of_map(bits: int):
-    def each(batches):
-        for b in batches:
-            at = np.concatenate(_bits(b.column("m").to_numpy().view(np.uint64), bits))
-            word, one = at >> 6, np.left_shift(np.uint64(1), (at & 63).astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(one.view(np.int64))], ["w", "b"])
-
-    return each
-
-
-def _bit_map(repeated: DataFrame, bits: int) -> np.ndarray:
-    """bits / 64 words with the bits of all repeated minimisers; at most so many rows reach the driver."""
-    rows = arrow_map(repeated.select("m"), _words_of_map(bits), "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(bits // 64, np.uint64)
-    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy().view(np.uint64)
-    return out
-
-
-def _maybe_repeated(window: int, k: int, shared, bits: int):
+def _maybe_repeated(window: int, k: int, shared):
     def each(batches):
         words, have = WordHashes(), shared.value
         for b in batches:
             ids, m = [], []
             for doc, text in zip(b.column("doc_id").to_pylist(), binary(b, "text"), strict=True):
                 low = np.unique(paths(words.of((text or b"").split()), window, k)[2])
-                ok = np.ones(len(low), bool)
-                for at in _bits(low, bits):
-                    ok &= (have[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-                low = low[ok]
+                low = low[in_map(have, low)]
                 ids.append(np.full(len(low), doc))
                 m.append(low)
             if ids:
@@ -171,8 +144,8 @@ def drop_repeated(docs: DataFrame, window: int = 13, k: int = 6, filter_bits: in
     rows = arrow_map(named, _path_rows(window, k), "m long, doc_id long, content long")
     seen = rows.groupBy("m").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("_last"), F.min("content").alias("_c"), F.max("content").alias("_d"))
     repeated = frozen(seen.where("owner < _last").select("m", "owner", (F.col("_c") == F.col("_d")).alias("plain")))
-    shared = docs.sparkSession.sparkContext.broadcast(_bit_map(repeated, filter_bits))
-    found = arrow_map(named, _maybe_repeated(window, k, shared, filter_bits), "m long, doc_id long").join(repeated, "m").where("not plain or owner < doc_id")
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(repeated, "m", filter_bits))
+    found = arrow_map(named, _maybe_repeated(window, k, shared), "m long, doc_id long").join(repeated, "m").where("not plain or owner < doc_id")
     marks = frozen(found.groupBy("doc_id").agg(F.collect_list(F.when(F.col("plain"), F.col("m"))).alias("owned"), F.collect_list(F.when(~F.col("plain"), F.col("m"))).alias("branching")))
     marked = slim.join(marks, "doc_id", "left")
     loose = marked.where(F.size("branching") > 0).select("doc_id", "text", "branching")
