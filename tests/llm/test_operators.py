@@ -472,3 +472,106 @@ def test_empty_tables(spark):
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for out in (mixing.mix(docs), mixing.mixed_documents(docs), substrings.drop_repeated(docs), packing.pack(docs, tokenizer_path()), quality.judge(docs), pii.personal_data(docs), toxicity.scores(docs, lab), near_dup.near_duplicates(docs)):
         assert out.count() == 0
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<p class="x>', "<p class='x", "<b>", "<script>", "<!--", "<", "</x>", "<header>", "<li><div>", "<svg>", '<p a="', "&#", "<p>word", '"', "<td><b>"])
+def test_html_of_a_megabyte_of_one_thing(unit):
+    import time
+
+    for page in (unit * (1_000_000 // len(unit)), "<b>" * 150_000 + unit * (500_000 // len(unit)), "<li><table>" + "<div>" * 80_000 + unit * (500_000 // len(unit)) + "<li></li></b>" * 20_000):
+        began = time.perf_counter()
+        html_text.main_text(page)
+        assert time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<p class="x>Hello there</p><p class="y">More words</p>', "Hello there More words"),
+        ('<p class="x>Hello there', "Hello there"),
+        ("<p class='it's'>one</p>", "one"),
+        ('<p title="a > b">hey</p>', "hey"),
+        ('<div data-c="<b>x</b>">in</div>', "in"),
+        ('text <a href="htt', "text"),
+        ("<svg/>after", "after"),
+        ("a < b and c > d", "a < b and c > d"),
+        ("5 <6 and <i>7</i>", "5 <6 and 7"),
+        ("<p>long enough text<script>if (a < b) x()</script> to stand</p>", "long enough text to stand"),
+    ],
+)
+def test_html_broken_markup(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "n"),
+    [
+        (f"<body><div class=content>{paragraphs('p', 0, 2)}<div class=share-price>{paragraphs('p', 2, 1)}</div>{paragraphs('p', 3, 1)}</div>", 4),
+        (f"<body><form id=f><div>{paragraphs('p', 0, 3)}<label>ask <input></label></div></form>", 3),
+        (f"<body><div class=site-footer>legal words of ours</div><article>{paragraphs('p', 0, 3)}</article>", 3),
+        (f"<body><div id=x>{paragraphs('p', 0, 2, 2000)}</div><div>{paragraphs('p', 2, 1, 300)}</div>", 3),
+        (f"<body><div>{paragraphs('p', 0, 3)}</div><div class=related-articles><a href=x>go</a> <a href=y>there</a></div>", 3),
+    ],
+)
+def test_html_names_need_the_text_to_agree(page, n):
+    got = html_text.main_text(page).split()
+    assert [w for w in got if w[0] == "p"] == [f"p{k}" for k in range(n)]
+    assert not {"go", "legal", "ask"} & set(got)
+
+
+def test_html_density_against_brute_force():
+    """Sums, densities and the chosen node of random trees, by definition."""
+    import math
+
+    rng = random.Random(4)
+
+    def page(depth):
+        out = ""
+        for _ in range(rng.randrange(1, 5)):
+            t = rng.choice(["div", "p", "section", "a", "b", "text"])
+            inner = "word " * rng.randrange(0, 30)
+            out += inner if t == "text" else f"<{t}>{inner if depth == 0 or t in 'pab' else page(depth - 1)}</{t}>"
+        return out
+
+    for _ in range(40):
+        root = html_text.tree("<body>" + page(3))
+        best, _ = html_text.article(root)
+        body = next(c for c in root.children if isinstance(c, html_text.Node))
+
+        def count(n, link=False):
+            """characters, tags, characters in links, links of a subtree"""
+            c = t = lc = lt = 0
+            link = link or n.name == "a"
+            for x in n.children:
+                if isinstance(x, str):
+                    k = len("".join(x.split()))
+                    c, lc = c + k, lc + k * link
+                else:
+                    a = count(x, link)
+                    c, t, lc, lt = c + a[0], t + a[1] + (x.name not in html_text.INLINE or x.name == "a"), lc + a[2], lt + a[3] + (x.name == "a")
+            return c, t, lc, lt
+
+        c, _, lc, _ = count(body)
+        share = lc / c if c else 0.0
+
+        def density(c, t, lc, lt):
+            if not c:
+                return 0.0
+            t1, l1, k1 = max(1, t), max(1, lc), max(1, lt)
+            return c / t1 * max(0.0, math.log(c / l1 * t1 / k1)) / math.log(c / max(1, c - lc) * lc + share * c + math.e)
+
+        def nodes(n):
+            yield n
+            for x in n.children:
+                if not isinstance(x, str):
+                    yield from nodes(x)
+
+        def total(n):
+            own = sum(density(len("".join(x.split())), 0, 0, 0) for x in n.children if isinstance(x, str) and n.name != "a")
+            return own + sum(density(*count(x)) for x in n.children if not isinstance(x, str))
+
+        sums = {n: total(n) for n in nodes(root) if count(n)[0]}
+        for n in nodes(root):
+            assert math.isclose(n.density, density(*count(n)), rel_tol=1e-9, abs_tol=1e-12)
+        if sums:
+            assert math.isclose(sums[best], max(sums.values()), rel_tol=1e-6)

@@ -23,21 +23,20 @@ from pyspark.sql import DataFrame
 
 from .common import arrow_map
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?P<body>.*?)(?:</(?P=raw)\b[^>]*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+_NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*)")
+_TAG_STOP = re.compile("[>\"']")
+_ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _WORDS = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
+#: Elements whose content isn't markup or never shown.
+RAW = frozenset("script style noscript template textarea title iframe svg".split())
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 # Element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("nav footer aside button select option menu dialog head object embed audio video canvas label annotation annotation-xml".split())
+NEVER = frozenset("nav footer aside button select option menu dialog head object embed audio video canvas annotation annotation-xml".split())
 #: Elements that count as named noise, as they may wrap a page.
-FORMS = frozenset("form fieldset".split())
+FORMS = frozenset("form fieldset label".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
     "math semantics mi mn mo ms mtext mspace mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mtable mtr mtd mstyle mpadded".split()
@@ -49,21 +48,31 @@ NOISE = frozenset(
     "aside footer header masthead comment comments disqus reply replies respond cookie cookies consent gdpr notice popup modal overlay newsletter subscribe "
     "subscription signup login share sharing social related recommended recommendations widget form search complementary contentinfo alert toolbar pagination pager".split()
 )
+#: Words that beside a word of noise say where or what it is.
+PLACES = frozenset(
+    "site page main top bottom left right global primary secondary tertiary container wrapper wrap box block bar list lists links buttons button icons icon area "
+    "inner outer column col section panel region module item items articles posts stories news media tools controls form field input user email mobile desktop sticky fixed".split()
+)
 KEEPS = frozenset("body html article main".split())
 #: Words of names for readers' comments, and those that make a name speak of the layout (has-sidebar).
 TALK = frozenset("comment comments disqus reply replies respond".split())
 LAYOUT = frozenset("has with no without".split())
 #: Characters outside comments that can be an article.
 LEFT = 200
+#: Elements that end an open one of their name, up to the innermost of the second line.
+ITEMS = frozenset("li dd dt tr td th option".split())
+LISTS = frozenset("ul ol dl table tbody thead select menu".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements of running text.
 RUNNING = HEADINGS | frozenset("p blockquote pre ul ol dl table figure".split())
 #: Beside the article's own path, a part as plain as this share of the path's least is the article's too.
 SLACK = 0.5
+#: Characters outside links per tag that are running text wherever they stand.
+PLAIN = 100
 
 
 class Node:
-    __slots__ = ("children", "chars", "density", "link_chars", "link_tags", "mark", "name", "noise", "own", "parent", "tags")
+    __slots__ = ("block", "chars", "children", "density", "depth", "link_chars", "link_tags", "mark", "name", "noise", "own", "parent", "rows", "tags")
 
     def __init__(self, name: str, parent: Node | None, noise: bool = False, mark: str = ""):
         self.name, self.parent, self.noise, self.mark, self.children = name, parent, noise, mark, []
@@ -90,100 +99,154 @@ def _is_noise(name: str, attrs: str) -> tuple[bool, str]:
                 if not TALK.isdisjoint(words):
                     mark = "talk"
                 elif mark != "talk":
-                    mark = "own" if words <= NOISE else mark or "part"
+                    mark = "own" if words <= NOISE | PLACES else mark or "part"
     return False, mark
 
 
 def _drop_named(root: Node) -> None:
     """Takes out the elements whose names mark them, unless they hold the page's articles or most of its text.
 
-    Comments go wherever text for an article is left without them."""
-    order, stack = [], [root]
+    Comments go wherever text for an article is left without them. A name that only has a word of noise in it
+    needs the text's agreement: mostly links, or less plain than half the page outside its articles."""
+    order, stack = [], [(root, False, False)]
+    inside: dict[Node, bool] = {}
+    link: dict[Node, bool] = {}
     while stack:
-        n = stack.pop()
+        n, within, linked = stack.pop()
         order.append(n)
-        stack.extend(c for c in n.children if isinstance(c, Node) and not c.noise)
+        within, linked = within or n.name in ("article", "main"), linked or n.name == "a"
+        inside[n], link[n] = within, linked
+        stack.extend((c, within, linked) for c in n.children if isinstance(c, Node) and not c.noise)
     if not any(n.mark for n in order):
         return
     chars: dict[Node, int] = {}
+    links: dict[Node, int] = {}
+    tags: dict[Node, int] = {}
     held: dict[Node, int] = {}
+    titles: dict[Node, int] = {}
     for n in reversed(order):
         kids = [c for c in n.children if isinstance(c, Node) and not c.noise]
-        chars[n] = sum(len(c) - sum(map(c.count, " \n\t\r")) for c in n.children if isinstance(c, str)) + sum(chars[c] for c in kids)
+        own = sum(len(c) - sum(map(c.count, " \n\t\r")) for c in n.children if isinstance(c, str))
+        chars[n] = own + sum(chars[c] for c in kids)
+        links[n] = own * link[n] + sum(links[c] for c in kids)
+        tags[n] = 1 + sum(tags[c] for c in kids)
         held[n] = (n.name in ("article", "main")) + sum(held[c] for c in kids)
+        titles[n] = (n.name == "h1") + sum(titles[c] for c in kids)
+    plain = lambda n: (chars[n] - links[n]) / tags[n]
     for n in order:
         if n.mark and not (held[n] and held[n] == held[root]):
             rest, share = chars[root] - chars[n], chars[n] / max(1, chars[root])
-            n.noise = not chars[n] or share <= (0.75 if n.mark == "own" else 0.5) or n.mark == "talk" and rest >= LEFT
+            if n.mark == "part":
+                agrees = links[n] > 0.3 * chars[n] or not inside[n] and not titles[n] and plain(n) < 0.5 * plain(root)
+                n.noise = not chars[n] or share <= 0.5 and agrees
+            else:
+                n.noise = not chars[n] or share <= 0.75 or n.mark == "talk" and rest >= LEFT
+
+
+class _Scanner:
+    """Tags of a page and the text between them, in one pass.
+
+    A tag ends at the first > outside quoted values; a value whose quote doesn't close before other markup begins
+    is no value, and its tag ends at the first > after it. A tag that never ends takes what is left, as in browsers."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {c: page.rfind(c) for c in ">\"'"}
+
+    def _find(self, what: str, at: int) -> int:
+        return self.page.find(what, at) if self.last[what] >= at else -1
+
+    def _end(self, at: int) -> int:
+        """Where the > of the tag is whose name ends at ``at``; -1: nowhere."""
+        page = self.page
+        if self.last[">"] < at:
+            return -1
+        while m := _TAG_STOP.search(page, at):
+            at = m.start()
+            if m[0] == ">":
+                return at
+            if not page[max(0, at - 16) : at].rstrip().endswith("="):
+                at += 1  # a stray quote
+                continue
+            close = self._find(m[0], at + 1)
+            if close < 0:
+                return self._find(">", at)
+            after = page[close + 1 : close + 2]
+            stray = after not in ("", ">", "/") and not after.isspace()
+            if stray and "<" in (value := page[at:close]) and ">" in value:
+                return self._find(">", at)
+            at = close + 1
+        return -1
+
+    def __iter__(self):
+        """(text before, name, closing, attributes); the name is empty where only text is left."""
+        page, at, text = self.page, 0, 0
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith(("<!", "<?"), at):
+                mark, skip = ("-->", 3) if page.startswith("<!--", at) else ("]]>", 3) if page.startswith("<![CDATA[", at) else (">", 1)
+                yield page[text:at], "", False, ""
+                end = page.find(mark, at + 2)
+                at = text = len(page) if end < 0 else end + skip
+                continue
+            m = _NAME.match(page, at + 1)
+            if not m:
+                at += 1
+                continue
+            name, end = m[2].lower(), self._end(m.end())
+            attrs = page[m.end() : end] if end >= 0 else ""
+            yield page[text:at], (name if end >= 0 and not (name in RAW and not m[1]) else ""), bool(m[1]), attrs
+            at = text = len(page) if end < 0 else end + 1
+            if name in RAW and not m[1] and end >= 0 and not (name == "svg" and attrs.endswith("/")):
+                close = _RAW_END[name].search(page, at)
+                end = self._find(">", close.end()) if close else -1
+                at = text = len(page) if end < 0 else end + 1
+        yield page[text:], "", False, ""
 
 
 def tree(page: str) -> Node:
-    """The page's nodes; children are nodes and strings of text."""
+    """The page's nodes; children are nodes and strings of text. Each step looks at the innermost open elements by name, never along the path."""
     root = Node("html", None)
-    at, here = 0, root
-
-    def text(s: str) -> None:
-        if s:
-            here.children.append(_html.unescape(s) if "&" in s else s)
-
-    for m in _TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        name = m["name"]
-        if name is None:
+    root.depth, root.block, root.rows = 0, root, root
+    here = root
+    opened: dict[str, list[Node]] = {"html": [root]}
+
+    def back_to(n: Node) -> None:
+        nonlocal here
+        while here is not n:
+            opened[here.name].pop()
+            here = here.parent
+
+    for before, name, closing, attrs in _Scanner(page):
+        if before:
+            here.children.append(_html.unescape(before) if "&" in before else before)
+        if not name or name == "html" and not closing:
             continue  # comments, declarations, and what is never shown
-        name = name.lower()
-        if m["close"]:
-            n = here
-            while n is not None and n.name != name:
-                n = n.parent
-            if n is not None and n.parent is not None and not (name in INLINE and _crosses(here, n)):
-                here = n.parent
-            continue
-        if name in ("html",):
+        if closing:
+            n = opened.get(name, [])[-1:]
+            # an inline element closed from inside a block that it doesn't enclose in the source's sense stays open
+            if n and n[0] is not root and not (name in INLINE and here.block.depth > n[0].depth):
+                back_to(n[0].parent)
             continue
-        if name == "body":
-            while here.parent is not None and here.name == "head":
-                here = here.parent
-        if name in ENDS_P:
-            n = here
-            while n.parent is not None and n.name in INLINE:
-                n = n.parent
-            if n.name == "p":
-                here = n.parent
-        if name in ("li", "dd", "dt", "tr", "td", "th", "option"):
-            n = here
-            while n.parent is not None and n.name not in ("ul", "ol", "dl", "table", "tbody", "thead", "select", "menu") and n.name != name:
-                n = n.parent
-            if n.name == name and n.parent is not None:
-                here = n.parent
-        noise, mark = _is_noise(name, m["attrs"])
-        node = Node(name, here, noise or name == "header" and not _inside(here, "article"), mark)
+        if name == "body" and here.name == "head":
+            back_to(here.parent)
+        if name in ENDS_P and here.block.name == "p":
+            back_to(here.block.parent)
+        if name in ITEMS:
+            n = opened.get(name, [])[-1:]
+            if n and n[0].depth > here.rows.depth:
+                back_to(n[0].parent)
+        noise, mark = _is_noise(name, attrs)
+        node = Node(name, here, noise or name == "header" and not opened.get("article"), mark)
         here.children.append(node)
-        if name not in VOID and not m["attrs"].endswith("/"):
+        if name not in VOID and not attrs.endswith("/"):
+            node.depth = here.depth + 1
+            node.block = here.block if name in INLINE else node
+            node.rows = node if name in LISTS else here.rows
+            opened.setdefault(name, []).append(node)
             here = node
-    text(page[at:])
     _drop_named(root)
     return root
 
 
-def _crosses(here: Node, n: Node) -> bool:
-    """An inline element closed from inside a block that it doesn't enclose in the source's sense."""
-    while here is not n:
-        if here.name not in INLINE:
-            return True
-        here = here.parent
-    return False
-
-
-def _inside(n: Node | None, name: str) -> bool:
-    while n is not None:
-        if n.name == name:
-            return True
-        n = n.parent
-    return False
-
-
 def _measured(root: Node) -> list[Node]:
     """All nodes outside noise, parents first, with characters and tags of their subtrees summed."""
     order, stack = [], [(root, False)]
@@ -251,13 +314,13 @@ def parts(top: Node, threshold: float) -> list[Node]:
     """The nodes whose subtrees are the article, in page order: ``top`` and what else reaches the threshold.
 
     Beside the path from top to the body a part is kept if its density reaches the threshold, or its plainness
-    reaches SLACK times the least on the path. So are the blocks between two kept ones, a heading before the first, and
+    reaches SLACK times the least on the path, or PLAIN where that is less. So are the blocks between two kept ones, a heading before the first, and
     running text that stands beside a kept part below the body. An article or main on the path is kept whole."""
     path = [top]
     while path[-1].parent is not None and path[-1].name != "body":
         path.append(path[-1].parent)
     whole = max((k for k, n in enumerate(path) if n.name in ("article", "main")), default=0)
-    level = SLACK * min(map(_plainness, path))
+    level = min(PLAIN, SLACK * min(map(_plainness, path)))
     kept = {path[whole]}
 
     def reaches(n: Node) -> bool:
