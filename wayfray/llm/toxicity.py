@@ -217,12 +217,12 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def expressions(words: list[str], hashes: WordHashes) -> list[tuple[np.ndarray, ...]]:
-    """For orders 1 and 2 the distinct expressions of a text: hash, first and last word's hash, how often it stands."""
+    """For orders 1 and 2 the distinct expressions of a text: hash, first and last word's hash."""
     w = hashes.of([x.encode("utf-8", "surrogatepass") for x in words])
     out = []
     for k in (1, 2):
-        e, first, n = np.unique(w if k == 1 else gram_hashes(w, 2), return_index=True, return_counts=True)
-        out.append((e, w[first], w[first + k - 1], n))
+        e, first = np.unique(w if k == 1 else gram_hashes(w, 2), return_index=True)
+        out.append((e, w[first], w[first + k - 1]))
     return out
 
 
@@ -262,7 +262,7 @@ def _tallied(shared=None):
         hashes, tally, totals = WordHashes(), _Tally(), np.zeros((2, 2), np.int64)
         for b in batches:
             for text, held in zip(b.column("text").to_pylist(), b.column("fit").to_pylist(), strict=True):
-                for k, (e, v, last, _) in enumerate(expressions(tokens(text), hashes)):
+                for k, (e, v, last) in enumerate(expressions(tokens(text), hashes)):
                     totals[k, int(held)] += len(e)
                     ok = np.ones(len(e), bool) if shared is None else in_map(shared.value, e)
                     tally.add(k + 1, e[ok], v[ok], last[ok], held)
@@ -338,10 +338,11 @@ def _described(model, which: int, shared, keep: list[str]):
                 ratios.add(list(new))
                 found += [features(np.fromiter(map(ratios.__getitem__, t), np.float64, len(t))) for t in part]
             for t in texts:
-                e, n = (np.concatenate(c) for c in zip(*((x[0], x[3]) for x in expressions(t, hashes)), strict=True))
-                ok = in_map(shared.value, e)
-                es.append(e[ok].view(np.int64))
-                ns.append(n[ok].astype(np.int64))
+                w = hashes.of([x.encode("utf-8", "surrogatepass") for x in t])
+                e = np.concatenate([w, gram_hashes(w, 2)])
+                e, n = np.unique(e[in_map(shared.value, e)], return_counts=True)
+                es.append(e.view(np.int64))
+                ns.append(n.astype(np.int64))
             lists = [pa.array(c, pa.list_(t)) for c, t in ((found, pa.float64()), (es, pa.int64()), (ns, pa.int64()))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array([len(t) for t in texts], pa.int64()), *lists], [*keep, "n", "f", "es", "ns"])
 
