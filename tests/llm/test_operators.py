@@ -575,3 +575,87 @@ def test_html_density_against_brute_force():
             assert math.isclose(n.density, density(*count(n)), rel_tol=1e-9, abs_tol=1e-12)
         if sums:
             assert math.isclose(sums[best], max(sums.values()), rel_tol=1e-6)
+
+
+def brute_spans(text):
+    """The base spans by the contract's patterns themselves."""
+    return {k: [m.span() for m in pii.PATTERNS[k].finditer(text) if pii.valid(k, m[0])] for k in pii.KINDS}
+
+
+def test_pii_base_against_the_patterns():
+    rng = random.Random(8)
+    for _ in range(4000):
+        text = "".join(rng.choice(["a", "b-", ".", "@", " ", "1", "25", "255", ".", "+", "é", "4111 1111 1111 1111", "0", "(", "-", "_", "x@y.z", "10.0.0.1"]) for _ in range(rng.randrange(0, 25)))
+        assert pii.spans(text) == brute_spans(text), text
+        base, every = pii.find(text)
+        assert base == brute_spans(text) and all(set(base[k]) <= set(every[k]) for k in pii.KINDS)
+
+
+@pytest.mark.parametrize("unit", ["a.", "1", "1.", "a.@", " ", "1O", "漢", "plus ", "one ", "a-", "at ", "x at y.", "+1(", "a dot ", "[ ", "а", "@", "- ", "a@b.", "%40", "4111 "])
+def test_pii_of_a_megabyte_of_one_thing(unit):
+    import time
+
+    for before, after in (("", ""), ("a@b.cd ", " dot at [at] one two x"), ("10.0.one.1", "x")):
+        began = time.perf_counter()
+        pii.find(before + unit * (1_000_000 // len(unit)) + after)
+        assert time.perf_counter() - began < 8
+
+
+@pytest.mark.parametrize(
+    ("text", "every"),
+    [
+        ("mаry@example.com", "email:0:16,email:2:16"),
+        ("192.168.one.7", "ip:0:13"),
+        ("john @ example . com", "email:0:20"),
+        ("mail at john dot doe at example dot com", "email:8:39"),
+        ("10 . 0 . 0 . 1", "ip:0:14"),
+        ("һello@example.com", "email:0:17,email:1:17"),
+        ("me @ cafe. Then", ""),
+        ("she lives at home . then she left", ""),
+    ],
+)
+def test_pii_wider_spans(text, every):
+    assert pii.joined(pii.find(text)[1]) == every
+
+
+WORDS_OF_DIGITS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+
+
+def disguises(rng):
+    """(kind, disguise, plain form) of each kind."""
+    name = lambda: "".join(rng.choice("abcdefghikmnorstuvw") for _ in range(rng.randrange(4, 9)))
+    look = lambda s: "".join({"a": "а", "e": "е", "o": "о", "c": "с", "p": "р", "i": "і"}.get(c, c) if rng.random() < 0.5 else c for c in s)
+    at, dot = rng.choice([(" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "."), ("@", " dot "), ("[@]", "."), (" at ", "."), ("&#64;", "&#46;"), ("@", ".")])
+    user, host = name(), name()
+    email = f"{user}{at}{host}{dot}{rng.choice(['com', 'org', 'net'])}"
+    if (at, dot) == ("@", "."):
+        email = "а" + look(email)
+    yield "email", email
+    octets = [str(rng.randrange(10, 256)) for _ in range(4)]
+    spell = lambda s: " ".join(WORDS_OF_DIGITS[int(c)] for c in s)
+    yield "ip", rng.choice(["[.]".join(octets), " dot ".join(map(spell, octets)), " dot ".join(octets), "(dot)".join(octets), ".".join([spell(octets[0]), *octets[1:]])])
+    digits = [rng.randrange(10) for _ in range(15)]
+    check = next(c for c in range(10) if pii.luhn("".join(map(str, [*digits, c]))))
+    number = "".join(map(str, [*digits, check]))
+    full = "".join(chr(0xFF10 + int(c)) for c in number)
+    yield "card", rng.choice([spell(number), " ".join(spell(number[k : k + 4]) for k in range(0, 16, 4)), full, "​".join(number[k : k + 4] for k in range(0, 16, 4))])
+    tail = "".join(str(rng.randrange(10)) for _ in range(9))
+    yield "phone", rng.choice([f"plus one {spell(tail)}", "+1 " + "".join(chr(0xFF10 + int(c)) for c in tail), f"+1 {tail[:3]} {spell(tail[3:])}", "plus 1 " + spell(tail)])
+
+
+def test_pii_recall_of_disguises():
+    """Spans of generated disguises: all of each kind are found whole, and none in the prose around them."""
+    rng = random.Random(12)
+    prose = ["they walked along the river", "nobody had told her", "it was late in the year", "the old house stood empty"]
+    found, made = dict.fromkeys(pii.KINDS, 0), dict.fromkeys(pii.KINDS, 0)
+    for _ in range(400):
+        for kind, disguise in disguises(rng):
+            before = rng.choice(prose) + ": "
+            text = before + disguise + "; " + rng.choice(prose)
+            want = (len(before), len(before) + len(disguise))
+            base, every = pii.find(text)
+            made[kind] += 1
+            found[kind] += want in every[kind]
+            assert sum(map(len, every.values())) <= 2 + sum(map(len, base.values())), text
+    recall = {k: found[k] / made[k] for k in pii.KINDS}
+    assert all(v >= 0.97 for v in recall.values()), recall

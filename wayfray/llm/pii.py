@@ -4,11 +4,12 @@ Base spans are matches in the text as it stands. A chain of transducers then rew
 disguises (look-alike letters and digits, invisible characters, spelled digits, "at" and
 "dot" written out or in brackets, character references), each keeping for every character
 it emits the source span that it came from. Identifiers found in the rewritten text map
-back to source characters; those that touch no base span of their kind are added.
+back to source characters; those that lie within no base span of their kind are added, so
+an address of which the patterns only see a part is reported whole too.
 
 Defined cases: null and empty texts have no spans; offsets are code points, end exclusive;
 repeated rows each give a row; an empty table gives an empty result; other columns are
-ignored. Whole texts are read, however long.
+ignored. Whole texts are read, however long, in time proportional to their length.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -35,8 +38,8 @@ _NOT_DIGIT = re.compile("[^0-9]")
 
 #: Look-alikes of ASCII letters in other scripts (fixed values).
 LOOK_ALIKES = dict(zip(
-    "абвгдеѕіјкӏмнорстуԛԝхАВСЕНІЈКМОРЅТХΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγικνορτυχ",
-    "a6brgesijklmhopctyqwxABCEHIJKMOPSTXABEZHIKMNOPTYXayikvoptux",
+    "абвгдеѕіјкӏмнорстуԛԝхһԁѵүғѡьАВСЕНІЈКМОРЅТХУѴԚԜҮΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγικνορτυχϲωηοօոսցհɑɡıȷ",
+    "a6brgesijklmhopctyqwxhdvyfwbABCEHIJKMOPSTXYVQWYABEZHIKMNOPTYXayikvoptuxcwnoonughagij",
     strict=True,
 ))
 #: Characters that show nothing.
@@ -50,7 +53,6 @@ DIGIT_WORDS = {
 }
 
 _DW = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_ODD = re.compile("[̀-\U0010ffff­²³¹]")
 _DOTS = "dot|punkt|punto|point"
 #: What may stand between two digits of a run.
 _RUN_SEP = rf"(?:[\s,-]{{1,3}}|\.|[ \t]+(?:{_DOTS})[ \t]+)"
@@ -59,20 +61,23 @@ _SPELLED_DIGIT = re.compile(rf"\b(?:{_DW}){_RUN_SEP}(?:{_DW}|[0-9])|[0-9]{_RUN_S
 _DIGIT_RUN = re.compile(rf"(?:\bplus[\s-]+)?\b(?:{_DW}|[0-9]+)(?:{_RUN_SEP}(?:{_DW}|[0-9]+)\b)+", re.I)
 #: Letters that stand for digits inside a number (fixed values).
 DIGIT_LETTERS = {"O": "0", "o": "0", "I": "1", "l": "1"}
-_MIXED = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl]*(?:[0-9][OoIl]|[OoIl][0-9])[0-9OoIl]*(?![A-Za-z0-9])")
+_MIXED = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl]{2,}(?![A-Za-z0-9])")
 _LETTER = re.compile(r"[OoIl]")
 _IN_RUN = re.compile(rf"plus|{_DW}|[0-9]", re.I)
-_DOT_HINT = re.compile(r"dot|punkt|punto|point|[\[({<]\s*[.@]|[\[({<]\s*(?:at|arobase)\b|&#|&(?:commat|period);|%40", re.I)
-_AT_BRACKET = re.compile(r"[ \t]*[\[({<][ \t]*(?:at|arobase|@)[ \t]*[\])}>][ \t]*", re.I)
-_DOT_BRACKET = re.compile(r"[ \t]*[\[({<][ \t]*(?:dot|punkt|punto|point|\.)[ \t]*[\])}>][ \t]*", re.I)
+_DOT_HINT = re.compile(r"dot|punkt|punto|point|[\[({<]\s*[.@]|[\[({<]\s*(?:at|arobase)\b|&#|&(?:commat|period);|%40|@[ \t]|[ \t]@", re.I)
+_AT_BRACKET = re.compile(r"[ \t]{0,3}[\[({<][ \t]{0,3}(?:at|arobase|@)[ \t]{0,3}[\])}>][ \t]{0,3}", re.I)
+_DOT_BRACKET = re.compile(r"[ \t]{0,3}[\[({<][ \t]{0,3}(?:dot|punkt|punto|point|\.)[ \t]{0,3}[\])}>][ \t]{0,3}", re.I)
 _AT_CODE = re.compile(r"&#0*64;|&#x0*40;|&commat;|%40", re.I)
 _DOT_CODE = re.compile(r"&#0*46;|&#x0*2e;|&period;", re.I)
 _PART = r"[A-Za-z0-9][A-Za-z0-9%+-]*"
-_SEP = r"[ \t_-]+"
-_DOTW = rf"(?:{_SEP}(?:dot|punkt|punto|point){_SEP}|\.)"
-_SPELLED = re.compile(rf"{_PART}(?:{_DOTW}{_PART})*(?:{_SEP}(?:at|arobase){_SEP}|@){_PART}(?:{_DOTW}{_PART})+", re.I)
-_AT_WORD = re.compile(rf"{_SEP}(?:at|arobase){_SEP}", re.I)
-_DOT_WORD = re.compile(rf"{_SEP}(?:dot|punkt|punto|point){_SEP}", re.I)
+_SEP = r"[ \t_-]{1,3}"
+_DOTW = rf"(?:{_SEP}(?:dot|punkt|punto|point){_SEP}|[ \t]{{1,3}}\.[ \t]{{1,3}}|\.)"
+#: What parts a mailbox from its domain; the domain after it; the mailbox before it, read backwards.
+_AT = re.compile(rf"{_SEP}(?:at|arobase){_SEP}|[ \t]{{0,3}}@[ \t]{{0,3}}", re.I)
+_DOMAIN = re.compile(rf"{_PART}(?:{_DOTW}{_PART})+", re.I)
+_TRAP = r"[A-Za-z0-9%+-]*[A-Za-z0-9]"
+_MAILBOX = re.compile(rf"{_TRAP}(?:(?:{_SEP}(?:tod|tknup|otnup|tniop){_SEP}|\.){_TRAP})*", re.I)
+_DOT_WORD = re.compile(rf"{_SEP}(?:dot|punkt|punto|point){_SEP}|[ \t]{{1,3}}\.[ \t]{{1,3}}", re.I)
 _AT_HINT = re.compile(rf"(?<=[A-Za-z0-9%+-]){_SEP}(?:at|arobase){_SEP}{_PART}\.[A-Za-z0-9]", re.I)
 #: Endings of files, and words that start a sentence after a missing space (fixed values).
 NOT_DOMAINS = frozenset(
@@ -87,7 +92,7 @@ BEFORE_AT = frozenset(
     "browse details out up over and or to only start starts started sold learn register registered sign join located listed aimed hints pointed directed "
     "now today also best good not all one once even that this".split()
 )
-_DIGIT_DOT = re.compile(r"(?<=[0-9])[ \t]+(?:dot|punkt|punto|point)[ \t]+(?=[0-9])", re.I)
+_DIGIT_DOT = re.compile(r"(?<=[0-9])[ \t]{1,3}(?:dot|punkt|punto|point|\.)[ \t]{1,3}(?=[0-9])", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -107,11 +112,45 @@ def valid(kind: str, match: str) -> bool:
     return 13 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
 
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of the pattern, from one @ to the next, as the pattern itself rescans long runs from each of their characters."""
+    end, before, at = 0, 0, text.find("@")
+    while at >= 0:
+        if at >= end:
+            low = max(end, before)
+            start = low + len(text[low:at].rstrip(_LOCAL))
+            host = _HOST.match(text, at + 1) if start < at else None
+            if host:
+                end = host.end()
+                yield start, end
+        before, at = at + 1, text.find("@", at + 1)
+
+
+def _ips(text: str) -> Iterator[tuple[int, int]]:
+    """The matches of the pattern: of each chain of numbers, every four from the left."""
+    for m in _NUMBERS.finditer(text):
+        if m[0].count(".") >= 3:
+            ends, at = [], m.start()
+            for number in m[0].split("."):
+                ends.append((at, at + len(number)))
+                at += len(number) + 1
+            for k in range(0, len(ends) - 3, 4):
+                yield ends[k][0], ends[k + 3][1]
+
+
 def spans(text: str) -> dict[str, list[tuple[int, int]]]:
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    kinds = (["email"] if "@" in text else []) + (["ip", "card"] + ["phone"] * ("+" in text) if _DIGIT.search(text) else [])
-    for kind in kinds:
-        out[kind] = [m.span() for m in PATTERNS[kind].finditer(text) if valid(kind, m[0])]
+    if "@" in text:
+        out["email"] = list(_emails(text))
+    if _DIGIT.search(text):
+        out["ip"] = [x for x in _ips(text) if valid("ip", text[x[0] : x[1]])]
+        for kind in ("card", "phone") if "+" in text else ("card",):
+            out[kind] = [m.span() for m in PATTERNS[kind].finditer(text) if valid(kind, m[0])]
     return out
 
 
@@ -119,22 +158,45 @@ class Tape:
     """A rewritten text and, for each of its characters, the source span behind it."""
 
     def __init__(self, text: str):
-        self.text, self.start, self.end, self.changed = text, list(range(len(text))), list(range(1, len(text) + 1)), False
+        self.text, self.starts, self.ends, self.changed = text, np.arange(len(text)), np.arange(1, len(text) + 1), False
 
-    def rewrite(self, pattern: re.Pattern, by: Callable[[re.Match], list[tuple[int, int, str]]]) -> None:
-        """by: for a match, the (start, end, replacement) pieces in it; what lies between stays."""
+    @property
+    def start(self) -> list[int]:
+        return self.starts.tolist()
+
+    @property
+    def end(self) -> list[int]:
+        return self.ends.tolist()
+
+    def replace(self, pieces: list[tuple[int, int, str]]) -> None:
+        """pieces: (start, end, replacement) in order; what lies between stays."""
+        if not pieces:
+            return
         text, start, end, at = [], [], [], 0
-        for m in pattern.finditer(self.text):
-            for a, b, new in by(m):
-                text.append(self.text[at:a] + new)
-                start += self.start[at:a] + [self.start[a]] * len(new)
-                end += self.end[at:a] + [self.end[b - 1]] * len(new)
-                at = b
-        if at:
-            self.text = "".join(text) + self.text[at:]
-            self.start, self.end, self.changed = start + self.start[at:], end + self.end[at:], True
+        for a, b, new in pieces:
+            text += (self.text[at:a], new)
+            start += (self.starts[at:a], np.full(len(new), self.starts[a]))
+            end += (self.ends[at:a], np.full(len(new), self.ends[b - 1]))
+            at = b
+        self.text = "".join(text) + self.text[at:]
+        self.starts, self.ends, self.changed = np.concatenate([*start, self.starts[at:]]), np.concatenate([*end, self.ends[at:]]), True
+
+    def rewrite(self, pattern: re.Pattern, by: Callable[[re.Match], list[tuple[int, int, str]]]) -> None:
+        """by: the pieces in a match."""
+        self.replace([p for m in pattern.finditer(self.text) for p in by(m)])
+
+    def letters(self, new: dict[str, str]) -> None:
+        """Every character by what stands for it."""
+        if not new:
+            return
+        moved = {c: x for c, x in new.items() if len(x) != 1}
+        self.text = self.text.translate({ord(c): x for c, x in new.items() if len(x) == 1})
+        self.changed = True
+        if moved:
+            self.rewrite(re.compile("[" + re.escape("".join(moved)) + "]"), lambda m: [(m.start(), m.end(), moved[m[0]])])
 
 
+@lru_cache(1 << 16)
 def _plain(c: str) -> str:
     if c in INVISIBLE:
         return ""
@@ -169,41 +231,57 @@ def _digits(m: re.Match) -> list[tuple[int, int, str]]:
     return pieces
 
 
-def _whole_domain(m: re.Match, domain: str) -> bool:
-    """Whether a plain ``domain`` that ends the match is one by its form and by what follows, and not a missing space, a file or the start of a link."""
-    after = m.string[m.end() : m.end() + 2]
+def _whole_domain(text: str, end: int, domain: str) -> bool:
+    """Whether a plain ``domain`` that ends at ``end`` is one by its form and by what follows, and not a missing space, a file or the start of a link."""
+    after = text[end : end + 2]
     last = domain.rsplit(".", 1)[-1]
     return domain in (domain.lower(), domain.upper()) and 2 <= len(last) <= 12 and last.isalpha() and last.lower() not in NOT_DOMAINS and after[:1] not in tuple("@/:\\_") and not (after[:1] == "." and after[1:].isalnum())
 
 
-def _spelled(t: Tape, m: re.Match) -> list[tuple[int, int, str]]:
-    """The at and dot words of an address. After a spelled at, plain dots that didn't stand in disguise count if they make a whole domain and no word before at is one that prose has there."""
-    ats = [x.span() for x in _AT_WORD.finditer(m[0])]
-    if ats and any(c == "." and t.end[i] - t.start[i] == 1 for i, c in enumerate(m[0][ats[0][1] :], m.start() + ats[0][1])):
-        if len(ats) > 1 or m[0][: ats[0][0]].lower() in BEFORE_AT or not _whole_domain(m, _DOT_WORD.sub(".", m[0][ats[0][1] :])):
-            return []
-    dots = [x.span() for x in _DOT_WORD.finditer(m[0])]
-    return sorted((m.start() + a, m.start() + b, new) for found, new in ((ats, "@"), (dots, ".")) for a, b in found)
+def _addresses(t: Tape) -> list[tuple[int, int, str]]:
+    """The at and dot words of addresses, from one at to the next.
+
+    After a spelled or spaced at, plain dots that didn't stand in disguise count if they make a whole domain
+    and no word before at is one that prose has there."""
+    text, out, low = t.text, [], 0
+    for at in _AT.finditer(text):
+        before, low = low, max(low, at.end())
+        a, b = at.span()
+        domain = _DOMAIN.match(text, b) if a >= before else None
+        if not domain or _AT.match(text, domain.end()):
+            continue
+        box = _MAILBOX.match(text[before:a][::-1])
+        if not box:
+            continue
+        left, right = a - box.end(), domain.end()
+        if at[0] != "@":
+            plain = any(c == "." and t.ends[i] - t.starts[i] == 1 for i, c in enumerate(domain[0], b))
+            if plain and (text[left:a].lower() in BEFORE_AT or not _whole_domain(text, right, _DOT_WORD.sub(".", domain[0]))):
+                continue
+        dots = [(x.start(), x.end(), ".") for lo, hi in ((left, a), (b, right)) for x in _DOT_WORD.finditer(text, lo, hi)]
+        ats = [(a, b, "@")] if at[0] != "@" else []
+        out += sorted(dots + ats)
+        low = right
+    return out
 
 
 def deobfuscated(text: str) -> Tape | None:
     """None if nothing in the text looks disguised."""
-    odd, words, dots, mixed, at = (p.search(text) for p in (_ODD, _SPELLED_DIGIT, _DOT_HINT, _MIXED, _AT_HINT))
-    if not (odd or words or dots or mixed or at):
+    odd = {} if text.isascii() else {c: p for c in set(text) if (ord(c) >= 0x2B0 or c in "\xad²³¹ɑɡıȷ") and (p := _plain(c)) != c}
+    words, dots, mixed, at = (p.search(text) for p in (_SPELLED_DIGIT, _DOT_HINT, _MIXED, _AT_HINT))
+    if not (odd or words or dots or mixed or at or _DIGIT_DOT.search(text)):
         return None
     t = Tape(text)
     whole = lambda new: lambda m: [(m.start(), m.end(), new)]
-    if odd:
-        t.rewrite(_ODD, lambda m: [] if (p := _plain(m[0])) == m[0] else [(m.start(), m.end(), p)])
-    if mixed:
-        t.rewrite(_MIXED, lambda m: [(m.start() + x.start(), m.start() + x.end(), DIGIT_LETTERS[x[0]]) for x in _LETTER.finditer(m[0])])
-    for p, new in ((_AT_CODE, "@"), (_DOT_CODE, "."), (_AT_BRACKET, "@"), (_DOT_BRACKET, ".")) if dots else ():
+    t.letters(odd)
+    t.rewrite(_MIXED, lambda m: [] if m[0].isdigit() or m[0].isalpha() else [(m.start() + x.start(), m.start() + x.end(), DIGIT_LETTERS[x[0]]) for x in _LETTER.finditer(m[0])])
+    for p, new in ((_AT_CODE, "@"), (_DOT_CODE, "."), (_AT_BRACKET, "@"), (_DOT_BRACKET, ".")) if _DOT_HINT.search(t.text) else ():
         t.rewrite(p, whole(new))
     if words or t.changed and _SPELLED_DIGIT.search(t.text):
         t.rewrite(_DIGIT_RUN, _digits)
-    if _DOT_HINT.search(t.text) or _AT_HINT.search(t.text):
-        t.rewrite(_DIGIT_DOT, whole("."))
-        t.rewrite(_SPELLED, lambda m: _spelled(t, m))
+    t.rewrite(_DIGIT_DOT, whole("."))
+    if _DOT_HINT.search(t.text) or _AT_HINT.search(t.text) or t.changed and "@" in t.text:
+        t.replace(_addresses(t))
     return t if t.changed else None
 
 
@@ -214,9 +292,12 @@ def find(text: str | None) -> tuple[dict[str, list[tuple[int, int]]], dict[str,
     every = {k: list(v) for k, v in base.items()}
     if text and (t := deobfuscated(text)):
         for kind, found in spans(t.text).items():
+            own, k = base[kind], 0
             for a, b in found:
-                s, e = t.start[a], t.end[b - 1]
-                if all(e <= x or s >= y for x, y in every[kind]):
+                s, e = int(t.starts[a]), int(t.ends[b - 1])
+                while k < len(own) and own[k][1] < e:
+                    k += 1
+                if k == len(own) or own[k][0] > s:  # within no base span
                     every[kind].append((s, e))
             every[kind].sort()
     return base, every
