@@ -611,6 +611,7 @@ def test_pii_of_a_megabyte_of_one_thing(unit):
         ("10 . 0 . 0 . 1", "ip:0:14"),
         ("һello@example.com", "email:0:17,email:1:17"),
         ("me @ cafe. Then", ""),
+        ("+1 (848) 555-1373 Un an", "phone:0:17"),
         ("she lives at home . then she left", ""),
     ],
 )

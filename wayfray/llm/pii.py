@@ -52,6 +52,9 @@ DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 
+#: Those of them that prose has as articles and the like (fixed values).
+PROSE = frozenset("un uno null oh dos sept".split())
+
 _DW = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _DOTS = "dot|punkt|punto|point"
 #: What may stand between two digits of a run.
@@ -210,12 +213,17 @@ def _plain(c: str) -> str:
 
 
 def _digits(m: re.Match) -> list[tuple[int, int, str]]:
-    """One piece for each digit or digit word of a run; the separators between two of which one is spelled go, and dot words become dots."""
+    """One piece for each digit or digit word of a run; the separators between two of which one is spelled go, and dot words become dots.
+
+    A word that prose has anyway is no digit at an end of the run beside a written digit."""
+    found = [(m.start() + x.start(), m.start() + x.end(), x[0].lower()) for x in _IN_RUN.finditer(m[0])]
+    while len(found) > 1 and found[-1][2] in PROSE and found[-2][2].isdigit():
+        found.pop()
+    while len(found) > 1 and found[0][2] in PROSE and found[1][2].isdigit():
+        found.pop(0)
     pieces, at = [], None
-    for x in _IN_RUN.finditer(m[0]):
-        w = x[0].lower()
+    for a, b, w in found:
         new = "+" if w == "plus" else DIGIT_WORDS.get(w, w)
-        a, b = m.start() + x.start(), m.start() + x.end()
         spelled = new != w
         if at is not None and a > at[0]:
             between = m.string[at[0] : a]
