@@ -660,3 +660,23 @@ def test_pii_recall_of_disguises():
             assert sum(map(len, every.values())) <= 2 + sum(map(len, base.values())), text
     recall = {k: found[k] / made[k] for k in pii.KINDS}
     assert all(v >= 0.97 for v in recall.values()), recall
+
+
+@pytest.mark.parametrize("large", [1e5, 1e8, 1e30, 1e300])
+def test_search_of_components_of_any_size(spark, large):
+    """Exact against integers of any size, with vectors of widely differing lengths."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=6) * (large if i % 3 == 0 else 1.0 if i % 3 == 1 else 1e-4)]) for i in range(200)]
+    rows += [(500, [0.0] * 6), (501, [large] * 6), (502, [-large] * 6), (503, [large] * 6)]
+    got = search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0, pivots=5, query_block=3, vector_block=30).collect()
+    whole = {i: [int(x) * 256 if abs(x) >= 2**53 else math.floor(256 * x) for x in v] for i, v in rows}
+    want = []
+    for q in whole:
+        if q % 50 == 0:
+            s = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:5]
+            want += [(q, k + 1, i, max(-(2**63), min(2**63 - 1, -a))) for k, (a, i) in enumerate(s)]
+    assert sorted(map(tuple, got)) == sorted(want)

@@ -1,11 +1,18 @@
 """Exact top-k inner-product search by pivot-table elimination (operator 8).
 
-Components become floor(scale * x). One more component makes all candidates of a
-dimension equally long, which turns the largest inner product into the smallest distance.
-A table holds every vector's distances to the pivots; the largest difference between a
-query's and a vector's row bounds their distance from below. A query evaluates candidates
-in the order of that bound, a batch at a time, and stops when the next bound exceeds its
-k-th best distance: exactly the k best, ties to the smaller id.
+Components become floor(scale * x), exactly, however large. Vectors of a dimension are
+classed by the power of two of their length; one more component makes all candidates of a
+class equally long, which turns the largest inner product into the smallest distance. A
+table, made once and kept with the vectors, holds their distances to the class's pivots;
+the largest difference between a query's and a vector's row bounds their distance from
+below. A query evaluates candidates in the order of that bound, a batch at a time, and
+stops when the next bound exceeds its k-th best distance: exactly the k best, ties to the
+smaller id.
+
+Bounds are floats of vectors scaled to their class, with an allowance of ALLOWED times the
+class's length, far above the rounding of distances of such lengths (4e-7). Scores are
+integers: 64-bit where a block's lengths prove that they suffice, else of any size. A score
+beyond 64 bits is returned as the nearest 64-bit number; ranks go by the true score.
 
 Queries meet vectors in blocks (``query_block`` by ``vector_block`` rows); each pair of
 blocks is one bounded piece of work whose k best go on to a per-query merge.
@@ -15,8 +22,8 @@ taken (``sample`` rows, the smallest hashes of id and vector); any pivots give e
 
 Defined cases: vectors that are null, empty or hold a null, NaN or infinite component take
 no part; a query meets candidates of its own dimension only; rows that share the query's id
-are not its candidates, and the least of their vectors of a dimension is the query; repeated rows are candidates each; an empty table gives an empty
-result; other columns are ignored.
+are not its candidates, and the least of their vectors of a dimension is the query; repeated
+rows are candidates each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,13 +40,34 @@ from pyspark.sql import functions as F
 from .common import frozen
 
 
-def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """id, v (array<bigint>), d: the vectors that take part."""
+#: Share of a class's length by which bounds may be off.
+ALLOWED = 1e-6
+LONG = 2**63 - 1
+
+
+def taking_part(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """id, v (array<double>), d: the vectors that take part."""
     v = F.col(vector_col).cast("array<double>")
-    good = F.size(v) > 0
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    ints = F.transform(v, lambda x: F.floor(x * F.lit(float(scale))).cast("bigint"))
-    return vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & good & fine).select(F.col(id_col).alias("id"), ints.alias("v")).withColumn("d", F.size("v"))
+    return vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & fine).select(F.col(id_col).alias("id"), v.alias("v")).withColumn("d", F.size("v"))
+
+
+def exact(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) as integers of any size; a float of 2 ** 53 or more is whole already."""
+    return np.array([[int(c) * scale if abs(c) >= 2.0**53 else math.floor(c * scale) for c in row] for row in x.tolist()], object).reshape(x.shape)
+
+
+def scaled(x: np.ndarray, scale: int, c) -> np.ndarray:
+    """floor(scale * x) / 2 ** c as floats; c: one number, or one by row."""
+    with np.errstate(over="ignore"):
+        c = np.broadcast_to(np.asarray(c), len(x))[:, None]
+        return np.where(np.abs(x) < 2.0**60, np.ldexp(np.floor(x * scale), -c), np.ldexp(x, scale.bit_length() - 1 - c))
+
+
+def length_class(x: np.ndarray, scale: int) -> np.ndarray:
+    """For each row the c with length of floor(scale * x) under 2 ** c, and no less than half of it unless 0."""
+    e = np.maximum(np.frexp(np.abs(x).max(1))[1] + scale.bit_length(), 1)
+    return np.maximum(np.frexp(np.sqrt((scaled(x, scale, e) ** 2).sum(1)))[1] + e, 1)
 
 
 def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
@@ -56,74 +84,104 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[at]
 
 
+def augmented(x: np.ndarray) -> np.ndarray:
+    """Rows shorter than 1 with one more component, which makes their length 1."""
+    return np.c_[x, np.sqrt(np.maximum(1 - (x**2).sum(1), 0))]
+
+
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     d = (x**2).sum(1)[:, None] + (pivots**2).sum(1)[None] - 2 * x @ pivots.T
     return np.sqrt(np.maximum(d, 0))
 
 
-def block_top(q_ids, q, q_table, ids, x, table, k: int, long2: float, batch: int = 256) -> Iterator[tuple]:
-    """Each query's k best of a block, as (query, id, score). long2: the squared length all candidates share."""
+def block_top(q_ids, q, q_scaled, q_table, ids, x, table, k: int, unit: int, batch: int = 256) -> Iterator[tuple]:
+    """Each query's k best of a block, as (query, id, score). A score is 2 ** unit times the product of the scaled vectors."""
+    allowed = ALLOWED * math.sqrt(2 * max(1.0, x.shape[1] / 64))
     for i in range(len(q_ids)):
         bound = np.abs(table - q_table[i]).max(1)
         order = np.argsort(bound, kind="stable")
         best: list[tuple[int, object]] = []  # (-score, id), best first
-        at, base = 0, float((q[i].astype(float) ** 2).sum()) + long2
+        at, base = 0, float((q_scaled[i] ** 2).sum()) + 1
         while at < len(order):
             if len(best) == k:
-                worst = math.sqrt(max(0.0, base + 2 * best[-1][0]))
-                if bound[order[at]] > worst * (1 + 1e-9) + 1e-6:  # rounding of the table's floats
+                s = best[-1][0]
+                cut = max(0, s.bit_length() - 60)
+                if bound[order[at]] > math.sqrt(max(0.0, base + 2 * math.ldexp(s >> cut, cut - unit))) + allowed:
                     break
             part = order[at : at + batch]
             at += batch
             part = part[ids[part] != q_ids[i]]
+            if not len(part):
+                continue
             found = x[part] @ q[i]
-            if len(found) > k:  # ties of the k-th stay
+            if len(found) > k and found.dtype != object:  # ties of the k-th stay
                 part, found = (y[found >= np.partition(found, len(found) - k)[len(found) - k]] for y in (part, found))
             best = sorted([*best, *zip((-found).tolist(), ids[part].tolist(), strict=True)])[:k]
         for s, j in best:
             yield q_ids[i], j, -s
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, pivots: int = 32, sample: int = 2000, query_block: int = 512, vector_block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id, score of each query's k best. is_query: a condition on ``id``."""
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, pivots: int = 32, sample: int = 2000, query_block: int = 2048, vector_block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank (from 1), vec_id, score of each query's k best. is_query: a condition on ``id``. scale: a power of two."""
+    if scale & (scale - 1):
+        raise ValueError("scale must be a power of two, so that products with it are exact")
     spark = vectors.sparkSession
-    all_ = frozen(quantised(vectors, id_col, vector_col, scale))
-    kind = dict(all_.dtypes)["id"]
-    square = F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x * x)
-    sizes = {r["d"]: (r["n"], r["m"], r["q"]) for r in all_.groupBy("d").agg(F.count("*").alias("n"), F.max(square).alias("m"), F.count_if(is_query).alias("q")).collect()}  # a row per dimension
-    few = all_.orderBy(F.xxhash64(F.col("id").cast("string"), "v"), "id").limit(sample).collect()
-    table = {}
-    for d, (_, m, _) in sizes.items():
-        s = np.array([r["v"] for r in few if r["d"] == d], float).reshape(-1, d)
-        s = np.c_[s, np.sqrt(np.maximum(m - (s**2).sum(1), 0))] if len(s) else np.zeros((1, d + 1))
-        table[d] = (choose_pivots(s, pivots), float(m))
-    known = spark.sparkContext.broadcast(table)  # pivots x dimension numbers for each dimension
-
-    def blocks(rows: DataFrame, size: int, n: Column) -> DataFrame:
-        b = F.pmod(F.xxhash64(F.col("id").cast("string"), "v", F.lit(7)), F.greatest(F.lit(1), F.ceil(n / size))).cast("int")
-        return rows.withColumn("b", b)
-
-    of = F.create_map(*[F.lit(x) for d, s in sizes.items() for x in (d, s[0])]) if sizes else F.create_map(F.lit(0), F.lit(0))
-    of_q = F.create_map(*[F.lit(x) for d, s in sizes.items() for x in (d, s[2])]) if sizes else F.create_map(F.lit(0), F.lit(0))
-    x = blocks(all_, vector_block, of[F.col("d")])
+    base = taking_part(vectors, id_col, vector_col)
+    kind = dict(base.dtypes)["id"]
+    few = base.orderBy(F.xxhash64(F.col("id").cast("string"), "v"), "id").limit(sample).collect()
+    chosen: dict[tuple[int, int], np.ndarray] = {}  # at most the sample's classes, each of at most ``pivots`` rows
+    for d in {r["d"] for r in few}:
+        x = np.array([r["v"] for r in few if r["d"] == d], float).reshape(-1, d)
+        c = length_class(x, scale)
+        for one in np.unique(c).tolist():
+            chosen[d, one] = choose_pivots(augmented(scaled(x[c == one], scale, one)), pivots)
+    known = spark.sparkContext.broadcast(chosen)
+
+    def pivots_of(d: int, c: int) -> np.ndarray:
+        p = known.value.get((d, c))
+        return np.zeros((1, d + 1)) if p is None else p
+
+    def tabled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for d, f in frame.groupby("d"):
+                x = np.stack(f["v"].to_numpy())
+                c = length_class(x, scale)
+                for one in np.unique(c).tolist():
+                    t = _distances(augmented(scaled(x[c == one], scale, one)), pivots_of(int(d), one))
+                    yield f[c == one].assign(c=one, t=list(t))[["id", "v", "d", "c", "t"]]
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    all_ = frozen(base.mapInPandas(tabled, f"id {kind}, v array<double>, d int, c int, t array<double>"))
     once = all_.where(is_query).groupBy("id", "d").agg(F.min("v").alias("v"))  # a query given twice is one
-    q = blocks(once, query_block, of_q[F.col("d")])
-    n_q = F.greatest(F.lit(1), F.ceil(of_q[F.col("d")] / query_block)).cast("int")
-    n_x = F.greatest(F.lit(1), F.ceil(of[F.col("d")] / vector_block)).cast("int")
-    left = x.withColumn("qb", F.explode(F.sequence(F.lit(0), n_q - 1))).select("d", "qb", F.col("b").alias("xb"), "id", "v")
-    right = q.withColumn("xb", F.explode(F.sequence(F.lit(0), n_x - 1))).select("d", F.col("b").alias("qb"), "xb", "id", "v")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.count("*") / n)).cast("int")
+    grid = all_.groupBy("d", "c").agg(blocks(vector_block).alias("n_x")).join(once.groupBy("d").agg(blocks(query_block).alias("n_q")), "d")
+    grid = frozen(grid)  # a row per dimension and class, of which floats have some 2,100
+    place = lambda n: F.pmod(F.xxhash64(F.col("id").cast("string"), "v", F.lit(7)), n).cast("int")
+    left = all_.join(F.broadcast(grid), ["d", "c"]).withColumn("xb", place(F.col("n_x"))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1))).select("d", "c", "qb", "xb", "id", "v", "t")
+    right = once.join(F.broadcast(grid), "d").withColumn("qb", place(F.col("n_q"))).withColumn("xb", F.explode(F.sequence(F.lit(0), F.col("n_x") - 1)))
+    right = right.select(*(F.col(c).alias(c) for c in ("d", "c", "qb", "xb", "id", "v")))  # names of its own beside left's
 
     def meet(key, lhs: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        if not len(lhs) or not len(rhs):
-            return empty
-        p, m = known.value[int(key[0])]
-        xs, qs = np.stack(lhs["v"].to_numpy()).astype(np.int64), np.stack(rhs["v"].to_numpy()).astype(np.int64)
-        xa = np.c_[xs, np.sqrt(np.maximum(m - (xs.astype(float) ** 2).sum(1), 0))]
-        qa = np.c_[qs, np.zeros(len(qs))]
-        rows = list(block_top(rhs["id"].to_numpy(), qs, _distances(qa, p), lhs["id"].to_numpy(), xs, _distances(xa, p), k, m))
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]) if rows else empty
-
-    near = left.groupBy("d", "qb", "xb").cogroup(right.groupBy("d", "qb", "xb")).applyInPandas(meet, f"query_id {kind}, vec_id {kind}, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+        rows: list[tuple] = []
+        if len(lhs) and len(rhs):
+            d, c = int(key[0]), int(key[1])
+            p, ids, table = pivots_of(d, c), lhs["id"].to_numpy(), np.stack(lhs["t"].to_numpy())
+            xs, qs = np.stack(lhs["v"].to_numpy()), np.stack(rhs["v"].to_numpy())
+            own = length_class(qs, scale)
+            integers: dict[bool, np.ndarray] = {}
+            for one in np.unique(own).tolist():
+                mine = np.flatnonzero(own == one)
+                fits = c + one <= 62  # no inner product, nor a part of it, exceeds the product of the lengths
+                if fits not in integers:
+                    integers[fits] = np.floor(xs * scale).astype(np.int64) if fits else exact(xs, scale)
+                q = np.floor(qs[mine] * scale).astype(np.int64) if fits else exact(qs[mine], scale)
+                small = scaled(qs[mine], scale, one)
+                q_table = _distances(np.c_[small, np.zeros(len(small))], p)
+                rows += block_top(rhs["id"].to_numpy()[mine], q, small, q_table, ids, integers[fits], table, k, one + c)
+        far = lambda s: (s + (1 << 2200)).to_bytes(288, "big") if abs(s) >= LONG else None
+        out = [(a, b, max(-LONG - 1, min(LONG, s)), far(s)) for a, b, s in rows]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "far"])
+
+    near = left.groupBy("d", "c", "qb", "xb").cogroup(right.groupBy("d", "c", "qb", "xb")).applyInPandas(meet, f"query_id {kind}, vec_id {kind}, score long, far binary")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("far").desc(), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
