@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``. Where it is unset, as in tests, a local master gets one of its own; a cluster is asked to name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if _own[0] is None:
+        _own[0] = tempfile.mkdtemp()
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return _own[0]
+
+
+_own: list[str | None] = [None]
+
+
 def frozen(df: DataFrame) -> DataFrame:
     """df in the shared checkpoint folder, its lineage cut."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -29,8 +47,10 @@ def star_components(edges: DataFrame, by: list[str] | None = None, src: str = "s
     nodes = e.select(*by, F.explode(F.array("u", "v")).alias("node")).distinct()
     e = e.where("u <> v")
     last = None
-    for _ in range(rounds):
-        now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
+    for k in range(rounds + 1):
+        if k == rounds:
+            raise RuntimeError(f"components are not complete after {rounds} rounds")
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last or not now[0]:
             break
         last = now
