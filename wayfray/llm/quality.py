@@ -73,6 +73,8 @@ def counts(docs: DataFrame) -> DataFrame:
     return arrow_map(slim, _each, f"doc_id {kind}, _g string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
 
 
+#: Parts that a host's documents meet its verdict in.
+SALTS = 32
 #: Rules of a document besides the base rule.
 RULES = {
     "symbols": "10 * n_symbols > n_words",
@@ -103,5 +105,6 @@ def judge(docs: DataFrame, min_words: int = 50, most_repeated: int = 50, host_mo
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     rule = F.expr(" or ".join(f"({r})" for r in RULES.values()))
     rated = c.withColumns({"base_failed": base, "rule_failed": rule}).withColumn("_failed", F.col("base_failed") | F.col("rule_failed"))
-    out = rated.join(host_verdicts(rated), "_g")
+    verdicts = host_verdicts(rated).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a host may have most documents
+    out = rated.withColumn("_s", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(SALTS)).cast("int")).join(verdicts, ["_g", "_s"]).drop("_s")
     return out.withColumn("kept", ~F.col("_failed") & F.col("host_ok"))
