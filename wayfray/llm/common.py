@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import frozen as shared_checkpoint
+
 #: A word of every contract here: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one Arrow batch; texts may be long, so batches hold few of them.
@@ -23,23 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def frozen(df: DataFrame) -> DataFrame:
-    """df, written to the checkpoint folder that all executors share, its lineage cut.
-
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset (local
-    tests) one of our own is made."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    out = df.checkpoint(eager=True)
+    """df in the checkpoint folder that all executors share (see components.frozen), its lineage cut.
+
+    Shuffle files go when the JVM has collected the plans that made them; both collectors are asked
+    to, as long jobs otherwise keep the files of all their steps on the executors' disks."""
+    out = shared_checkpoint(df)
     del df
     gc.collect()
-    sc._jvm.System.gc()
+    out.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 
-def arrow_map(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+def arrow_map(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, batch: int = BATCH_ROWS) -> DataFrame:
     """mapInArrow with small batches."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     return df.mapInArrow(each, schema)
 
 

@@ -16,8 +16,8 @@ shingle sets.
 
 Defined cases: null, empty and word-less texts have an empty set, no link, and are kept; a
 text of fewer words than a shingle is one shingle; repeated rows are copies of each other
-and each gives a row; a null doc_id never becomes a component id unless alone; an empty
-table gives an empty result; other columns are ignored.
+and each gives a row; rows with a null doc_id take part, but name no component that has a
+named row, and are kept only where none has; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +41,10 @@ _B = _rng.integers(0, 2**63, H, np.uint64)
 _SALT = _rng.integers(0, 2**63, (CHUNKS, SYMBOLS), np.uint64)
 #: Members of a bucket that are compared at a time.
 BLOCK = 4096
+#: Numbers in which all members of a block together differ from the head (8 MB).
+BLOCK_SIZE = 1 << 20
+#: Parts that a component's classes meet its id in.
+SALTS = 32
 
 
 def shingles(text: bytes | None, words: WordHashes, k: int) -> np.ndarray:
@@ -182,9 +186,11 @@ def _sets(k: int):
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """c, s: the whole shingle sets of the classes in ids, each from its document of least id."""
-    who = classes.join(ids, "c", "left_semi").select(F.col("rep").alias("doc_id"), "c", "fp")
-    texts = docs.select("doc_id", "text").join(who, "doc_id").select("c", "fp", "text")
+    """c, s: the whole shingle sets of the classes in ids, each from its document of least id, or one without an id."""
+    who = classes.join(ids, "c", "left_semi").select(F.col("rep").alias("doc_id"), "c", "fp", "th")
+    texts = docs.select("doc_id", "text").join(who.where("doc_id is not null"), "doc_id").select("c", "fp", "text")
+    unnamed = docs.where(F.col("doc_id").isNull() & F.col("text").isNotNull()).select(F.xxhash64("text").alias("th"), "text").dropDuplicates(["th"])
+    texts = texts.union(unnamed.join(who.where("doc_id is null"), "th").select("c", "fp", "text"))
     return frozen(arrow_map(texts, _sets(k), "c long, s array<long>").dropDuplicates(["c"]))
 
 
@@ -194,10 +200,10 @@ def _both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def classes_of(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, th, n_shingles, fp; th: hash of the text) and classes (c, fp, rep, n, sig)."""
+    """Rows (doc_id, th, n_shingles, fp; th: hash of the text) and classes (c, fp, rep, th, n, sig)."""
     slim = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     rows = frozen(arrow_map(slim, _described(k), f"doc_id {dict(slim.dtypes)['doc_id']}, th long, n_shingles long, fp binary, sig binary"))
-    by = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig"))
+    by = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("th").alias("th"), F.max("n_shingles").alias("n"), F.max("sig").alias("sig"))
     return rows, frozen(by.withColumn("c", F.monotonically_increasing_id()))
 
 
@@ -226,12 +232,13 @@ def linked_classes(docs: DataFrame, classes: DataFrame, k: int, percent: int) ->
     apart = F.concat(F.array_except("a", "b"), F.array_except("b", "a"))
     deltas = frozen(_both(held.where("x <> c").select("x", F.col("c").alias("y")).distinct(), sets).select("x", F.col("y").alias("c"), apart.alias("delta")))
     held = held.join(deltas, ["x", "c"], "left").withColumn("delta", F.coalesce("delta", F.array().cast("array<bigint>")))
-    held = held.withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.hash("c", "key"), F.col("nb")))
+    bulk = held.groupBy("key").agg(F.sum(F.size("delta") + 1).alias("_bulk"))
+    held = held.join(bulk, "key").withColumn("nb", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("_bulk") / BLOCK_SIZE)).cast("int")).withColumn("blk", F.pmod(F.hash("c", "key"), F.col("nb")))
     held = held.join(classes.select("c", F.col("n").alias("size")), "c")
     met_by = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(F.least(F.col("blk"), j).alias("i"), F.greatest(F.col("blk"), j).alias("j")))
     dealt = held.withColumn("at", F.explode(met_by))
     groups = dealt.groupBy("key", "at").agg(F.collect_list(F.struct("c", "comp", F.col("size").alias("n"), "delta", "blk")).alias("members"))
-    more = frozen(arrow_map(groups.select("members"), _within(percent), "x long, y long"))
+    more = frozen(arrow_map(groups.select("members"), _within(percent), "x long, y long", batch=8))
     return star_components(first.union(more), src="x", dst="y")
 
 
@@ -239,15 +246,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """Per row: doc_id, th (hash of its text), n_shingles, component_id (the smallest doc_id linked, itself included), kept."""
     rows, classes = classes_of(docs, k)
     comp = linked_classes(docs, classes, k, percent)
-    named = classes.join(comp.withColumnRenamed("node", "c"), "c", "left").select("fp", "rep", F.coalesce("label", "c").alias("label"))
-    least = named.groupBy("label").agg(F.min("rep").alias("component"))
-    of = named.join(least, "label").select("fp", "component")
+    named = classes.join(comp.withColumnRenamed("node", "c"), "c", "left").select("c", "fp", "rep", "label").withColumn("_s", F.pmod("c", F.lit(SALTS)).cast("int"))
+    least = named.where("label is not null").groupBy("label").agg(F.min("rep").alias("component"))
+    least = least.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    of = named.join(least, ["label", "_s"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
     out = rows.join(of, "fp", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "th", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "th", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component: that of the component's id, once. Null ids stay."""
+    """docs with one document of each component: that of the component's id, once. Rows with a null id stay where no named row is linked."""
     keep = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("__near_id"), F.col("th").alias("__near_th")).distinct()
     th = F.xxhash64("text")
     one = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__near_id")) & (th == F.col("__near_th")), "left_semi")
