@@ -680,3 +680,297 @@ def test_search_of_components_of_any_size(spark, large):
             s = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:5]
             want += [(q, k + 1, i, max(-(2**63), min(2**63 - 1, -a))) for k, (a, i) in enumerate(s)]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def brute_kept_text(rows, min_docs=3, least=8):
+    """What line dedup leaves of each row's text, by definition."""
+    import re
+
+    def form(line):
+        return tuple("<*>" if re.search("[0-9@]", w) else w for w in re.findall(r"[^\x20\x09-\x0D]+", line))
+
+    def templates(f):
+        if len(f) < least:
+            return [(f,)]
+        step = -(-len(f) // 4)
+        q = [f[k * step : (k + 1) * step] for k in range(4)]
+        return [(len(f), f[:3], k, *c) for k, c in enumerate(itertools.combinations(q, 3))]
+
+    docs = {}
+    for i, t, _ in rows:
+        for line in (t or "").split("\n"):
+            if form(line):
+                for x in templates(form(line)):
+                    docs.setdefault(x, set()).add(i)
+    first = {x: min(i for i in s if i is not None) for x, s in docs.items() if len(s) >= min_docs}
+    out = []
+    for i, t, _ in rows:
+        if t is None:
+            out.append((i, None, 0, 0))
+            continue
+        kept, n, gone = [], 0, 0
+        for line in t.split("\n"):
+            owners = [first[x] for x in templates(form(line)) if x in first] if form(line) else []
+            n += bool(form(line))
+            if owners and min(owners) != i:
+                gone += 1
+            else:
+                kept.append(line)
+        left = "\n".join(kept)
+        out.append((i, t if not gone else left if left.split() else "", n, gone))
+    return out
+
+
+def test_lines_against_brute_force(spark):
+    rng = random.Random(3)
+    family = ["posted by user {} in our cooking section", "page {} of the long report on rivers", "read more of our terms", "share this {}", "all rights are kept by us and by nobody else at all"]
+    rows = []
+    for i in range(120):
+        own = [" ".join(words(rng, rng.randrange(0, 14), 60)) for _ in range(rng.randrange(0, 6))]
+        own += [rng.choice(family).format(rng.choice(["ann", "bob", "7", "x@y"])) for _ in range(rng.randrange(0, 4))]
+        rng.shuffle(own)
+        rows.append((i if i % 17 else None, "\n".join(own) if i % 13 else None, "s"))
+    rows += [rows[5], rows[5]]
+    got = lines.drop_recurring_lines(frame(spark, rows)).collect()
+    key = lambda x: tuple(map(str, x))
+    assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got), key=key) == sorted(brute_kept_text(rows), key=key)
+    assert sum(r["n_dropped"] for r in got) > 100
+
+
+def test_lines_leave_short_prose_and_columns(spark):
+    ends = ["Paris", "school", "bed", "church"]
+    rows = [(i, f"I went to {e}\nShe said that {e}", "s") for i, e in enumerate(ends)]
+    docs = frame(spark, rows)
+    assert {r["doc_id"]: r["text"] for r in lines.drop_recurring_lines(docs).collect()} == {i: t for i, t, _ in rows}
+    out = lines.drop_recurring_lines(docs, counts=False)
+    assert out.columns == docs.columns and {r["n_lines"] for r in out.collect()} == {"z"}
+
+
+def test_near_duplicates_of_null_ids(spark):
+    rng = random.Random(1)
+    base = words(rng, 60)
+    near = base[:59] + ["other"]
+    third = words(rng, 60)
+    rows = [(5, " ".join(base), "s"), (None, " ".join(base), "s"), (None, " ".join(near), "s"), (None, " ".join(third), "s"), (None, " ".join(third), "s"), (None, None, "s"), (None, " ".join([*third[:59], "x"]), "s")]
+    got = near_dup.near_duplicates(frame(spark, rows), k=2).collect()
+    named = [r for r in got if r["component_id"] == 5]
+    assert len(named) == 3 and sorted((r["doc_id"] == 5, r["kept"]) for r in named) == [(False, False), (False, False), (True, True)]
+    assert all(r["kept"] and r["component_id"] is None for r in got if r not in named)
+    left = near_dup.deduplicated(frame(spark, rows), k=2).collect()
+    assert sum(r["doc_id"] == 5 for r in left) == 1 and not any(r["text"] == " ".join(near) for r in left)
+
+
+def test_near_duplicate_links_of_null_ids_join_named_rows(spark):
+    """Two named rows that only meet through a row without an id are one component."""
+    rng = random.Random(2)
+    a = words(rng, 100, 5000)
+    b = [*a[:10], "q1", "q2", "q3", *a[13:]]
+    c = [*b[:40], "q4", "q5", "q6", *b[43:]]
+    rows = [(1, " ".join(a), "s"), (None, " ".join(b), "s"), (2, " ".join(c), "s")]
+    sim = lambda x, y: len(x & y) / len(x | y)
+    sets = [set(zip(t, t[1:], strict=False)) for t in (a, b, c)]
+    assert sim(sets[0], sets[1]) >= 0.8 and sim(sets[1], sets[2]) >= 0.8
+    assert {r["component_id"] for r in near_dup.near_duplicates(frame(spark, rows), k=2).collect()} == {1}
+
+
+def test_spelling_probabilities_against_brute_force():
+    """Interpolated Kneser-Ney over 4-grams of characters, computed symbol by symbol from the definition."""
+    import math
+
+    texts = [["idiot", "clown", "a"], ["the", "then", "clowns", "an", "idea"]]
+    counts = []
+    for w in texts:
+        c = {}
+        for g in toxicity.grams(w)[0].tolist():
+            c[g] = c.get(g, 0) + 1
+        counts.append(c)
+    dense = [np.bincount(list(c), list(c.values()), toxicity.SIZE).astype(np.float32) for c in counts]
+    got = toxicity.log_ratios(dense[1], dense[0])
+    a, d, theta = toxicity.A, 0.75, 1.0
+    digits = lambda g, n: tuple(g // a ** (n - 1 - k) % a for k in range(n))
+    seen = {digits(g, 4) for c in counts for g in c}
+    types = [seen]
+    for _ in range(3):  # distinct continuations, one symbol shorter each time
+        types.append({g[1:] for g in types[-1]})
+    shared = {n: {} for n in (3, 2, 1)}
+    for n, grams in zip((3, 2, 1), types[:3], strict=True):
+        for g in grams:
+            shared[n][g[1:]] = shared[n].get(g[1:], 0) + 1
+
+    def low(g):
+        n = len(g)
+        back = low(g[1:]) if n > 1 else 1 / a
+        by = {x: k for x, k in shared[n].items() if x[:-1] == g[:-1]}
+        total = sum(by.values())
+        return (max(by.get(g, 0) - d, 0) + d * len(by) * back) / total if total else back
+
+    def prob(c, g):
+        by = {digits(x, 4): k for x, k in c.items() if digits(x, 4)[:3] == g[:3]}
+        total = sum(by.values())
+        return (max(by.get(g, 0) - d, 0) + (d * len(by) + theta) * low(g[1:])) / (total + theta)
+
+    rng = random.Random(0)
+    for g in [*seen, *(tuple(rng.randrange(a) for _ in range(4)) for _ in range(50))]:
+        at = ((g[0] * a + g[1]) * a + g[2]) * a + g[3]
+        assert math.isclose(got[at], math.log(prob(counts[0], g) / prob(counts[1], g)), rel_tol=1e-3, abs_tol=1e-4)
+    context = next(iter(seen))[:3]
+    assert math.isclose(sum(prob(counts[0], (*context, x)) for x in range(a)), 1.0, rel_tol=1e-9)
+
+
+def test_expression_ratios_against_brute_force(spark):
+    import math
+
+    from wayfray.llm.common import WordHashes, gram_hashes
+
+    rng = random.Random(21)
+    rows = []
+    for k in range(90):
+        toxic = k % 3 == 0
+        w = [rng.choice(["you", "old", "fool", "go", "away", "now", "x"] if toxic else ["the", "old", "house", "you", "go", "now", "y"]) for _ in range(rng.randrange(0, 12))]
+        rows.append((str(k), " ".join(w), toxic, k % 5 == 4))
+    train = spark.createDataFrame(rows, "id string, text string, toxic boolean, fit boolean")
+    got = {r["e"]: (r["r0"], r["r1"]) for r in toxicity.expression_ratios(train, speaks=-100.0).collect()}
+    d = 0.75
+
+    def grams(t, n):
+        w = t.split()
+        return set(zip(*(w[k:] for k in range(n)), strict=False))
+
+    def count(m, toxic, n):
+        c = {}
+        for _, t, y, fit in rows:
+            if y == toxic and (m or not fit):
+                for g in grams(t, n):
+                    c[g] = c.get(g, 0) + 1
+        return c
+
+    kept = {g for n in (1, 2) for g, k in count(1, True, n).items() if k >= 3}
+    pairs = [g for g in kept if len(g) == 2]
+    hashes = WordHashes()
+    want = {}
+    for m in (0, 1):
+        t1, o1, t2, o2 = count(m, True, 1), count(m, False, 1), count(m, True, 2), count(m, False, 2)
+        freed = [d * len(t) / sum(t.values()) for t in (t1, t2)]
+        p = lambda c, g, s, low: max(c.get(g, 0) - d, 0) / sum(c.values()) + s * low
+        share = {g: (sum(x[1] == g[0] for x in pairs) + 1) / len(kept) for g in kept if len(g) == 1}
+        pt, po = ({g: p(c, g, freed[0], share[g]) for g in share} for c in (t1, o1))
+        for g in kept:
+            w = hashes.of([x.encode() for x in g])
+            e = int((w if len(g) == 1 else gram_hashes(w, 2)).view(np.int64)[0])
+            if len(g) == 1:
+                r = math.log(pt[g] / po[g])
+            else:
+                v, w1 = g[:1], g[1:]
+                r = math.log(p(t2, g, freed[1], pt[v] * pt[w1]) / p(o2, g, freed[1], po[v] * po[w1])) - math.log(pt[v] / po[v]) - math.log(pt[w1] / po[w1])
+            want.setdefault(e, []).append(r)
+    assert set(got) == set(want)
+    assert all(np.allclose(got[e], want[e], rtol=1e-9, atol=1e-9) for e in want)
+
+
+def test_toxicity_of_long_and_odd_texts(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(words(rng, 40)) + (" blargo fool" if i % 4 == 1 else ""), "s") for i in range(300)]
+    rows += [(900, " ".join(words(rng, 60_000)), "s"), (901, "x" * 300_000, "s"), (None, None, "s"), (None, "", "s"), (902, "\x00퟿ \U0001f600 漢字", "s"), (None, "blargo fool " * 30, "s")]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 1)) for i in range(300)] + [(None, 1, 1), (7, None, None), (13, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows)
+    got = toxicity.scores(docs, labels).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    bad = sorted((str(r["doc_id"]), r["th"]) for r in got if r["predicted"])
+    out = toxicity.drop_toxic(docs, labels)
+    assert out.columns == docs.columns and out.count() == len(rows) - len(bad) and any(i == "None" for i, _ in bad)
+    for empty in (docs.limit(0),):
+        assert toxicity.scores(empty, labels).count() == 0 and toxicity.drop_toxic(empty, labels).count() == 0
+    assert toxicity.drop_toxic(docs, labels.limit(0)).count() == len(rows)
+
+
+def brute_mix(rows, weights=(5, 2, 1)):
+    """doc_id, text of each copy, by definition."""
+    import re
+
+    sizes = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+    by = {}
+    for (i, t, s), n in zip(rows, sizes, strict=True):
+        by.setdefault(s, []).append((hashlib.md5(str(i).encode()).hexdigest()[:13], i, n, t))
+    order = sorted((s for s in by if s is not None)) + ([None] if None in by else [])
+    total, w = 1.5 * sum(sizes), {s: float(weights[k % 3]) for k, s in enumerate(order)}
+    most, level = {s: 2.0 * sum(x[2] for x in by[s]) for s in order}, 0.0
+    while True:
+        over = [s for s in order if w[s] * level > most[s]]
+        free = sum(w[s] for s in order if s not in over)
+        new = (total - sum(most[s] for s in over)) / free if free else level
+        if new <= level:
+            break
+        level = new
+    out = []
+    for s in order:
+        budget, size = int(min(most[s], w[s] * level)), sum(x[2] for x in by[s])
+        whole, rest = (divmod(budget, size) if size else (0, 0))
+        for _, i, n, t in sorted(by[s], key=lambda x: x[:3]):
+            out += [(i, t)] * (whole if n else 1)
+            take, rest = min(n, rest), rest - min(n, rest)
+            if take:
+                out.append((i, t if take == n else "".join(re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", t)[:take])))
+    return out
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(31)
+    copy, passage = words(rng, 80, 3000), "all of this text is the property of its many authors"
+    rows = [(0, None, "a"), (1, "", "b")]
+    for i in range(2, 160):
+        w = words(rng, rng.randrange(1, 60), 3000)
+        if i % 9 == 0:
+            w = [*copy[:i], "\n", *copy[i:-1], f"end{i}"] if i < 80 else [*copy[: i - 79], "\n", *copy[i - 79 :]]  # broken elsewhere, so that no line recurs
+        t = " ".join(w) + ("\n" + passage if i % 7 == 0 else "") + (" blargo crudgex snivelo" if i % 5 == 1 else "")
+        rows.append((i, t, [None, "a", "b", "ç"][i % 4]))
+    docs = frame(spark, rows)
+    sf = str(tmp_path)
+    docs.coalesce(1).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 5 == 1)) for i in range(2, 120)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "line dedup", "near dedup", "mixing", "packing"]
+    now, key = docs, lambda x: tuple(map(str, x))
+
+    def after(name):
+        out = stages[name](spark, now, sf)
+        out.write.parquet(f"{sf}/{name}")
+        out = spark.read.parquet(f"{sf}/{name}")
+        if name != "packing":
+            assert out.columns == docs.columns and {r["n_lines"] for r in out.select("n_lines").collect()} <= {"z"}
+        return out
+
+    def texts(df):
+        return [(r["doc_id"], r["text"], r["source"]) for r in df.collect()]
+
+    now = after("toxicity")
+    left = texts(now)
+    bad = {r["doc_id"] for r in toxicity.scores(docs, spark.read.parquet(f"{sf}/labels.parquet")).where("predicted = 1").collect()}
+    assert sorted(left, key=key) == sorted((r for r in rows if r[0] not in bad), key=key)
+    assert len(bad ^ {i for i in range(2, 160) if i % 5 == 1}) <= 3
+    now, before = after("line dedup"), left
+    left = texts(now)
+    assert sorted(((i, t) for i, t, _ in left), key=key) == sorted((x[:2] for x in brute_kept_text(before)), key=key) and left != before
+    now, before = after("near dedup"), left
+    left = texts(now)
+    keep = {r[0] for r in brute_components(before, 5, 80) if r[3]}
+    assert sorted(left, key=key) == sorted((r for r in before if r[0] in keep), key=key) and len(left) < len(before)
+    now, before = after("mixing"), left
+    left = texts(now)
+    assert sorted(((i, t) for i, t, _ in left), key=key) == sorted(brute_mix(before), key=key)
+    now = after("packing")
+    tok = packing.tokenizer(tokenizer_path())
+    want = []
+    for i, t, _ in left:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        want += [(i, k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(np.array(ids[k : k + 2048], "<u4").tobytes())) for k in range(0, len(ids), 2048)]
+    packed = sorted(tuple(r)[:5] for r in now.collect())
+    assert packed == sorted(want)
+    assert sorted(tuple(r)[:5] for r in corpus_pipeline.run(spark, sf).collect()) == packed
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    frame(spark, [(1, "x", "s")]).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

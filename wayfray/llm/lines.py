@@ -3,7 +3,9 @@
 A line's words pass a fixed-depth tree: word count, then the leading words, with variable
 fields (words with a digit, addresses) generalised. In each leaf, forms that agree in three
 of four quarters of their words share a template, the quarter that differs being variable;
-a leaf has any number of templates. A template found in ``min_docs`` documents or more recurs: its lines are
+a leaf has any number of templates. Lines of fewer than ``least`` words are too short for
+that and are templates only as they stand, so that short prose with a common beginning
+stays. A template found in ``min_docs`` documents or more recurs: its lines are
 dropped from every document but the first one (smallest doc_id) that has it, so that no
 content is lost altogether.
 
@@ -11,7 +13,7 @@ Defined cases: a null text stays null, an empty one empty; lines without words s
 they are unless every line with words was dropped, when the text becomes empty; a document
 given twice counts once and both rows are cut alike; a null doc_id counts as one document
 that is never the first; an empty table gives an empty result; other columns are kept
-untouched. Rows that travel are hashes of fixed size; a text moves once, to its marks.
+untouched, but n_lines and n_dropped are replaced unless ``counts`` is false. Rows that travel are hashes of fixed size; a text moves once, to its marks.
 """
 
 from __future__ import annotations
@@ -34,12 +36,25 @@ def generalised(line: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(line, FIELD, MARK), F.lit(f"({WORD})"), 1)
 
 
-def line_rows(docs: DataFrame, depth: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per line with words: id, th (hash of the text), pos, leaf, form and q0..q3 (hashes of all words and of the quarters)."""
+#: Parts that a leaf's or a form's lines are joined in, as one may hold most lines.
+SALTS = 16
+
+
+def _salted(rows: DataFrame) -> DataFrame:
+    """Each row once for every part."""
+    return rows.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _part() -> Column:
+    return F.pmod(F.xxhash64("id", "pos"), F.lit(SALTS)).cast("int")
+
+
+def line_rows(docs: DataFrame, depth: int = 3, least: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per line with words: id, th (hash of the text), pos, leaf, form and q0..q3 (hashes of all words and of the quarters; of short lines null)."""
     lines = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
     words = lines.select("id", "th", "pos", generalised(F.col("line")).alias("w"), F.size(generalised(F.col("line"))).alias("n")).where(F.size("w") > 0)
     step = F.expr("cast(ceil(n / 4) as int)")
-    quarters = [F.xxhash64(F.slice("w", F.lit(1) + k * step, step)).alias(f"q{k}") for k in range(4)]
+    quarters = [F.when(F.col("n") >= least, F.xxhash64(F.slice("w", F.lit(1) + k * step, step))).alias(f"q{k}") for k in range(4)]
     return words.select("id", "th", "pos", F.xxhash64("n", F.slice("w", 1, depth)).alias("leaf"), F.xxhash64("w").alias("form"), *quarters)
 
 
@@ -51,27 +66,28 @@ def recurring(lines: DataFrame, agree: int = 3, min_docs: int = 3) -> tuple[Data
     have as many, and which is first."""
     several = (F.col("_n") >= min_docs) & (F.col("_low") < F.col("_high"))
     wide = lines.groupBy("leaf").agg(F.count("*").alias("_n"), F.min("id").alias("_low"), F.max("id").alias("_high"))
-    some = frozen(lines.join(wide.where(several).select("leaf"), "leaf", "left_semi"))
+    some = frozen(lines.withColumn("_s", _part()).join(_salted(wide.where(several).select("leaf")), ["leaf", "_s"], "left_semi").drop("_s"))
     qs = [f"q{k}" for k in range(4)]
     place = F.row_number().over(Window.partitionBy("leaf", "form").orderBy(F.col("id").asc_nulls_last()))
     few = frozen(some.select("leaf", "form", *qs, "id").distinct().withColumn("_k", place).where(F.col("_k") <= min_docs))
-    template = F.explode(F.array(*[F.xxhash64("leaf", F.lit(k), *c) for k, c in enumerate(itertools.combinations(qs, agree))])).alias("template")
+    wild = F.array(*[F.xxhash64("leaf", F.lit(k), *c) for k, c in enumerate(itertools.combinations(qs, agree))])
+    template = F.explode(F.when(F.col("q0").isNull(), F.array(F.xxhash64("leaf", F.lit(-1), "form"))).otherwise(wild)).alias("template")
     found = few.select(template, "id").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min("id").alias("first")).where(F.col("docs") >= min_docs)
     forms = few.where(F.col("_k") == 1).select("leaf", "form", template).join(found.select("template", "first"), "template")
     return some.select("id", "th", "pos", "leaf", "form"), forms.groupBy("leaf", "form").agg(F.min("first").alias("first"))
 
 
-def drop_recurring_lines(docs: DataFrame, depth: int = 3, agree: int = 3, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the lines of recurring templates dropped from ``text_col``, and n_lines, n_dropped (long)."""
-    mine, found = recurring(frozen(line_rows(docs, depth, id_col, text_col)), agree, min_docs)
-    gone = mine.join(found, ["leaf", "form"]).where(~F.col("id").eqNullSafe(F.col("first")))
+def drop_recurring_lines(docs: DataFrame, depth: int = 3, agree: int = 3, min_docs: int = 3, least: int = 8, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
+    """docs with the lines of recurring templates dropped from ``text_col``, and with ``counts`` n_lines, n_dropped (long)."""
+    mine, found = recurring(frozen(line_rows(docs, depth, least, id_col, text_col)), agree, min_docs)
+    gone = mine.withColumn("_s", _part()).join(_salted(found), ["leaf", "form", "_s"]).where(~F.col("id").eqNullSafe(F.col("first")))
     marks = gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("pos")).alias("_gone"))
     named = marks.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "_gone")
     rows = docs.select(F.struct(*docs.columns).alias("_row"))
     own = F.col("_row")[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("_row")[text_col]) == F.col("_th"))
     text, n_lines, n_dropped = cut(F.col("_row")[text_col])
-    kept = [(text if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return rows.join(named, own, "left").select(*kept, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+    kept = [(text if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
+    return rows.join(named, own, "left").select(*kept, *([n_lines.alias("n_lines"), n_dropped.alias("n_dropped")] if counts else []))
 
 
 def cut(text: Column) -> tuple[Column, Column, Column]:

@@ -93,6 +93,27 @@ kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n FROM p
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)"""
 
+OP4 = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
+w AS (
+  SELECT doc_id, pos, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9@]') THEN '<*>' ELSE x END) AS w FROM l),
+f AS (SELECT doc_id, pos, w, len(w) AS n, (len(w) + 3) // 4 AS s FROM w WHERE len(w) > 0),
+q AS (SELECT *, w[1:s] AS q0, w[s+1:2*s] AS q1, w[2*s+1:3*s] AS q2, w[3*s+1:4*s] AS q3 FROM f),
+t AS (
+  SELECT doc_id, w, n, w[1:3] AS head, unnest(CASE WHEN n < 8 THEN [{'k': -1, 'a': w, 'b': w, 'c': w}]
+    ELSE [{'k': 0, 'a': q0, 'b': q1, 'c': q2}, {'k': 1, 'a': q0, 'b': q1, 'c': q3}, {'k': 2, 'a': q0, 'b': q2, 'c': q3}, {'k': 3, 'a': q1, 'b': q2, 'c': q3}] END) AS t FROM q),
+u AS (SELECT DISTINCT doc_id, n, head, t FROM t),
+r AS (SELECT n, head, t, min(doc_id) AS first FROM u GROUP BY ALL HAVING count(*) >= 3),
+o AS (SELECT t.w, min(r.first) AS first FROM (SELECT DISTINCT w, n, head, t FROM t) t JOIN r USING (n, head, t) GROUP BY t.w),
+g AS (SELECT doc_id, pos FROM f JOIN o USING (w) WHERE doc_id IS DISTINCT FROM first),
+k AS (
+  SELECT l.doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (g.pos IS NULL) AS text, count(g.pos) AS n_dropped, count(f.pos) AS n_lines
+  FROM l LEFT JOIN g USING (doc_id, pos) LEFT JOIN f USING (doc_id, pos) GROUP BY l.doc_id)
+SELECT d.doc_id, CAST(coalesce(k.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(k.n_dropped, 0) AS BIGINT) AS n_dropped,
+  sha256(CASE WHEN d.text IS NULL OR k.n_dropped = 0 THEN d.text WHEN regexp_matches(coalesce(k.text, ''), '[^\x20\x09-\x0D]') THEN k.text ELSE '' END) AS kept_sha256
+FROM documents d LEFT JOIN k USING (doc_id)"""
+
 OP5 = rf"""
 WITH d AS (SELECT doc_id, source, {_W} AS w, coalesce(text, '') AS t FROM documents),
 win AS (SELECT doc_id, i, w[i:i+2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
@@ -141,4 +162,4 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN cc ON cc.node = d.doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1, "op2_substrings": OP2, "op5_quality": OP5, "op8_search": OP8, "op10_minhash": OP10}
+    return {"op1_mixing": OP1, "op2_substrings": OP2, "op4_lines": OP4, "op5_quality": OP5, "op8_search": OP8, "op10_minhash": OP10}
