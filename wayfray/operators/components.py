@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 
@@ -27,11 +28,18 @@ _own: list[str | None] = [None]
 
 
 def frozen(df: DataFrame) -> DataFrame:
-    """df in the shared checkpoint folder, its lineage cut."""
+    """df in the shared checkpoint folder, its lineage cut.
+
+    Shuffle files go when the JVM has collected the plans that made them; both collectors are asked
+    to, as long jobs otherwise keep the files of all their steps on the executors' disks."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    sc._jvm.System.gc()
+    return out
 
 
 def star_components(edges: DataFrame, by: list[str] | None = None, src: str = "src", dst: str = "dst", rounds: int = 100) -> DataFrame:
@@ -56,7 +64,7 @@ def star_components(edges: DataFrame, by: list[str] | None = None, src: str = "s
         last = now
         both = e.union(e.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(*by, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, [*by, "u"]).select(*by, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, [*by, "u"]).select(*by, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         down = large.groupBy(*by, "u").agg(F.min("v").alias("m"))
         moved = large.join(down, [*by, "u"]).where("v <> m").select(*by, F.col("v").alias("u"), F.col("m").alias("v"))
         e = frozen(moved.union(down.select(*by, "u", F.col("m").alias("v"))).distinct())
