@@ -68,7 +68,7 @@ def recurring(lines: DataFrame, agree: int = 3, min_docs: int = 3) -> tuple[Data
     wide = lines.groupBy("leaf").agg(F.count("*").alias("_n"), F.min("id").alias("_low"), F.max("id").alias("_high"))
     some = frozen(lines.withColumn("_s", _part()).join(_salted(wide.where(several).select("leaf")), ["leaf", "_s"], "left_semi").drop("_s"))
     qs = [f"q{k}" for k in range(4)]
-    place = F.row_number().over(Window.partitionBy("leaf", "form").orderBy(F.col("id").asc_nulls_last()))
+    place = F.row_number().over(Window.partitionBy("leaf", "form").orderBy(F.col("id").asc_nulls_last()))  # each map task passes on no more than min_docs
     few = frozen(some.select("leaf", "form", *qs, "id").distinct().withColumn("_k", place).where(F.col("_k") <= min_docs))
     wild = F.array(*[F.xxhash64("leaf", F.lit(k), *c) for k, c in enumerate(itertools.combinations(qs, agree))])
     template = F.explode(F.when(F.col("q0").isNull(), F.array(F.xxhash64("leaf", F.lit(-1), "form"))).otherwise(wild)).alias("template")
@@ -87,7 +87,7 @@ def drop_recurring_lines(docs: DataFrame, depth: int = 3, agree: int = 3, min_do
     own = F.col("_row")[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("_row")[text_col]) == F.col("_th"))
     text, n_lines, n_dropped = cut(F.col("_row")[text_col])
     kept = [(text if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
-    return rows.join(named, own, "left").select(*kept, *([n_lines.alias("n_lines"), n_dropped.alias("n_dropped")] if counts else []))
+    return rows.join(named.hint("shuffle_hash"), own, "left").select(*kept, *([n_lines.alias("n_lines"), n_dropped.alias("n_dropped")] if counts else []))
 
 
 def cut(text: Column) -> tuple[Column, Column, Column]:

@@ -22,6 +22,8 @@ named row, and are kept only where none has; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -160,15 +162,17 @@ def _within(percent: int):
     def each(batches):
         for b in batches:
             xs, ys = [], []
-            for members in b.column("members").to_pylist():
-                c = [m["c"] for m in members]
-                comp, n, blk = (np.array([m[k] for m in members]) for k in ("comp", "n", "blk"))
+            for g in range(b.num_rows):
+                members = b.column("members")[g].values
+                c, comp, n, blk = (members.field(k).to_numpy(zero_copy_only=False) for k in ("c", "comp", "n", "blk"))
                 if (comp == comp[0]).all():
                     continue
-                deltas = [np.array(m["delta"], np.int64) for m in members]
+                lists = members.field("delta")
+                numbers, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+                deltas = [numbers[i:j] for i, j in itertools.pairwise(at.tolist())]
                 for i, j in spanning_links(comp, n, deltas, blk, percent):
-                    xs.append(c[i])
-                    ys.append(c[j])
+                    xs.append(int(c[i]))
+                    ys.append(int(c[j]))
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"])
 
     return each
@@ -188,7 +192,7 @@ def _sets(k: int):
 def _sets_of(docs: DataFrame, classes: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """c, s: the whole shingle sets of the classes in ids, each from its document of least id, or one without an id."""
     who = classes.join(ids, "c", "left_semi").select(F.col("rep").alias("doc_id"), "c", "fp", "th")
-    texts = docs.select("doc_id", "text").join(who.where("doc_id is not null"), "doc_id").select("c", "fp", "text")
+    texts = docs.select("doc_id", "text").join(who.where("doc_id is not null").hint("shuffle_hash"), "doc_id").select("c", "fp", "text")
     unnamed = docs.where(F.col("doc_id").isNull() & F.col("text").isNotNull()).select(F.xxhash64("text").alias("th"), "text").dropDuplicates(["th"])
     texts = texts.union(unnamed.join(who.where("doc_id is null"), "th").select("c", "fp", "text"))
     return frozen(arrow_map(texts, _sets(k), "c long, s array<long>").dropDuplicates(["c"]))
@@ -257,7 +261,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component: that of the component's id, once. Rows with a null id stay where no named row is linked."""
     keep = near_duplicates(docs, k, percent).where("kept").select(F.col("doc_id").alias("__near_id"), F.col("th").alias("__near_th")).distinct()
+    keep = frozen(keep)  # what led to it goes before the texts move
     th = F.xxhash64("text")
-    one = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__near_id")) & (th == F.col("__near_th")), "left_semi")
+    one = docs.join(keep.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__near_id")) & (th == F.col("__near_th")), "left_semi")
     named = one.where(F.col("doc_id").isNotNull()).withColumn("__near_th", th).dropDuplicates(["doc_id", "__near_th"]).drop("__near_th")
     return named.unionByName(one.where(F.col("doc_id").isNull()))

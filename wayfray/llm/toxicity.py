@@ -140,13 +140,13 @@ def _counted(batches):
     words: dict[int, dict[str, int]] = {k: {} for k in range(4)}
 
     def flush(k):
-        if words[k]:
-            w = list(words[k])
-            for i in range(0, len(w), 50_000):
-                g, starts = grams(w[i : i + 50_000])
-                times = np.fromiter((words[k][x] for x in w[i : i + 50_000]), np.float64, len(starts))
-                sums[k] += np.bincount(g, np.repeat(times, np.diff(np.append(starts, len(g)))), SIZE).astype(np.float32)
-            words[k] = {}
+        w = list(words[k])
+        for i in range(0, len(w), 10_000):
+            g, starts = grams(w[i : i + 10_000])
+            times = np.fromiter((words[k][x] for x in w[i : i + 10_000]), np.float64, len(starts))
+            at, inv = np.unique(g, return_inverse=True)
+            sums[k][at] += np.bincount(inv, np.repeat(times, np.diff(np.append(starts, len(g))))).astype(np.float32)
+        words[k] = {}
 
     for b in batches:
         for text, toxic, held in zip(*(b.column(c).to_pylist() for c in ("text", "toxic", "fit")), strict=True):
@@ -154,7 +154,7 @@ def _counted(batches):
             d = words[k]
             for w in tokens(text):
                 d[w] = d.get(w, 0) + 1
-            if len(d) > 150_000:
+            if len(d) > 50_000:
                 flush(k)
     for k in words:
         flush(k)
@@ -212,7 +212,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield b.filter(pa.array(in_map(shared.value, b.column("h").to_numpy().view(np.uint64)))).select(["key", "text"])
 
     some = docs.where(F.col("doc_id").isNotNull() & (fold() != 0)).select(F.col("doc_id").cast("string").alias("key"), "text")
-    met = arrow_map(some.select("key", "text", h), each, "key string, text string").hint("merge").join(known, "key")  # alike at every size
+    met = arrow_map(some.select("key", "text", h), each, "key string, text string").join(known.hint("shuffle_hash"), "key")  # alike at every size, and texts need no sort
     return frozen(met.select(F.col("key").alias("id"), "text", "toxic", (fold("key") == 4).alias("fit")))
 
 
@@ -227,7 +227,7 @@ def expressions(words: list[str], hashes: WordHashes) -> list[tuple[np.ndarray,
 
 
 #: Expressions that a task holds before it passes their counts on.
-HELD = 1_000_000
+HELD = 200_000
 
 
 class _Tally:
@@ -403,4 +403,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> Da
     bad = scores(docs, labels, fit_rows).where("predicted = 1").select(F.col("doc_id").alias("_toxic_id"), F.col("th").alias("_toxic_th")).distinct()
     rows = docs.select(F.struct(*docs.columns).alias("_row"))
     same = F.col("_row")["doc_id"].eqNullSafe(F.col("_toxic_id")) & (F.xxhash64(F.col("_row")["text"]) == F.col("_toxic_th"))
-    return rows.hint("merge").join(bad, same, "left_anti").select("_row.*")
+    return rows.join(bad.hint("shuffle_hash"), same, "left_anti").select("_row.*")
