@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import bisect
 import math
+import sys
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -34,33 +36,66 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Stands between words that are encoded together; words that hold it are encoded alone.
+BETWEEN = "\ue000"
+_GAP = f" {BETWEEN} ".encode()
+#: Words encoded at a time, and the longest that are (bytes).
+TOGETHER, LONGEST = 1000, 64
+
+
 class WordIds(dict):
     """Text between ASCII white space -> its ids as little-endian unsigned 32-bit bytes.
 
     The tokenizer's pre-tokenizer never joins characters across white space, so a text's
-    ids are those of its words, one after another. Memory is bounded by ``most`` words."""
+    ids are those of its words, one after another. It also folds case, so words are taken
+    in lower case (``words_of``). Memory is bounded by ``most`` words."""
 
     def __init__(self, path: str, most: int = 500_000):
         self.encode, self.most = tokenizer(path).encode, most
+        self.batch = getattr(tokenizer(path), "encode_batch_fast", tokenizer(path).encode_batch)
+        self.between = self[BETWEEN.encode()]
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = ids
-        return ids
+        return pack_ids(self.encode(word.decode(), add_special_tokens=False).ids)
+
+    def of(self, words: list[bytes]) -> bytes:
+        """The ids of the words; the new ones are encoded together and, but for the longest, remembered."""
+        ids = list(map(self.get, words))
+        if None not in ids:
+            return b"".join(ids)
+        at = [i for i, x in enumerate(ids) if x is None]
+        new = [w for w in {words[i] for i in at} if len(w) <= LONGEST and BETWEEN.encode() not in w]
+        if len(self) + len(new) > self.most:
+            self.clear()
+        for k in range(0, len(new), TOGETHER):
+            part = new[k : k + TOGETHER]
+            found = pack_ids(self.batch([_GAP.join(part).decode()], add_special_tokens=False)[0].ids).split(self.between)  # ids under 2 ** 16 match at whole numbers only
+            if len(found) == len(part):
+                self.update(zip(part, found, strict=True))
+        for i in at:
+            ids[i] = self[words[i]]
+        return b"".join(ids)
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit."""
+    return array("I", ids).tobytes() if sys.byteorder == "little" and array("I").itemsize == 4 else np.array(ids, "<u4").tobytes()
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """The text's words in lower case; texts with combining marks, which may compose with a letter of either case, stay as they are."""
+    return (text if b"\xcc" in text or b"\xcd" in text else text.lower()).split()
 
 
 def pieces(docs: DataFrame, path: str, room: int = 2048) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every document; with_ids adds nothing more."""
+    """doc_id, piece, start, length, ids_crc32 of every document."""
 
     def each(batches):
         words = WordIds(path)
         for b in batches:
             ids_col, out = b.column("doc_id").to_pylist(), ([], [], [], [], [])
             for doc, text in zip(ids_col, binary(b, "text"), strict=True):
-                ids = b"".join(map(words.__getitem__, (text or b"").split())) + bytes(4)
+                ids = words.of(words_of(text or b"")) + bytes(4)
                 for k, at in enumerate(range(0, len(ids), 4 * room)):
                     piece = ids[at : at + 4 * room]
                     for c, v in zip(out, (doc, k, at // 4, len(piece) // 4, zlib.crc32(piece)), strict=True):
