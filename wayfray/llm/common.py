@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.components import frozen
+from ..operators.components import frozen, shared_folder
 
 #: A word of every contract here: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,6 +30,27 @@ def arrow_map(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(each, schema)
 
 
+class Scratch:
+    """Tables of one run, written as Parquet in a folder of its own below the session's checkpoint folder."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self._paths = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, written and read again: its lineage ends here."""
+        path = f"{self.folder}/{len(self._paths)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Tables that are not read any more go."""
+        for df in frames:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._paths[id(df)][0])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash, remembered while under ``most`` words so that memory is bounded."""
 

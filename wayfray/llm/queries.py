@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, lines, mixing, near_dup, packing, pii, quality, search, substrings, toxicity
+from . import audit, html_text, lexical, lines, mixing, near_dup, packing, pii, quality, search, substrings, toxicity
 from .common import table
 
 
@@ -57,8 +57,17 @@ def op10_minhash(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, d, "documents"), k=2).drop("th")
 
 
+def op12_lexical(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def op13_audit(spark: SparkSession, d: str) -> DataFrame:
+    return audit.audit(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_substrings, op3_packing, op4_lines, op5_quality, op6_pii, op7_toxicity, op8_search, op9_html, op10_minhash)}
+    all_ = (op1_mixing, op2_substrings, op3_packing, op4_lines, op5_quality, op6_pii, op7_toxicity, op8_search, op9_html, op10_minhash, op12_lexical, op13_audit)
+    return {f.__name__: f for f in all_}
 
 
 _W = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -161,5 +170,45 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(cc.lab
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN cc ON cc.node = d.doc_id"""
 
 
+OP12 = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(len(w)) AS BIGINT) AS l FROM t WHERE len(w) > 0),
+m AS (SELECT r, doc_id, 25 + (75 * len(w) * nn) // l AS m FROM t, s WHERE len(w) > 0),
+f AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM t) GROUP BY ALL),
+q AS (
+  SELECT item_id, term, count(*) AS q FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM f GROUP BY term), s),
+c AS (
+  SELECT item_id, r, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (r) GROUP BY ALL HAVING score > 0)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM c JOIN m USING (r)) WHERE rank <= 10"""
+
+OP13 = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_W} AS w FROM documents),
+y AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INT)) AS good, max(CAST(coalesce(toxic = 1, false) AS INT)) AS toxic FROM labels GROUP BY doc_id),
+x AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT)
+         + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t) AS INT) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+         + 16 * CAST(coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false) AS INT) AS mask FROM d LEFT JOIN y USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM x GROUP BY ALL),
+l AS (SELECT unnest(range(5)) AS f),
+o AS (
+  SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT o, step, o[step] AS f, list_sum(list_transform(o[1:step-1], lambda i: 1 << i)) AS gone FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (
+  SELECT part, o, step, f, sum(n) FILTER (mask & (coalesce(gone, 0)::INT | (1 << f)::INT) = 0) AS kept, sum(n) FILTER (mask & coalesce(gone, 0)::INT = 0 AND mask >> f & 1 = 1) AS removed,
+         sum(n) FILTER (mask & coalesce(gone, 0)::INT <> 0 AND mask >> f & 1 = 1) AS redundant, sum(n) FILTER (mask = 1 << f) AS unique_fails,
+         sum(good) FILTER (mask & coalesce(gone, 0)::INT = 0 AND mask >> f & 1 = 1) AS good_lost, sum(toxic) FILTER (mask & coalesce(gone, 0)::INT = 0 AND mask >> f & 1 = 1) AS toxic_lost
+  FROM c, s GROUP BY ALL)
+SELECT part, list_aggregate(list_transform(o, lambda i: 'ABCDE'[i + 1]), 'string_agg', '') AS filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept,
+       CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, f), 0) AS BIGINT) AS shapley
+FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1, "op2_substrings": OP2, "op4_lines": OP4, "op5_quality": OP5, "op8_search": OP8, "op10_minhash": OP10}
+    return {"op1_mixing": OP1, "op2_substrings": OP2, "op4_lines": OP4, "op5_quality": OP5, "op8_search": OP8, "op10_minhash": OP10, "op12_lexical": OP12, "op13_audit": OP13}
