@@ -8,8 +8,8 @@ listed: a bit map of fixed size lets candidates through, and an exact join on th
    is a lower bound of its k-th score.
 2. Every list of an item is cut at the same weighted value, the bound over the number of its
    lists: a document that stands in no cut list scores less than the bound. Cut lists meet by
-   shard, where partial scores and the most that the uncut rest can add are summed; documents
-   that can still reach the k-th partial score are candidates.
+   shard. Partial scores give a higher bound; documents that can still reach it, with the most
+   that what was cut off can add, are candidates.
 3. The candidates' entries are looked up in the whole lists, which makes their scores exact.
 
 Items are worked off in blocks of ``ITEMS``, so that a task's part of the queries is bounded.
@@ -172,8 +172,8 @@ def _cut(lists: DataFrame, docs: int, words: int) -> DataFrame:
     return arrow_map(lists, each, "group int, term string, shard long, ats binary, impacts binary")
 
 
-def _meet(k: int, shard_docs: int):
-    """Partial scores of a shard and the most that scores can be, of the documents that may be among an item's best."""
+def _meet(k: int, shard_docs: int, choose: bool):
+    """For each item and shard the k largest partial scores, or with ``choose`` the documents whose score may reach the item's bound."""
 
     def each(key, cut: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         lists = {t: (np.frombuffer(a, "<i4"), np.frombuffer(v, "<i4").astype(np.int64)) for t, a, v in zip(cut["term"], cut["ats"], cut["impacts"], strict=True)}
@@ -181,19 +181,19 @@ def _meet(k: int, shard_docs: int):
         for g, low, of_terms, qws, needs in zip(items["g"], items["low"], items["terms"], items["qws"], items["needs"], strict=True):
             partial, seen, rest = np.zeros(shard_docs, np.int64), np.zeros(shard_docs, np.int64), 0
             for t, qw, need in zip(of_terms, qws, needs, strict=True):
-                cap = int(qw) * (int(need) - 1)
+                x, cap = lists.get(t), int(qw) * (int(need) - 1)  # an entry that was cut off adds no more
                 rest += cap
-                if (x := lists.get(t)) is not None:
+                if x is not None:
                     partial[x[0]] += int(qw) * x[1]
-                    seen[x[0]] += cap
+                    if choose:
+                        seen[x[0]] += cap
             at = np.flatnonzero(partial)
-            floor = max(1, int(low))
-            if len(at) >= k:
-                floor = max(floor, int(np.partition(partial[at], len(at) - k)[len(at) - k]))
-            most = partial[at] + rest - seen[at]
-            at, most = at[most >= floor], most[most >= floor]
-            out.append(pd.DataFrame({"g": g, "row": int(key[1]) + at, "partial": partial[at], "most": most}))
-        return pd.concat(out) if out else pd.DataFrame({"g": [], "row": [], "partial": [], "most": []})
+            if choose:
+                at = at[partial[at] + rest - seen[at] >= low]
+            elif len(at) > k:
+                at = at[np.argpartition(-partial[at], k - 1)[:k]]
+            out.append(pd.DataFrame({"g": g, "row": int(key[1]) + at, "partial": partial[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"g": [], "row": [], "partial": []})
 
     return each
 
@@ -236,10 +236,15 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str =
     of = F.collect_list(F.struct("term", "qw", "need"))  # the terms of one item
     packed = q.join(needs, ["group", "term"]).groupBy("group", "g", "low").agg(of.alias("of")).select("group", "g", "low", F.col("of.term").alias("terms"), F.col("of.qw").alias("qws"), F.col("of.need").alias("needs"))
     shards = cut.select("group", "shard").distinct().withColumn("spot", spot)
-    per_shard = shards.join(packed.withColumn("spot", spots), ["group", "spot"])
-    per_shard = per_shard.select(*(F.col(c).alias(c) for c in ("group", "shard", "g", "low", "terms", "qws", "needs")))  # names of its own beside cut's
-    may = tables.keep(cut.groupBy("group", "shard").cogroup(per_shard.groupBy("group", "shard")).applyInPandas(_meet(k, shard_docs), "g string, row long, partial long, most long"))
-    alive = tables.keep(may.join(kth(may, k, "partial", "second"), "g").where("most >= second").select("g", "row"))
+
+    def met(bounds: DataFrame, choose: bool) -> DataFrame:
+        per_shard = shards.join(bounds.withColumn("spot", spots), ["group", "spot"])
+        per_shard = per_shard.select(*(F.col(c).alias(c) for c in ("group", "shard", "g", "low", "terms", "qws", "needs")))  # names of its own beside cut's
+        return cut.groupBy("group", "shard").cogroup(per_shard.groupBy("group", "shard")).applyInPandas(_meet(k, shard_docs, choose), "g string, row long, partial long")
+
+    second = kth(met(packed, False), k, "partial", "second")
+    packed = packed.join(second, "g", "left").withColumn("low", F.greatest("low", F.coalesce("second", F.lit(0)), F.lit(1))).drop("second")
+    alive = tables.keep(met(packed, True).select("g", "row"))
 
     # 3: the candidates' scores, from the whole lists
     sought = spark.sparkContext.broadcast(bit_map(alive.select("row").distinct(), "row", MAP_BITS))

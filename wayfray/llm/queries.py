@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, html_text, lexical, lines, mixing, near_dup, packing, pii, quality, search, substrings, toxicity
+from . import audit, html_text, lexical, lines, mixing, near_dup, neighbours, packing, pii, quality, search, substrings, toxicity
 from .common import table
 
 
@@ -57,6 +57,10 @@ def op10_minhash(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, d, "documents"), k=2).drop("th")
 
 
+def op11_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(table(spark, d, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op12_lexical(spark: SparkSession, d: str) -> DataFrame:
     return lexical.ranked_search(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -66,7 +70,7 @@ def op13_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    all_ = (op1_mixing, op2_substrings, op3_packing, op4_lines, op5_quality, op6_pii, op7_toxicity, op8_search, op9_html, op10_minhash, op12_lexical, op13_audit)
+    all_ = (op1_mixing, op2_substrings, op3_packing, op4_lines, op5_quality, op6_pii, op7_toxicity, op8_search, op9_html, op10_minhash, op11_neighbours, op12_lexical, op13_audit)
     return {f.__name__: f for f in all_}
 
 
