@@ -1,4 +1,9 @@
-"""Connected components: alternating large and small stars, over any number of graphs at once."""
+"""Connected components of any number of graphs at once.
+
+``keyed_components`` labels a graph in a task; ``star_components`` in rounds of alternating large
+and small stars; ``contracted_components`` first merges what each task's own edges connect, so that
+the rounds only see the nodes in which tasks meet. ``components`` takes the first for graphs that
+fit a task and the last for others."""
 
 from __future__ import annotations
 
@@ -28,27 +33,28 @@ _own: list[str | None] = [None]
 
 
 def frozen(df: DataFrame) -> DataFrame:
-    """df in the shared checkpoint folder, its lineage cut.
-
-    Shuffle files go when the JVM has collected the plans that made them; both collectors are asked
-    to, as long jobs otherwise keep the files of all their steps on the executors' disks."""
+    """df in the shared checkpoint folder, its lineage cut."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
-    out = df.checkpoint(eager=True)
-    del df
+    return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Asks both collectors to let go of plans that nothing names any more, with which the shuffle files of finished steps go.
+
+    For operators of many steps, between them."""
     gc.collect()
-    sc._jvm.System.gc()
-    return out
+    spark.sparkContext._jvm.System.gc()
 
 
-def star_components(edges: DataFrame, by: list[str] | None = None, src: str = "src", dst: str = "dst", rounds: int = 100) -> DataFrame:
+def star_components(edges: DataFrame, by: list[str] | None = None, src: str = "src", dst: str = "dst", rounds: int = 100, tidy: int = 8) -> DataFrame:
     """by..., node, label: each endpoint of an edge and the least node of its component.
 
     Large star: a node's larger neighbours move to the least node of its neighbourhood. Small
     star: its smaller neighbours and the node itself do. The number of rounds is about the
     logarithm of the largest component; a hub's rows can be split, as the least neighbour is
-    pre-aggregated and joined back."""
+    pre-aggregated and joined back. Shuffle files of past rounds go every ``tidy`` rounds."""
     by = by or []
     e = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(*by, F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
     e = frozen(e.distinct())
@@ -68,10 +74,64 @@ def star_components(edges: DataFrame, by: list[str] | None = None, src: str = "s
         down = large.groupBy(*by, "u").agg(F.min("v").alias("m"))
         moved = large.join(down, [*by, "u"]).where("v <> m").select(*by, F.col("v").alias("u"), F.col("m").alias("v"))
         e = frozen(moved.union(down.select(*by, "u", F.col("m").alias("v"))).distinct())
+        if k % tidy == tidy - 1:
+            release(edges.sparkSession)
     roots = e.select(*by, F.col("u").alias("node"), F.col("v").alias("label"))
     return nodes.join(roots, [*by, "node"], "left").select(*by, "node", F.coalesce("label", "node").alias("label"))
 
 
+def contracted_components(edges: DataFrame, by: list[str], chunk: int = 1_000_000) -> DataFrame:
+    """by..., node, label for graphs of any size, all graphs at once.
+
+    Each task labels its edges in runs of ``chunk`` (no shuffle). A node with several of these labels
+    links them; star rounds over those links alone, one for a node and further label, give the
+    components. The more of a graph's neighbours are in one task, the fewer links there are."""
+    kinds = dict(edges.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + (", " if by else "") + f"node {kinds['src']}, own {kinds['src']}"
+
+    def local(frames):
+        import numpy as np
+        import pandas as pd
+
+        def labelled(pdf):
+            which = pdf.groupby(by, sort=False, dropna=False).ngroup().to_numpy() if by else np.zeros(len(pdf), np.int64)
+            ends = pd.MultiIndex.from_arrays([np.tile(which, 2), np.concatenate([pdf["src"].to_numpy(), pdf["dst"].to_numpy()])])
+            place, ids = pd.factorize(ends, sort=True)  # by graph, then by node: the least place is the least node
+            node, least = _min_labels(place[: len(pdf)], place[len(pdf) :])
+            graph, name = (ids.get_level_values(i).to_numpy() for i in (0, 1))
+            first = pdf.drop_duplicates(by)[by] if by else pdf.iloc[:1][by]
+            out = first.iloc[graph[node]].reset_index(drop=True)
+            return out.assign(node=name[node], own=name[least])
+
+        held, n = [], 0
+        for f in frames:
+            held.append(f)
+            n += len(f)
+            if n >= chunk:
+                yield labelled(pd.concat(held, ignore_index=True))
+                held, n = [], 0
+        if n:
+            yield labelled(pd.concat(held, ignore_index=True))
+
+    known = edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select(*by, "src", "dst")
+    local_labels = frozen(known.mapInPandas(local, schema).distinct())
+    least = local_labels.groupBy(*by, "node").agg(F.min("own").alias("low"))
+    links = local_labels.join(least, [*by, "node"]).where("own <> low").select(*by, F.col("own").alias("src"), F.col("low").alias("dst")).distinct()
+    roots = star_components(links, by).withColumnRenamed("node", "low")
+    return least.join(roots, [*by, "low"], "left").select(*by, "node", F.coalesce("label", "low").alias("label"))
+
+
+#: Edges of a graph that a task may label by itself.
+PER_TASK = 5_000_000
+
+
+def components(edges: DataFrame, by: list[str], largest: int | None = None, per_task: int = PER_TASK) -> DataFrame:
+    """by..., node, label. largest: edges of the largest graph, if known; else they are counted."""
+    if largest is None:
+        largest = edges.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    return keyed_components(edges, by) if largest <= per_task else contracted_components(edges, by)
+
+
 def _min_labels(src, dst):
     """The least index of each node's component, by hooking and pointer jumping."""
     import numpy as np

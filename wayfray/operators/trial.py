@@ -7,20 +7,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schemas import SCENARIO
-from .components import keyed_components
+from .components import PER_TASK, components
 
 KEYS = ["fips", *SCENARIO]
 
 
-def surviving_labels(deleted: DataFrame) -> DataFrame:
-    """Scope county: fips, scenario, node, label of the surviving edges' ends."""
-    return keyed_components(deleted.where(~F.col("deleted")), KEYS)
+def surviving_labels(deleted: DataFrame, per_task: int = PER_TASK) -> DataFrame:
+    """Scope county: fips, scenario, node, label of the surviving edges' ends. Graphs of more than ``per_task`` edges are contracted task by task and labelled in rounds, all scenarios at once."""
+    return components(deleted.where(~F.col("deleted")), KEYS, _largest(deleted), per_task)
 
 
-def zone_labels(deleted: DataFrame, edge_zone: DataFrame, strict: bool = False) -> DataFrame:
+def _largest(deleted: DataFrame) -> int:
+    """Edges of the largest county, surviving or not."""
+    return deleted.groupBy(*KEYS).count().agg(F.max("count")).first()[0] or 0
+
+
+def zone_labels(deleted: DataFrame, edge_zone: DataFrame, strict: bool = False, per_task: int = PER_TASK) -> DataFrame:
     """Scope zone: paths stay in their zone. Edges in no zone count to zone 0, or with ``strict`` to none."""
     z = edge_zone.where("zone_idx is not null") if strict else edge_zone.withColumn("zone_idx", F.coalesce("zone_idx", F.lit(0)))
-    return keyed_components(deleted.where(~F.col("deleted")).join(z, ["fips", "edge_id"]), [*KEYS, "level", "zone_idx"])
+    return components(deleted.where(~F.col("deleted")).join(z, ["fips", "edge_id"]), [*KEYS, "level", "zone_idx"], _largest(deleted), per_task)
 
 
 def per_zone(deleted: DataFrame, edge_zone: DataFrame, zones: DataFrame, scope: str = "county", strict: bool = False, labels: DataFrame | None = None) -> DataFrame:

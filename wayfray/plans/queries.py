@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import access as A
+from ..operators import betweenness as B
 from ..operators import curves as C
 from ..operators import deletion as D
 from ..operators import network as N
@@ -12,12 +14,12 @@ from ..operators import powerlaw as P
 from ..operators import sweep as S
 from ..operators import trial as T
 from ..operators import zoning as Z
-from ..operators.components import frozen, keyed_components, star_components
+from ..operators.components import contracted_components, frozen, keyed_components, star_components
 from . import sql
 from . import surrogates as U
 
 PS, REPLICATES = [0.1, 0.2, 0.3, 0.4, 0.5], 2
-CENTRES = sql.CENTRES
+CENTRES, SOURCES = sql.CENTRES, sql.SOURCES
 
 
 def _r(df: DataFrame, *cols: str, digits: int = 9) -> DataFrame:
@@ -69,6 +71,11 @@ def components_keyed(spark, d):
     return keyed_components(_open(spark, d), ["fips"]).select("node", "label")
 
 
+def components_contracted(spark, d):
+    """What tasks connect by themselves is merged first, in runs of few edges here."""
+    return contracted_components(_open(spark, d), [], chunk=500).select("node", "label")
+
+
 def giant_component(spark, d):
     return N.giant_labels(star_components(_open(spark, d), by=["fips"]), ["fips"])
 
@@ -139,6 +146,55 @@ def delete_fitness_road(spark, d):
     return _deleted(spark, d, "fitness", "road")
 
 
+def edge_betweenness(spark, d):
+    return _r(B.edge_betweenness(U.network(spark, d), SOURCES), "betweenness", digits=6).select("edge_id", "betweenness")
+
+
+def delete_betweenness_edge(spark, d):
+    gone = D.deletions(U.network(spark, d), D.scenarios(spark, [0.05, 0.1, 0.2], 1, ("betweenness",)), n_sources=SOURCES)
+    return gone.where("deleted").select("p_milli", "edge_id")
+
+
+def trial_betweenness(spark, d):
+    """The targeted attack's fragmentation by zone."""
+    net = U.network(spark, d)
+    ez, zs = U.assigned(spark, d, net)
+    gone = frozen(D.deletions(net, D.scenarios(spark, [0.05, 0.1, 0.2], 1, ("betweenness",)), n_sources=SOURCES))
+    return T.per_zone(gone, ez, zs).select("p_milli", "level", "zone_idx", "n_total", "n_deleted", "n_marooned")
+
+
+def sample_by_thresholds(spark, d):
+    """Random deletion without a sort of the county: the k-th key by counts of key prefixes."""
+    gone = D.delete_edges(U.network(spark, d), _sc(spark), most=50)
+    return gone.where("deleted").select("p_milli", "replicate", "edge_id")
+
+
+def sample_by_thresholds_fitness(spark, d):
+    gone = D.delete_edges(U.network(spark, d), _sc(spark, protocols=("fitness",)), most=50)
+    return gone.where("deleted").select("p_milli", "replicate", "edge_id")
+
+
+def snap_facilities(spark, d):
+    """Each facility's nearest node of the network."""
+    return A.snap(U.facilities(spark, d), U.network(spark, d), 150.0).select("id", "node", "gap")
+
+
+def accessibility(spark, d):
+    """Distance to the nearest facility along what survives."""
+    net = U.network(spark, d)
+    places = frozen(A.snap(U.facilities(spark, d), net, 150.0))
+    a = A.accessibility(frozen(D.deletions(net, _sc(spark))), places)
+    return _r(a, "unreachable_frac", "mean_m", "max_m", digits=6).select("p_milli", "replicate", "n_nodes", "n_unreachable", "unreachable_frac", "mean_m", "max_m")
+
+
+def trial_contracted(spark, d):
+    """A trial whose graphs are larger than a task may label."""
+    net = U.network(spark, d)
+    ez, zs = U.assigned(spark, d, net)
+    gone = frozen(D.deletions(net, _sc(spark)))
+    return T.per_zone(gone, ez, zs, labels=frozen(T.surviving_labels(gone, per_task=100))).select("p_milli", "replicate", "level", "zone_idx", "n_total", "n_deleted", "n_marooned")
+
+
 def _trial(spark, d, scope, strict=False):
     net = U.network(spark, d)
     ez, zs = U.assigned(spark, d, net)
@@ -252,8 +308,9 @@ def restart_antijoin(spark, d):
 
 
 _ALL = (
-    road_filter, road_filter_main, try_numeric_nodes, self_loop_drop, degree, network_summary, node_coords, geometric_noding, components, components_keyed,
+    road_filter, road_filter_main, try_numeric_nodes, self_loop_drop, degree, network_summary, node_coords, geometric_noding, components, components_keyed, components_contracted,
     giant_component, restrict_giant, edge_midpoint, point_in_zone_first_match, edges_per_zone, zone_anchor, drop_small_zones, nearest_centre, pmedian,
+    edge_betweenness, delete_betweenness_edge, trial_betweenness, sample_by_thresholds, sample_by_thresholds_fitness, snap_facilities, accessibility, trial_contracted,
     delete_random_edge, delete_fitness_edge, delete_random_road, delete_fitness_road, trial_county, trial_zone, trial_zone_strict, trial_km, trial_global,
     sweep_global, sweep_zone_detail, rank_curves, curve_summary, estimate_pc, county_summary, percolation_means, cluster_sizes, ccdf, powerlaw_mle,
     critical_exponent, marooned_score_rank, score_powerfit, overlay_rescale, restart_antijoin,

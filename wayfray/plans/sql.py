@@ -4,6 +4,8 @@ from __future__ import annotations
 
 CENTRES = [(100.0, 100.0), (900.0, 150.0), (450.0, 700.0), (200.0, 1000.0), (1000.0, 1000.0)]
 
+SOURCES = 24
+
 _BITS = "('0x' || substr(md5({}), 1, 13))::BIGINT"
 _ROADS = "'S1100','S1200','S1400','S1500','S1630','S1640'"
 _CC = """{name}({keys}node, label) USING KEY ({keys}node) AS (
@@ -150,7 +152,40 @@ al AS (SELECT xmin, sum(n) AS n_tail, 1 + sum(n) / sum(n * ln(ratio)) AS alpha F
 ksx AS (
   SELECT t.xmin, n_tail, alpha, max(greatest(abs((run - n) / n_tail - (1 - ratio ** (1 - alpha))), abs((run - 1) / n_tail - (1 - ratio ** (1 - alpha))))) AS ks
   FROM tail t JOIN al ON al.xmin = t.xmin GROUP BY ALL),
-best AS (SELECT * FROM ksx ORDER BY ks, xmin LIMIT 1)
+best AS (SELECT * FROM ksx ORDER BY ks, xmin LIMIT 1),
+bn AS (SELECT node, row_number() OVER (ORDER BY {_BITS.format("'betweenness|0|' || node")}, node) AS i, count(*) OVER () AS n FROM deg),
+bsrc AS (SELECT node AS s, n / least(n, {SOURCES}) AS scale FROM bn WHERE i <= {SOURCES}),
+bway AS (SELECT edge_id, src AS u, dst AS v FROM net UNION ALL SELECT edge_id, dst, src FROM net),
+bhop(s, node, d) USING KEY (s, node) AS (
+  SELECT s, s, 0 FROM bsrc
+  UNION
+  SELECT h.s, w.v, min(h.d + 1) FROM bhop h JOIN bway w ON w.u = h.node LEFT JOIN recurring.bhop z ON z.s = h.s AND z.node = w.v WHERE z.d IS NULL GROUP BY ALL),
+bpath(s, node, d, paths) AS (
+  SELECT s, s, 0, 1.0::DOUBLE FROM bsrc
+  UNION ALL
+  SELECT b.s, h.node, h.d, sum(b.paths) FROM bpath b JOIN bway w ON w.u = b.node JOIN bhop h ON h.s = b.s AND h.node = w.v AND h.d = b.d + 1 GROUP BY ALL),
+bdue(s, node, d, paths, owed) AS (
+  SELECT b.s, b.node, b.d, b.paths, 0.0::DOUBLE FROM bpath b JOIN (SELECT s, max(d) AS d FROM bpath GROUP BY s) m ON m.s = b.s AND m.d = b.d
+  UNION ALL
+  SELECT p.s, p.node, p.d, p.paths, coalesce(sum(p.paths / c.paths * (1 + c.owed)), 0)
+  FROM (SELECT DISTINCT s, d FROM bdue) l JOIN bpath p ON p.s = l.s AND p.d = l.d - 1 LEFT JOIN bway w ON w.u = p.node LEFT JOIN bdue c ON c.s = p.s AND c.node = w.v AND c.d = p.d + 1 GROUP BY ALL),
+btw AS (
+  SELECT net.edge_id, round(coalesce(sum(scale * p.paths / c.paths * (1 + c.owed)), 0), 6) AS betweenness
+  FROM net LEFT JOIN (bway w JOIN bdue p ON p.node = w.u JOIN bdue c ON c.s = p.s AND c.node = w.v AND c.d = p.d + 1 JOIN bsrc ON bsrc.s = p.s) ON w.edge_id = net.edge_id GROUP BY net.edge_id),
+bdel AS (
+  SELECT net.*, p_milli, row_number() OVER (PARTITION BY p_milli ORDER BY betweenness DESC, net.edge_id) <= round_even(p * m, 0) AS deleted
+  FROM net JOIN btw USING (edge_id), m, (SELECT p::DOUBLE AS p, CAST(round(p * 1000) AS INTEGER) AS p_milli FROM (SELECT unnest([0.05, 0.1, 0.2]) AS p))),
+bpair AS (SELECT p_milli AS p, src AS a, dst AS b FROM bdel WHERE NOT deleted UNION ALL SELECT p_milli, dst, src FROM bdel WHERE NOT deleted),
+{_cc("blab", "bpair", ("p",))},
+fac AS (SELECT s_suppkey AS id, s_suppkey * 37 % w * 100.0::DOUBLE + 30 AS x, s_suppkey * 53 % w * 100.0::DOUBLE - 20 AS y FROM supplier, k WHERE s_acctbal > 5000),
+snap AS (
+  SELECT id, node, gap FROM (
+    SELECT id, node, gap, row_number() OVER (PARTITION BY id ORDER BY gap, node) AS i FROM (SELECT id, node, round(sqrt((fac.x - xy.x) ** 2 + (fac.y - xy.y) ** 2), 6) AS gap FROM fac, xy)) WHERE i = 1),
+away(p, r, node, dist) USING KEY (p, r, node) AS (
+  SELECT p_milli, replicate, node, 0.0::DOUBLE FROM (SELECT DISTINCT node FROM snap), sc
+  UNION
+  SELECT b.p, b.r, b.b, min(away.dist + 100.0::DOUBLE) FROM away JOIN spair b ON b.a = away.node AND b.p = away.p AND b.r = away.r
+  LEFT JOIN recurring.away z ON z.p = b.p AND z.r = b.r AND z.node = b.b WHERE z.dist IS NULL OR away.dist + 100.0::DOUBLE < z.dist GROUP BY ALL)
 """
 
 _Z6 = "p_milli, replicate, level, zone_idx, n_total, n_deleted, n_marooned"
@@ -167,6 +202,17 @@ _FINAL = {
     "geometric_noding": "SELECT CAST(round_even(x0 / 150, 0) AS BIGINT) * 4294967296 + CAST(round_even(y0 / 150, 0) AS BIGINT) + 2147483648 AS src, CAST(round_even(x1 / 150, 0) AS BIGINT) * 4294967296 + CAST(round_even(y1 / 150, 0) AS BIGINT) + 2147483648 AS dst, count(*) AS n FROM raw GROUP BY ALL",
     "components": "SELECT node, label FROM cc",
     "components_keyed": "SELECT node, label FROM cc",
+    "components_contracted": "SELECT node, label FROM cc",
+    "edge_betweenness": "SELECT edge_id, betweenness FROM btw",
+    "delete_betweenness_edge": "SELECT p_milli, edge_id FROM bdel WHERE deleted",
+    "trial_betweenness": "SELECT d.p_milli, q.level, q.zone_idx, count(*) AS n_total, count(*) FILTER (deleted) AS n_deleted, count(*) FILTER (NOT deleted AND NOT coalesce(a.label = h.label, false)) AS n_marooned "
+    "FROM bdel d JOIN ez USING (edge_id) JOIN zkept q ON q.level = ez.level AND q.zone_idx = ez.zone_idx LEFT JOIN blab a ON a.p = d.p_milli AND a.node = d.src LEFT JOIN blab h ON h.p = d.p_milli AND h.node = q.anchor_node GROUP BY ALL",
+    "sample_by_thresholds": "SELECT p_milli, replicate, edge_id FROM del WHERE deleted",
+    "sample_by_thresholds_fitness": "SELECT p_milli, replicate, edge_id FROM delf WHERE deleted",
+    "snap_facilities": "SELECT id, node, gap FROM snap",
+    "accessibility": "SELECT p_milli, replicate, count(*) AS n_nodes, count(*) FILTER (dist IS NULL) AS n_unreachable, round(count(*) FILTER (dist IS NULL) / count(*), 6) AS unreachable_frac, round(avg(dist), 6) AS mean_m, round(max(dist), 6) AS max_m "
+    "FROM (SELECT p_milli, replicate, deg.node, dist FROM deg CROSS JOIN sc LEFT JOIN away ON away.node = deg.node AND away.p = p_milli AND away.r = replicate) GROUP BY ALL",
+    "trial_contracted": f"SELECT {_Z6} FROM pzc",
     "giant_component": "SELECT '00000' AS fips, label, size FROM giant",
     "restrict_giant": "SELECT edge_id, src, dst, length_m FROM net",
     "edge_midpoint": "SELECT edge_id, mx AS mid_x, my AS mid_y FROM drive",

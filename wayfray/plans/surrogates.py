@@ -51,6 +51,13 @@ def network(spark: SparkSession, sf_dir: str, roads: str = "drive", giant_only:
     return frozen(build_network(lattice(spark, sf_dir), roads, giant_only=giant_only, check_empty=False))
 
 
+def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fips, id, x, y: suppliers of some standing, as points beside the lattice's nodes."""
+    side = spark.read.parquet(f"{sf_dir}/customer.parquet").agg(F.floor(F.sqrt(F.count("*"))).cast("bigint").alias("w"))
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_acctbal > 5000").crossJoin(F.broadcast(side))  # side is one row
+    return s.select(F.lit(FIPS).alias("fips"), F.col("s_suppkey").alias("id"), (F.expr("s_suppkey * 37 % w") * SPACING + 30).alias("x"), (F.expr("s_suppkey * 53 % w") * SPACING - 20).alias("y"))
+
+
 def zone_grid(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
     """Square zones over the lattice's extent, numbered row by row."""
     n = LEVELS[level]

@@ -24,6 +24,7 @@ GEOID_COLUMNS = ("GEOID20", "GEOID10", "GEOID")
 UNNAMED = "__unnamed__"
 TAU_2D = 187 / 91
 
+PROTOCOLS = ("random", "fitness", "betweenness")
 SCENARIO = ["protocol", "unit", "p", "p_milli", "replicate"]
 GLOBAL_COLUMNS = [
     "level", "scope", "protocol", "unit", "p", "replicate", "frag_nominal", "frag_effective", "marooned_frac",
