@@ -2,9 +2,11 @@
 
 Texts become token ids; only those longer than a sequence are cut. The plan is made on the
 histogram of piece lengths, which has at most ``room`` entries however many pieces there
-are: longest first, a length takes the single, pair or triple of remaining lengths that
-fills its gap exactly, as often as their counts allow; what is left is packed best fit,
-longest first. Pieces then find their place by their rank within their length, ranks being
+are. Available lengths are indexed by the sums of their pairs. Longest first, a length takes
+the single, pair or triple that fills its gap exactly, as often as the counts allow; what is
+left is packed best fit, longest first. Exact triples can use up the short lengths that
+best fit would need, so plans with fills of up to three, two, one and no lengths are made,
+and the one of fewest sequences is taken. Pieces then find their place by their rank within their length, ranks being
 prefix sums over hashed buckets, so no length is gathered in one task.
 
 Defined cases: null and empty texts are the single id 0; rows with the same id are packed
@@ -14,10 +16,12 @@ each for itself; an empty table gives an empty result; other columns are ignored
 from __future__ import annotations
 
 import bisect
+import json
 import math
 import sys
 import zlib
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,6 +40,8 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: The splitting pattern of tokenizers whose words can be encoded one by one (a fixed value).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Stands between words that are encoded together; words that hold it are encoded alone.
 BETWEEN = "\ue000"
 _GAP = f" {BETWEEN} ".encode()
@@ -43,18 +49,41 @@ _GAP = f" {BETWEEN} ".encode()
 TOGETHER, LONGEST = 1000, 64
 
 
+@lru_cache(1)
+def parts_of(path: str) -> tuple[bool, tuple[bytes, ...]]:
+    """Whether a tokenizer folds case and splits at white space as ``WordIds`` relies on, and its added tokens in lower case."""
+    s = json.loads(tokenizer(path).to_str())
+    listed = lambda x, key: [] if x is None else x[key] if x["type"] == "Sequence" else [x]
+    norm, pre = listed(s["normalizer"], "normalizers"), listed(s["pre_tokenizer"], "pretokenizers")
+    first = pre[0] if pre else {}
+    fine = (
+        [x["type"] for x in norm] == ["NFC", "Replace", "Lowercase"] and norm[1]["pattern"] == {"Regex": r"\s+"} and norm[1]["content"] == " "
+        and first.get("type") == "Split" and first["pattern"] == {"Regex": SPLIT} and (first["behavior"], first["invert"]) == ("Removed", True) and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] for x in pre[1:])
+    )
+    return fine, tuple(x["content"].lower().encode() for x in s["added_tokens"])
+
+
 class WordIds(dict):
     """Text between ASCII white space -> its ids as little-endian unsigned 32-bit bytes.
 
     The tokenizer's pre-tokenizer never joins characters across white space, so a text's
     ids are those of its words, one after another. It also folds case, so words are taken
-    in lower case (``words_of``). Memory is bounded by ``most`` words."""
+    in lower case (``words_of``). That holds for tokenizers of the form that ``parts_of``
+    looks for; with others, and for texts that hold an added token in any case (added tokens
+    are matched in the raw text), whole texts are encoded. Memory is bounded by ``most`` words."""
 
     def __init__(self, path: str, most: int = 500_000):
+        self.by_words, self.added = parts_of(path)
         self.encode, self.most = tokenizer(path).encode, most
         self.batch = getattr(tokenizer(path), "encode_batch_fast", tokenizer(path).encode_batch)
         self.between = self[BETWEEN.encode()]
 
+    def of_text(self, text: bytes) -> bytes:
+        low = text.lower()
+        if not self.by_words or any(t in low for t in self.added):
+            return pack_ids(self.encode(text.decode(), add_special_tokens=False).ids)
+        return self.of(words_of(text))
+
     def __missing__(self, word: bytes) -> bytes:
         return pack_ids(self.encode(word.decode(), add_special_tokens=False).ids)
 
@@ -95,7 +124,7 @@ def pieces(docs: DataFrame, path: str, room: int = 2048) -> DataFrame:
         for b in batches:
             ids_col, out = b.column("doc_id").to_pylist(), ([], [], [], [], [])
             for doc, text in zip(ids_col, binary(b, "text"), strict=True):
-                ids = words.of(words_of(text or b"")) + bytes(4)
+                ids = words.of_text(text or b"") + bytes(4)
                 for k, at in enumerate(range(0, len(ids), 4 * room)):
                     piece = ids[at : at + 4 * room]
                     for c, v in zip(out, (doc, k, at // 4, len(piece) // 4, zlib.crc32(piece)), strict=True):
@@ -107,50 +136,77 @@ def pieces(docs: DataFrame, path: str, room: int = 2048) -> DataFrame:
     return arrow_map(slim, each, f"doc_id {dict(slim.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")
 
 
-def plan(histogram: dict[int, int], room: int = 2048) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of one sequence, how many such sequences), for counts of lengths up to room."""
-    left = {k: n for k, n in histogram.items() if n > 0}
-    out: list[tuple[tuple[int, ...], int]] = []
-
-    def take(parts: tuple[int, ...]) -> None:
+class Lengths:
+    """Lengths with their counts, indexed by the sums of pairs that are available."""
+
+    def __init__(self, histogram: dict[int, int], room: int):
+        self.room, self.left = room, {k: n for k, n in histogram.items() if n > 0}
+        self.have = np.zeros(room + 1, bool)
+        self.have[list(self.left)] = True
+        self.pairs = np.zeros(2 * room + 1, np.int64)  # pairs a >= b of available lengths, by sum
+        keys = np.array(sorted(self.left), np.int64)
+        for i, k in enumerate(keys):
+            self.pairs[k + keys[: i + 1]] += 1
+
+    def fills(self, gap: int, parts: int) -> Iterator[tuple[int, ...]]:
+        """Groups of ``parts`` available lengths that sum to gap, the longest first."""
+        if parts == 1:
+            if gap > 0 and self.have[gap]:
+                yield (gap,)
+        elif parts == 2:
+            if gap > 1 and self.pairs[gap]:
+                low = (gap + 1) // 2
+                for a in np.flatnonzero(self.have[low:gap] & self.have[gap - low : 0 : -1])[::-1].tolist():
+                    yield low + a, gap - low - a
+        elif gap > 2:
+            low = -(-gap // 3)
+            for a in np.flatnonzero(self.have[low : gap - 1] & (self.pairs[gap - low : 1 : -1] > 0))[::-1].tolist():
+                for b, c in self.fills(gap - low - a, 2):
+                    if b <= low + a:
+                        yield low + a, b, c
+
+    def take(self, parts: tuple[int, ...]) -> int:
+        """Uses a group as often as its lengths allow."""
         need = {k: parts.count(k) for k in set(parts)}
-        n = min(left.get(k, 0) // m for k, m in need.items())
-        if n:
-            out.append((parts, n))
-            for k, m in need.items():
-                left[k] -= n * m
-                if not left[k]:
-                    del left[k]
-
-    for big in sorted(left, reverse=True):
-        gap = room - big
-        if big not in left:
-            continue
-        if gap == 0:
-            take((big,))
-            continue
-        if gap in left:  # a single
-            take((big, gap))
-        for a in sorted((k for k in left if gap / 2 <= k < gap), reverse=True):  # pairs, their index being the histogram itself
-            if big not in left:
-                break
-            if gap - a in left:
-                take((big, a, gap - a))
-        if big in left and big < room:  # triples: complements of a in the sums of pairs
-            keys = sorted(k for k in left if k <= gap)
-            for a in reversed(keys):
-                if big not in left:
+        n = min(self.left.get(k, 0) // m for k, m in need.items())
+        for k, m in need.items() if n else ():
+            self.left[k] -= n * m
+            if not self.left[k]:
+                del self.left[k]
+                self.pairs[k + np.flatnonzero(self.have)] -= 1
+                self.have[k] = False
+        return n
+
+
+def exact_fills(lengths: Lengths, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """Full sequences of a length and up to ``most`` others, longest first; takes them from ``lengths``."""
+    out = []
+    for big in sorted(lengths.left, reverse=True):
+        gap = lengths.room - big
+        for parts in range(most + 1) if big in lengths.left else ():
+            for group in lengths.fills(gap, parts) if parts else [()] * (gap == 0):
+                if n := lengths.take((big, *group)):
+                    out.append(((big, *group), n))
+                if big not in lengths.left:
                     break
-                rest = gap - a
-                if rest <= 1 or a not in left:
-                    continue
-                for b in reversed(keys[: bisect.bisect_right(keys, min(a, rest - 1))]):
-                    if 2 * b < rest or big not in left or a not in left:
-                        break
-                    if b in left and rest - b in left:
-                        take((big, a, b, rest - b))
-    # best fit of the rest, equal bins kept together: gap -> list of [parts, count]
-    keys: list[int] = []
+            if big not in lengths.left:
+                break
+    return out
+
+
+def plan(histogram: dict[int, int], room: int = 2048) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths of one sequence, how many such sequences), for counts of lengths up to room; of the plans with fills of three to no lengths the one of fewest sequences."""
+    plans = []
+    for most in (3, 2, 1, 0):
+        lengths = Lengths(histogram, room)
+        full = exact_fills(lengths, most)
+        plans.append(full + best_fit(lengths.left, room))
+    return min(plans, key=lambda p: sum(n for _, n in p))
+
+
+def best_fit(left: dict[int, int], room: int) -> list[tuple[tuple[int, ...], int]]:
+    """Longest first, each into the fullest sequence with room for it."""
+    keys: list[int] = []  # equal sequences are kept together: gap -> list of [parts, count]
     bins: dict[int, list[list]] = {}
 
     def put(parts: tuple[int, ...], n: int) -> None:
@@ -189,8 +245,7 @@ def plan(histogram: dict[int, int], room: int = 2048) -> list[tuple[tuple[int, .
                     keys.pop(i)
             put(parts + add, m)
             n -= used
-    out += [(tuple(p), n) for groups in bins.values() for p, n in groups]
-    return out
+    return [(tuple(p), n) for groups in bins.values() for p, n in groups]
 
 
 def places(templates: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, ...]]:
