@@ -139,12 +139,18 @@ c AS (
          CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN ln USING (doc_id)),
 r AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-         10 * n_symbols > n_words OR word_chars > 15 * n_words OR word_chars < 2 * n_words OR (n_dup_lines > 3 AND 4 * n_dup_lines > n_words) AS rule_failed FROM c),
-h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR rule_failed) AS k FROM r GROUP BY source),
-q AS (SELECT avg(k / n) AS m, var_pop(k / n) AS v FROM h),
-z AS (SELECT source, (k + m * a) / (n + a) <= 0.5 AS ok FROM (SELECT *, CASE WHEN v > 0 THEN greatest(1.0, m * (1 - m) / v - 1) ELSE 1e6 END AS a FROM h, q))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rule_failed AND ok AS kept
-FROM r JOIN z ON r.source IS NOT DISTINCT FROM z.source"""
+         10 * n_symbols > n_words OR word_chars > 15 * n_words OR word_chars < 2 * n_words OR (n_dup_lines > 3 AND 4 * n_dup_lines > n_words) OR 100 * n_repeat_words > 50 * n_words AS rule_failed,
+         [10 * n_symbols > n_words OR 50 * n_symbols > n_words, word_chars > 12 * n_words OR word_chars < 3 * n_words,
+          (n_dup_lines > 3 AND 4 * n_dup_lines > n_words) OR (n_dup_lines > 1 AND 20 * n_dup_lines > n_words), 100 * n_repeat_words > 20 * n_words] AS doubt FROM c),
+f AS (SELECT doc_id, source, unnest([0, 1, 2, 3, 4]) AS rule, unnest(list_prepend(base_failed OR rule_failed, doubt)) AS x FROM r),
+h AS (SELECT source, rule, count(*) AS n, count(*) FILTER (x) AS k FROM f GROUP BY ALL),
+q AS (SELECT rule, avg(k / n) AS m, var_pop(k / n) AS v FROM h GROUP BY rule),
+z AS (SELECT source, rule, m, (k + m * a) / (n + a) AS s FROM (SELECT *, CASE WHEN v > 0 THEN greatest(1.0, m * (1 - m) / v - 1) ELSE 1e6 END AS a FROM h JOIN q USING (rule))),
+t AS (SELECT rule, sqrt(avg((s - m) * (s - m))) AS d FROM z GROUP BY rule),
+g AS (SELECT source, list(CASE WHEN rule = 0 THEN s > 0.5 ELSE s > m + d + 1e-9 END ORDER BY rule) AS bad FROM z JOIN t USING (rule) GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT rule_failed AND NOT bad[1] AND NOT (bad[2] AND doubt[1] OR bad[3] AND doubt[2] OR bad[4] AND doubt[3] OR bad[5] AND doubt[4]) AS kept
+FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source"""
 
 OP8 = """
 WITH v AS (
