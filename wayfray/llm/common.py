@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.components import frozen, shared_folder
+from ..operators import components
+from ..operators.components import release, shared_folder
 
 #: A word of every contract here: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,6 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def frozen(df: DataFrame) -> DataFrame:
+    """df in the shared checkpoint folder, its lineage cut and the shuffle files of what led to it let go: texts leave large ones."""
+    out = components.frozen(df)
+    del df
+    release(out.sparkSession)
+    return out
+
+
 def arrow_map(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, batch: int = BATCH_ROWS) -> DataFrame:
     """mapInArrow with small batches."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))

@@ -227,7 +227,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, k: int, percent: int) ->
     sets = _sets_of(docs, classes, wanted, k)
     common = F.size(F.array_intersect("a", "b"))
     first = frozen(_both(near, sets).where(100 * common >= percent * (F.size("a") + F.size("b") - common)).select("x", "y"))
-    comp = frozen(star_components(first, src="x", dst="y"))
+    comp = frozen(star_components(first, src="x", dst="y", tidy=1))
     # buckets of three or more classes that still hold several components; equal buckets once
     placed = met.where("n > 2").join(comp.withColumnRenamed("node", "c"), "c", "left").select("key", "n", "x", "c", F.coalesce("label", "c").alias("comp"))
     alike = placed.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.max("x").alias("_x"), F.count("*").alias("_n"), F.bit_xor(F.xxhash64("c")).alias("_h"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("_g"))
@@ -243,7 +243,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame, k: int, percent: int) ->
     dealt = held.withColumn("at", F.explode(met_by))
     groups = dealt.groupBy("key", "at").agg(F.collect_list(F.struct("c", "comp", F.col("size").alias("n"), "delta", "blk")).alias("members"))
     more = frozen(arrow_map(groups.select("members"), _within(percent), "x long, y long", batch=8))
-    return star_components(first.union(more), src="x", dst="y")
+    return star_components(first.union(more), src="x", dst="y", tidy=1)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
