@@ -274,24 +274,23 @@ def greedy_search(asked: DataFrame, nodes: DataFrame, graph: DataFrame, tables:
     pairs = own.unionByName(outside.join(F.broadcast(doors), "d").select("q", "node", "f", "g")).dropDuplicates(["q", "node"])
     schema = "q long, node long, dist double"
     first = tables.keep(arrow_map(pairs, _measured, schema, 4096))
-    seen, state = [first], first.withColumn("done", F.lit(0))
+    seen, state = first.select("q", "node"), first.withColumn("done", F.lit(0))
+    met, now = tables.keep(seen), None
     step_schema = "q long, node long, dist double, done int, todo boolean"
     for k in range(rounds + 1):
-        now = tables.keep(arrow_map(state.repartition("q").sortWithinPartitions("q"), _beam(beam, step), step_schema, 20_000))
-        if k == rounds:
-            break
+        old, now = now, tables.keep(arrow_map(state.repartition("q").sortWithinPartitions("q"), _beam(beam, step), step_schema, 20_000))
+        if old is not None:
+            tables.drop(old)
         todo = now.where("todo")
-        if todo.isEmpty():
+        if k == rounds or todo.isEmpty():
             break
         far = now.groupBy("q").agg(F.when(F.count("*") >= beam, F.max("dist")).otherwise(float("inf")).alias("far"))
-        met = seen[0]
-        for s in seen[1:]:
-            met = met.unionByName(s)
-        fresh = todo.join(graph, F.col("node") == F.col("a")).select("q", F.col("b").alias("node")).distinct().join(met.select("q", "node"), ["q", "node"], "left_anti")
+        fresh = todo.join(graph, F.col("node") == F.col("a")).select("q", F.col("b").alias("node")).distinct().join(met, ["q", "node"], "left_anti")
         bound = asked.select("q", "f").join(far, "q")
         both = fresh.join(bound, "q").join(nodes.select("node", F.col("f").alias("g")), "node")
         found = tables.keep(arrow_map(both.select("q", "node", "f", "g"), _measured, schema, 4096))
-        seen.append(found)
+        before, met = met, tables.keep(met.unionByName(found.select("q", "node")))
+        tables.drop(before)
         state = now.select("q", "node", "dist", F.when(F.col("todo"), 1).otherwise(F.col("done")).alias("done")).unionByName(found.join(far, "q").where("dist < far").select("q", "node", "dist", F.lit(0).alias("done")))
     return now.select("q", "node", "dist")
 
