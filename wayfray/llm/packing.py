@@ -68,7 +68,7 @@ class WordIds(dict):
 
     The tokenizer's pre-tokenizer never joins characters across white space, so a text's
     ids are those of its words, one after another. It also folds case, so words are taken
-    in lower case (``words_of``). That holds for tokenizers of the form that ``parts_of``
+    in lower case (``of_text``). That holds for tokenizers of the form that ``parts_of``
     looks for; with others, and for texts that hold an added token in any case (added tokens
     are matched in the raw text), whole texts are encoded. Memory is bounded by ``most`` words."""
 
@@ -82,7 +82,12 @@ class WordIds(dict):
         low = text.lower()
         if not self.by_words or any(t in low for t in self.added):
             return pack_ids(self.encode(text.decode(), add_special_tokens=False).ids)
-        return self.of(words_of(text))
+        # combining marks may compose with a letter of either case: their texts stay as they are
+        words = (text if b"\xcc" in text or b"\xcd" in text else low).split()
+        try:
+            return b"".join(map(self.get, words))
+        except TypeError:  # a word that isn't known yet
+            return self.of(words)
 
     def __missing__(self, word: bytes) -> bytes:
         return pack_ids(self.encode(word.decode(), add_special_tokens=False).ids)
@@ -90,8 +95,6 @@ class WordIds(dict):
     def of(self, words: list[bytes]) -> bytes:
         """The ids of the words; the new ones are encoded together and, but for the longest, remembered."""
         ids = list(map(self.get, words))
-        if None not in ids:
-            return b"".join(ids)
         at = [i for i, x in enumerate(ids) if x is None]
         new = [w for w in {words[i] for i in at} if len(w) <= LONGEST and BETWEEN.encode() not in w]
         if len(self) + len(new) > self.most:
@@ -111,11 +114,6 @@ def pack_ids(ids: list[int]) -> bytes:
     return array("I", ids).tobytes() if sys.byteorder == "little" and array("I").itemsize == 4 else np.array(ids, "<u4").tobytes()
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """The text's words in lower case; texts with combining marks, which may compose with a letter of either case, stay as they are."""
-    return (text if b"\xcc" in text or b"\xcd" in text else text.lower()).split()
-
-
 def pieces(docs: DataFrame, path: str, room: int = 2048) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document."""
 
