@@ -44,7 +44,7 @@ def tokenizer(path: str):
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Stands between words that are encoded together; words that hold it are encoded alone.
 BETWEEN = "\ue000"
-_GAP = f" {BETWEEN} ".encode()
+_BETWEEN, _GAP = BETWEEN.encode(), f" {BETWEEN} ".encode()
 #: Words encoded at a time, and the longest that are (bytes).
 TOGETHER, LONGEST = 1000, 64
 
@@ -68,7 +68,7 @@ class WordIds(dict):
 
     The tokenizer's pre-tokenizer never joins characters across white space, so a text's
     ids are those of its words, one after another. It also folds case, so words are taken
-    in lower case (``of_text``). That holds for tokenizers of the form that ``parts_of``
+    in lower case (``_split``). That holds for tokenizers of the form that ``parts_of``
     looks for; with others, and for texts that hold an added token in any case (added tokens
     are matched in the raw text), whole texts are encoded. Memory is bounded by ``most`` words."""
 
@@ -76,37 +76,44 @@ class WordIds(dict):
         self.by_words, self.added = parts_of(path)
         self.encode, self.most = tokenizer(path).encode, most
         self.batch = getattr(tokenizer(path), "encode_batch_fast", tokenizer(path).encode_batch)
-        self.between = self[BETWEEN.encode()]
-
-    def of_text(self, text: bytes) -> bytes:
-        low = text.lower()
-        if not self.by_words or any(t in low for t in self.added):
-            return pack_ids(self.encode(text.decode(), add_special_tokens=False).ids)
-        # combining marks may compose with a letter of either case: their texts stay as they are
-        words = (text if b"\xcc" in text or b"\xcd" in text else low).split()
-        try:
-            return b"".join(map(self.get, words))
-        except TypeError:  # a word that isn't known yet
-            return self.of(words)
+        self.between = self[_BETWEEN]
 
     def __missing__(self, word: bytes) -> bytes:
         return pack_ids(self.encode(word.decode(), add_special_tokens=False).ids)
 
-    def of(self, words: list[bytes]) -> bytes:
-        """The ids of the words; the new ones are encoded together and, but for the longest, remembered."""
-        ids = list(map(self.get, words))
-        at = [i for i, x in enumerate(ids) if x is None]
-        new = [w for w in {words[i] for i in at} if len(w) <= LONGEST and BETWEEN.encode() not in w]
+    def of_texts(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text; the words that are new to any of them are encoded together."""
+        split = [self._split(t) for t in texts]
+        new = set().union(*(w for w in split if w is not None)) - self.keys()
         if len(self) + len(new) > self.most:
             self.clear()
+            new = set().union(*(w for w in split if w is not None))
+        self.learn(new)
+        for text, words in zip(texts, split, strict=True):
+            if words is None:
+                yield pack_ids(self.encode(text.decode(), add_special_tokens=False).ids)
+            else:
+                yield b"".join(map(self.__getitem__, words))
+
+    def of_text(self, text: bytes) -> bytes:
+        return next(self.of_texts([text]))
+
+    def _split(self, text: bytes) -> list[bytes] | None:
+        """The words that the text's ids follow from; None: the text must be encoded whole."""
+        low = text.lower()
+        if not self.by_words or any(t in low for t in self.added):
+            return None
+        # combining marks may compose with a letter of either case: their texts stay as they are
+        return (text if b"\xcc" in text or b"\xcd" in text else low).split()
+
+    def learn(self, words: set[bytes]) -> None:
+        """Encodes new words together and, but for the longest, remembers them."""
+        new = [w for w in words if len(w) <= LONGEST and _BETWEEN not in w]
         for k in range(0, len(new), TOGETHER):
             part = new[k : k + TOGETHER]
             found = pack_ids(self.batch([_GAP.join(part).decode()], add_special_tokens=False)[0].ids).split(self.between)  # ids under 2 ** 16 match at whole numbers only
             if len(found) == len(part):
                 self.update(zip(part, found, strict=True))
-        for i in at:
-            ids[i] = self[words[i]]
-        return b"".join(ids)
 
 
 def pack_ids(ids: list[int]) -> bytes:
@@ -121,8 +128,8 @@ def pieces(docs: DataFrame, path: str, room: int = 2048) -> DataFrame:
         words = WordIds(path)
         for b in batches:
             ids_col, out = b.column("doc_id").to_pylist(), ([], [], [], [], [])
-            for doc, text in zip(ids_col, binary(b, "text"), strict=True):
-                ids = words.of_text(text or b"") + bytes(4)
+            for doc, ids in zip(ids_col, words.of_texts([t or b"" for t in binary(b, "text")]), strict=True):
+                ids += bytes(4)
                 for k, at in enumerate(range(0, len(ids), 4 * room)):
                     piece = ids[at : at + 4 * room]
                     for c, v in zip(out, (doc, k, at // 4, len(piece) // 4, zlib.crc32(piece)), strict=True):
