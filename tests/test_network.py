@@ -3,6 +3,7 @@
 import math
 import random
 import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -22,27 +23,32 @@ from wayfray.sources import layers as L
 RAW = "edge_id long, fips string, TNIDF string, TNIDT string, ROADFLG string, MTFCC string, LINEARID string, geometry array<struct<x:double,y:double>>"
 
 
-def lattice(spark, n=8, spacing=100.0, drop=0.2, seed=1):
-    rng, rows = random.Random(seed), []
-    for i in range(n + 1):
-        for j in range(n + 1):
-            for di, dj in ((0, 1), (1, 0)):
-                if i + di <= n and j + dj <= n and rng.random() > drop:
-                    a, b = i * (n + 1) + j, (i + di) * (n + 1) + j + dj
-                    rows.append((len(rows), "1", str(a), str(b), "y", "S1400", f"L{a // 7}", [(j * spacing, i * spacing), ((j + dj) * spacing, (i + di) * spacing)]))
+def town(spark, blocks=8, side=100.0, gap=0.2):
+    """Streets (east to west) and avenues (north to south) between corners ``side`` apart; a share ``gap`` of the stretches between corners is missing, by checksum."""
+    corner = lambda street, avenue: 1000 * (street + 1) + avenue
+    stretches = [(f"street {s}", (s, a), (s, a + 1)) for s in range(blocks + 1) for a in range(blocks)] + [(f"avenue {a}", (s, a), (s + 1, a)) for a in range(blocks + 1) for s in range(blocks)]
+    rows = []
+    for name, one, two in stretches:
+        key = f"{corner(*one)}-{corner(*two)}"
+        if zlib.crc32(key.encode()) % 1000 >= 1000 * gap:
+            rows.append((len(rows), "1", str(corner(*one)), str(corner(*two)), "y", "S1400", name, [(a * side, s * side) for s, a in (one, two)]))
     return spark.createDataFrame(rows, RAW)
 
 
-def grid(spark, n, extent):
-    s = extent / n
-    rows = [(f"Z{i:02d}{j:02d}", [[(j * s, i * s), ((j + 1) * s, i * s), ((j + 1) * s, (i + 1) * s), (j * s, (i + 1) * s), (j * s, i * s)]]) for i in range(n) for j in range(n)]
+def squares(spark, n, extent):
+    """n by n square zones named by their place in reading order."""
+    step = extent / n
+    rows = []
+    for k in range(n * n):
+        west, south = k % n * step, k // n * step
+        rows.append((f"zone{k:03d}", [[(west, south), (west, south + step), (west + step, south + step), (west + step, south), (west, south)]]))
     return spark.createDataFrame(rows, "GEOID string, geometry array<array<struct<x:double,y:double>>>")
 
 
 @pytest.fixture(scope="module")
 def county1(spark):
-    net = frozen(N.build_network(lattice(spark)))
-    zs = Z.number_zones(grid(spark, 3, 800.0), "coarse", "1")
+    net = frozen(N.build_network(town(spark)))
+    zs = Z.number_zones(squares(spark, 3, 800.0), "coarse", "1")
     ez, zones = Z.assign_by_polygons(net, zs, cell=300.0)
     return net, frozen(ez), frozen(zones)
 
@@ -61,7 +67,7 @@ def test_filters(spark):
 
 def test_empty_network_is_an_error(spark):
     with pytest.raises(ValueError):
-        N.build_network(lattice(spark).where("false"))
+        N.build_network(town(spark).where("false"))
 
 
 # ---- components and trials -----------------------------------------------------------------------------------------
@@ -189,13 +195,13 @@ def test_number_of_scenarios_is_checked(spark):
 
 def test_border_midpoints_go_to_the_first_zone(spark):
     net = spark.createDataFrame([("1", 1, 400.0, 100.0), ("1", 2, 100.0, 100.0), ("1", 3, 9000.0, 0.0)], "fips string, edge_id long, mid_x double, mid_y double")
-    zs = Z.number_zones(grid(spark, 2, 800.0), "v", "1")
+    zs = Z.number_zones(squares(spark, 2, 800.0), "v", "1")
     assert {r["edge_id"]: r["zone_idx"] for r in Z.point_in_zone(net, zs, 150.0).collect()} == {1: 0, 2: 0, 3: None}
 
 
 def test_small_zones_go_but_edges_stay(county1, spark):
     net, _, _ = county1
-    ez, zones = Z.assign_by_polygons(net, Z.number_zones(grid(spark, 8, 800.0), "fine", "1"), 300.0)
+    ez, zones = Z.assign_by_polygons(net, Z.number_zones(squares(spark, 8, 800.0), "fine", "1"), 300.0)
     n = Z.edges_per_zone(ez).collect()
     assert all(r["n_edges"] >= 5 for r in n) and ez.count() == net.count()
     assert sorted(r["zone_idx"] for r in zones.collect()) == list(range(zones.count()))
@@ -203,15 +209,15 @@ def test_small_zones_go_but_edges_stay(county1, spark):
 
 def test_pmedian_covers_all(county1):
     net, _, _ = county1
-    ez, zones = Z.assign_by_pmedian(net, 3, fips="1")
+    ez, zones = Z.assign_by_pmedian(net, 3)
     assert ez.where("zone_idx is null").count() == 0 and zones.count() == 3 and zones.where("anchor_node is null").count() == 0
 
 
 def test_zone_layer_selection(spark):
-    polys = grid(spark, 2, 2.0).withColumns({"STATEFP": F.lit("18"), "COUNTYFP": F.when(F.col("GEOID") == "Z0000", "097").otherwise("001")})
+    polys = squares(spark, 2, 2.0).withColumns({"STATEFP": F.lit("18"), "COUNTYFP": F.when(F.col("GEOID") == "zone000", "097").otherwise("001")})
     assert Z.select_zone_polygons(polys, "tract", "18097").count() == 1
     edge = spark.createDataFrame([([[(0.2, 0.2), (0.4, 0.2), (0.4, 0.4), (0.2, 0.2)]],)], "geometry array<array<struct<x:double,y:double>>>")
-    assert [r["GEOID"] for r in Z.select_zone_polygons(polys, "zcta", "18097", edge).collect()] == ["Z0000"]
+    assert [r["GEOID"] for r in Z.select_zone_polygons(polys, "zcta", "18097", edge).collect()] == ["zone000"]
     with pytest.raises(KeyError):
         Z.select_zone_polygons(polys.drop("STATEFP"), "bg", "18097")
     with pytest.raises(ValueError):
@@ -322,30 +328,81 @@ def test_shapefile(spark, tmp_path):
 
 
 def test_batches_restart_and_isolate(spark, tmp_path):
-    calls = []
-
-    def run(spark, code, bad=None):
-        calls.append(code)
-        if code == bad:
-            raise RuntimeError("broken")
-        return {"summary": spark.createDataFrame([(code, 1.0)], "fips string, x double")}
-
-    out = str(tmp_path / "r")
-    assert county.run_many(spark, [1001, "18097"], out, run=run, bad="18097").count() == 1
-    assert [r["fips"] for r in county.run_many(spark, [1001, "18097"], out, run=run, bad="18097").collect()] == ["01001"]
-    assert calls == ["01001", "18097", "18097"]
-    county.run_many(spark, [1001], out, run=run, bad=None)
-    assert calls[-1] == "01001"  # other settings, so done again
-    assert L.discover_fips(spark, out, "summary") == ["01001"]
+    loaded = []
+
+    def load(spark, code, **_):
+        loaded.append(code)
+        if code == "00003":
+            raise FileNotFoundError("no such layer")
+        raw = town(spark, 4).withColumns({"fips": F.lit(code), "MTFCC": F.when(F.lit(code) == "00004", "S1740").otherwise(F.col("MTFCC"))})
+        if code == "00005":
+            raw = raw.withColumn("edge_id", F.expr("raise_error('broken file')").cast("long"))
+        return raw, {"quarter": squares(spark, 2, 400.0).withColumn("fips", F.lit(code))}
+
+    out, kw = str(tmp_path / "r"), {"load": load, "project": False, "pmedian": (), "scopes": ("county",), "p_values": [0.3], "replicates": 2, "detail": (0.3,), "cell": 150.0}
+    asked = [1, "2", 3, "00004", 5]
+    got = {r["fips"]: (r["outcome"], r["reason"]) for r in county.run_many(spark, asked, out, **kw).collect()}
+    assert got["00001"][0] == got["00002"][0] == "done" and got["00004"] == ("failed", "no road of the set")
+    assert got["00003"][0] == got["00005"][0] == "failed" and "no such layer" in got["00003"][1]
+    assert L.discover_fips(spark, out, "summary") == ["00001", "00002"]
+    del loaded[:]
+    got = {r["fips"]: r["outcome"] for r in county.run_many(spark, asked, out, **kw).collect()}
+    assert got["00001"] == got["00002"] == "skipped" and loaded == ["00003", "00004", "00005"]
+    del loaded[:]
+    county.run_many(spark, [1], out, **{**kw, "replicates": 3})
+    assert loaded == ["00001"]  # other settings, so done again
+    one = county.run_county(spark, "2", load=load, **{k: v for k, v in kw.items() if k != "load"}, roads="all")
+    assert one["summary"].count() == 1
+
+
+def test_batch_is_the_sum_of_its_counties(spark):
+    raw = town(spark, 5)
+    zones = squares(spark, 2, 500.0)
+    two = raw.withColumn("fips", F.lit("2")).where("edge_id % 9 <> 0")
+    kw = {"pmedian": (2,), "scopes": ("county",), "p_values": [0.2], "replicates": 2, "cell": 200.0}
+    both = county.run_batch(raw.unionByName(two), {"q": zones.withColumn("fips", F.explode(F.array(F.lit("1"), F.lit("2"))))}, **kw)
+    row = lambda df: sorted(map(str, df.select("fips", "level", "zone_id", "n_edges", F.round("frag_effective", 9)).collect()))
+    apart = [county.run_batch(r, {"q": zones.withColumn("fips", F.lit(f))}, **kw) for f, r in (("1", raw), ("2", two))]
+    assert row(both["zones"]) == row(apart[0]["zones"].unionByName(apart[1]["zones"]))
+    assert {(r["fips"], r["level"], r["outcome"]) for r in both["outcomes"].collect()} == {(f, v, "done") for f in "12" for v in ("q", "pmedian2")}
+    done = spark.createDataFrame([("2",)], "fips string")
+    asked = spark.createDataFrame([("1",), ("2",), ("3",)], "fips string")
+    some = county.run_batch(raw.unionByName(two), {"q": zones.withColumn("fips", F.lit("1"))}, asked, done, **{**kw, "pmedian": ()})
+    assert {r["fips"]: (r["outcome"], r["reason"]) for r in some["outcomes"].collect() if r["fips"] != "1"} == {"2": ("skipped", "done before"), "3": ("failed", "no edge layer")}
+    assert row(some["zones"]) == row(apart[0]["zones"].where("level = 'q'"))
+
+
+def test_pmedian_of_many_centres_and_counties(spark):
+    """By cells as packed, and by county as alone."""
+    net = frozen(N.build_network(town(spark, 6)))
+    pts = net.select("fips", "edge_id", "mid_x", "mid_y")
+    rng = random.Random(5)
+    centres = spark.createDataFrame([("1", i, rng.uniform(0, 600), rng.uniform(0, 600)) for i in range(40)], "fips string, zone_idx int, x double, y double")
+    a, b = (sorted((r["edge_id"], r["zone_idx"]) for r in Z.nearest_centre(pts, centres, c).collect()) for c in (None, 30.0))
+    assert a == b and len(a) == net.count()
+    other = net.withColumns({"fips": F.lit("2"), "mid_x": F.col("mid_x") + 7000})
+    ez, zones = Z.assign_by_pmedian(net.unionByName(other), 4)
+    one, _ = Z.assign_by_pmedian(net, 4)
+    assert sorted(map(tuple, ez.where("fips = '1'").collect())) == sorted(map(tuple, one.collect())) and zones.count() == 8
+
+
+def test_edge_ids_of_layers(spark):
+    """Ids come from the layer's own, or from what a row holds: not from how its file is split."""
+    rows = [("17", [[(0.0, 0.0), (1.0, 1.0)], [(2.0, 2.0), (3.0, 3.0)]]), ("18", [[(0.0, 0.0), (1.0, 1.0)]])]
+    df = spark.createDataFrame(rows, "TLID string, parts array<array<struct<x:double,y:double>>>")
+    ids = lambda d: [r[0] for r in d.select("*", F.posexplode("parts").alias("_part", "geometry")).drop("parts").select(L.edge_id([c for c in d.columns])).collect()]
+    assert ids(df) == [17000, 17001, 18000]
+    a, b = ids(df.withColumnRenamed("TLID", "NAME")), ids(df.withColumnRenamed("TLID", "NAME").repartition(3))
+    assert len(set(a)) == 3 and set(a) == set(b)
 
 
 def test_geometric_noding(spark):
-    e = N.grid_nodes(lattice(spark).drop("TNIDF", "TNIDT"), 1.0)
-    a, b = N.degree(N.measured(N.drop_self_loops(e))), N.degree(N.build_network(lattice(spark), giant_only=False))
+    e = N.grid_nodes(town(spark).drop("TNIDF", "TNIDT"), 1.0)
+    a, b = N.degree(N.measured(N.drop_self_loops(e))), N.degree(N.build_network(town(spark), giant_only=False))
     assert sorted(r["degree"] for r in a.collect()) == sorted(r["degree"] for r in b.collect())
 
 
 def test_run_layers(spark):
-    out = county.run_layers(lattice(spark, 6), {"coarse": grid(spark, 2, 600.0)}, "1", pmedian=(2,), p_values=[0.2, 0.4], replicates=2, cell=300.0)
+    out = county.run_layers(town(spark, 6), {"coarse": squares(spark, 2, 600.0)}, "1", pmedian=(2,), p_values=[0.2, 0.4], replicates=2, cell=300.0)
     assert {r["level"] for r in out["summary"].collect()} == {"coarse", "pmedian2"}
     assert set(out["global"].columns) >= {"label", "fips", "n_components"}

@@ -81,3 +81,9 @@ def power_fit(points: DataFrame, by: list[str], x: str = "rank", y: str = "score
 def overlay(fits: DataFrame) -> DataFrame:
     """Fits in units of the normalised rank, by rising exponent."""
     return fits.withColumn("a_norm", F.col("a") * F.pow("xmax", "b")).orderBy("b")
+
+
+def overlay_points(scores: DataFrame, fits: DataFrame) -> DataFrame:
+    """Every county's scores over the normalised rank, beside the curve fitted to them."""
+    x = F.when(F.col("xmax") > 1, F.col("norm_rank") * F.col("xmax")).otherwise(F.col("norm_rank"))
+    return scores.join(fits.select("fips", "a", "b", "xmax"), "fips").select("fips", "zone_id", "norm_rank", "score", (F.col("a") * F.pow(x, F.col("b"))).alias("fitted"))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..schemas import GEOID_COLUMNS
+from .components import frozen
+from .nearest import nearest_join
 from .network import ends, nodes
 
 
@@ -75,32 +77,49 @@ def assign_by_polygons(net: DataFrame, zones: DataFrame, cell: float, drop_empty
     return drop_small_zones(ez, full, min_edges) if drop_empty else (ez, full)
 
 
-def nearest_centre(points: DataFrame, centres: list[tuple[float, float]]) -> DataFrame:
-    """points (mid_x, mid_y) with the index of the nearest centre; a handful of centres stands in the expression."""
-    d = [F.struct(F.hypot(F.col("mid_x") - x, F.col("mid_y") - y).alias("d"), F.lit(i).alias("i")) for i, (x, y) in enumerate(centres)]
-    return points.withColumn("zone_idx", F.array_min(F.array(*d)).getField("i"))
+#: Centres of a county that stand packed beside each point; more are met by cells.
+PACKED = 64
 
 
-def moved_centres(labelled: DataFrame, centres: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """The mean of each centre's points; a centre without points stays."""
-    means = {r["zone_idx"]: (r["x"], r["y"]) for r in labelled.groupBy("zone_idx").agg(F.avg("mid_x").alias("x"), F.avg("mid_y").alias("y")).collect()}  # k rows
-    return [means.get(i, c) for i, c in enumerate(centres)]
+def nearest_centre(points: DataFrame, centres: DataFrame, cell: float | None = None) -> DataFrame:
+    """points (fips, edge_id, mid_x, mid_y) with zone_idx, the nearest of their county's centres (fips, zone_idx, x, y); the least of equals.
 
+    Without ``cell`` a county's centres go along packed, for a handful; with it points meet centres by grid cells."""
+    if cell is not None:
+        own = points.select("fips", F.col("edge_id").alias("id"), F.col("mid_x").alias("x"), F.col("mid_y").alias("y"))
+        near = nearest_join(own, centres.withColumnRenamed("zone_idx", "target"), cell, ["fips"], digits=9)
+        return points.join(near.select("fips", F.col("id").alias("edge_id"), F.col("target").alias("zone_idx")), ["fips", "edge_id"])
+    packed = centres.groupBy("fips").agg(F.collect_list(F.struct("zone_idx", "x", "y")).alias("_c"))
+    far = F.transform("_c", lambda c: F.struct(F.hypot(F.col("mid_x") - c.x, F.col("mid_y") - c.y).alias("d"), c.zone_idx.alias("i")))
+    return points.join(packed, "fips").withColumn("zone_idx", F.array_min(far).getField("i")).drop("_c")
 
-def assign_by_pmedian(net: DataFrame, k: int = 5, seed: int = 0, rounds: int = 60, fips: str = "") -> tuple[DataFrame, DataFrame]:
-    """k Euclidean service areas by Lloyd's rounds over edge midpoints, from the k midpoints of least hash."""
+
+def moved_centres(labelled: DataFrame, centres: DataFrame) -> DataFrame:
+    """centres at the mean of their points, with ``moved``; a centre without points stays."""
+    means = labelled.groupBy("fips", "zone_idx").agg(F.avg("mid_x").alias("_x"), F.avg("mid_y").alias("_y"))
+    both = centres.select("fips", "zone_idx", "x", "y").join(means, ["fips", "zone_idx"], "left")
+    x, y = F.coalesce("_x", "x"), F.coalesce("_y", "y")
+    still = (F.abs(x - F.col("x")) <= 1e-8 + 1e-5 * F.abs("x")) & (F.abs(y - F.col("y")) <= 1e-8 + 1e-5 * F.abs("y"))
+    return both.select("fips", "zone_idx", x.alias("x"), y.alias("y"), (~still).alias("moved"))
+
+
+def assign_by_pmedian(net: DataFrame, k: int = 5, seed: int = 0, rounds: int = 60, cell: float = 1000.0) -> tuple[DataFrame, DataFrame]:
+    """k Euclidean service areas of each county by Lloyd's rounds over edge midpoints, all counties at once, from the k midpoints of least hash.
+
+    The rounds end when no centre of any county moves."""
     level = f"pmedian{k}"
-    mids = net.select("fips", "edge_id", "mid_x", "mid_y").cache()
+    mids = frozen(net.select("fips", "edge_id", "mid_x", "mid_y"))
     key = G.md5_bits(F.concat_ws("|", F.lit("pmedian"), F.lit(seed), "edge_id"))
-    centres = [(r["mid_x"], r["mid_y"]) for r in mids.orderBy(key, "edge_id").limit(k).collect()]
+    place = F.row_number().over(W.partitionBy("fips").orderBy(key, "edge_id"))
+    centres = frozen(mids.withColumn("_i", place).where(F.col("_i") <= k).select("fips", (F.col("_i") - 1).cast("int").alias("zone_idx"), F.col("mid_x").alias("x"), F.col("mid_y").alias("y")))
+    by_cell = cell if k > PACKED else None
     for _ in range(rounds):
-        new = moved_centres(nearest_centre(mids, centres), centres)
-        if all(abs(a - b) <= 1e-8 + 1e-5 * abs(b) for n, c in zip(new, centres, strict=True) for a, b in zip(n, c, strict=True)):
+        new = frozen(moved_centres(nearest_centre(mids, centres, by_cell), centres))
+        if new.where("moved").isEmpty():
             break
-        centres = new
-    ez = nearest_centre(mids, centres).select("fips", F.lit(level).alias("level"), "edge_id", "zone_idx")
-    areas = net.sparkSession.createDataFrame([(i, str(i), float(x), float(y)) for i, (x, y) in enumerate(centres)], "zone_idx int, zone_id string, cx double, cy double")
-    zones = areas.withColumns({"fips": F.lit(fips), "level": F.lit(level)}).select("fips", "level", "zone_idx", "zone_id", "cx", "cy")
+        centres = new.drop("moved")
+    ez = nearest_centre(mids, centres, by_cell).select("fips", F.lit(level).alias("level"), "edge_id", "zone_idx")
+    zones = centres.select("fips", F.lit(level).alias("level"), "zone_idx", F.col("zone_idx").cast("string").alias("zone_id"), F.col("x").alias("cx"), F.col("y").alias("cy"))
     return ez, zones.join(anchors(net, ez, zones), ["fips", "level", "zone_idx"], "left")
 
 

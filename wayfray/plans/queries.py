@@ -15,7 +15,7 @@ from ..operators import sweep as S
 from ..operators import trial as T
 from ..operators import zoning as Z
 from ..operators.components import contracted_components, frozen, keyed_components, star_components
-from . import sql
+from . import county, sql
 from . import surrogates as U
 
 PS, REPLICATES = [0.1, 0.2, 0.3, 0.4, 0.5], 2
@@ -110,15 +110,29 @@ def drop_small_zones(spark, d):
     return Z.edges_per_zone(ez).join(zs, ["fips", "level", "zone_idx"]).select("zone_idx", "zone_id", "n_edges", "anchor_node")
 
 
+def _centres(spark, d, n=None):
+    """Given centres, or as many as suppliers."""
+    if n is None:
+        return spark.createDataFrame([(U.FIPS, i, x, y) for i, (x, y) in enumerate(CENTRES)], "fips string, zone_idx int, x double, y double")
+    return U.supplier_points(spark, d).select("fips", F.col("id").cast("int").alias("zone_idx"), "x", "y")
+
+
 def nearest_centre(spark, d):
     """One round: each midpoint's nearest centre, then the centres' new places."""
-    near = Z.nearest_centre(U.network(spark, d).select("edge_id", "mid_x", "mid_y"), CENTRES)
+    mids, centres = U.network(spark, d).select("fips", "edge_id", "mid_x", "mid_y"), _centres(spark, d)
+    near = Z.nearest_centre(mids, centres)
     return _r(near.groupBy("zone_idx").agg(F.count("*").alias("n"), F.avg("mid_x").alias("x"), F.avg("mid_y").alias("y")), "x", "y", digits=6)
 
 
+def nearest_of_many(spark, d):
+    """Each midpoint's nearest of as many centres as there are suppliers, by grid cells."""
+    mids = U.network(spark, d).select("fips", "edge_id", "mid_x", "mid_y")
+    return Z.nearest_centre(mids, _centres(spark, d, "many"), cell=150.0).select("edge_id", "zone_idx")
+
+
 def pmedian(spark, d):
-    ez, zs = Z.assign_by_pmedian(U.network(spark, d), 5, fips=U.FIPS)
-    return Z.edges_per_zone(ez).join(zs, ["fips", "level", "zone_idx"]).select("zone_idx", "n_edges", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "anchor_node")
+    ez, zs = Z.assign_by_pmedian(U.network(spark, d), 5)
+    return Z.edges_per_zone(ez).join(zs, ["fips", "level", "zone_idx"]).select("zone_idx", "n_edges", F.round("cx", 5).alias("cx"), F.round("cy", 5).alias("cy"), "anchor_node")
 
 
 def _sc(spark, ps=PS, replicates=REPLICATES, protocols=("random",), units=("edge",)):
@@ -307,13 +321,33 @@ def restart_antijoin(spark, d):
     return nation.join(done, "fips", "left_anti")
 
 
+def _batch(spark, d):
+    done = spark.read.parquet(f"{d}/supplier.parquet").where("s_acctbal > 9500").select(U._code("s_nationkey").alias("fips"))
+    codes = spark.read.parquet(f"{d}/nation.parquet").select(U._code("n_nationkey").alias("fips"))
+    return county.run_batch(U.counties(spark, d), {"quarter": U.county_zones(spark, d)}, codes, done, pmedian=(), scopes=("county",), p_values=[0.2], replicates=2, cell=U.SPACING * 4)
+
+
+def batch_outcomes(spark, d):
+    """Every nation as a county, in one job: what became of each."""
+    return _batch(spark, d)["outcomes"]
+
+
+def batch_zones(spark, d):
+    return _r(_batch(spark, d)["zones"], "frag_nominal", "frag_marooned", "frag_effective").select("fips", "level", "zone_id", "n_edges", "frag_nominal", "frag_marooned", "frag_effective")
+
+
+def batch_global(spark, d):
+    g = _batch(spark, d)["global"]
+    return _r(g, "frag_nominal", "frag_effective", "giant_frac", "second_frac").select("fips", "level", "p", "replicate", "frag_nominal", "frag_effective", "giant_frac", "second_frac", "n_components")
+
+
 _ALL = (
     road_filter, road_filter_main, try_numeric_nodes, self_loop_drop, degree, network_summary, node_coords, geometric_noding, components, components_keyed, components_contracted,
-    giant_component, restrict_giant, edge_midpoint, point_in_zone_first_match, edges_per_zone, zone_anchor, drop_small_zones, nearest_centre, pmedian,
+    giant_component, restrict_giant, edge_midpoint, point_in_zone_first_match, edges_per_zone, zone_anchor, drop_small_zones, nearest_centre, nearest_of_many, pmedian,
     edge_betweenness, delete_betweenness_edge, trial_betweenness, sample_by_thresholds, sample_by_thresholds_fitness, snap_facilities, accessibility, trial_contracted,
     delete_random_edge, delete_fitness_edge, delete_random_road, delete_fitness_road, trial_county, trial_zone, trial_zone_strict, trial_km, trial_global,
     sweep_global, sweep_zone_detail, rank_curves, curve_summary, estimate_pc, county_summary, percolation_means, cluster_sizes, ccdf, powerlaw_mle,
-    critical_exponent, marooned_score_rank, score_powerfit, overlay_rescale, restart_antijoin,
+    critical_exponent, marooned_score_rank, score_powerfit, overlay_rescale, restart_antijoin, batch_outcomes, batch_zones, batch_global,
 )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 CENTRES = [(100.0, 100.0), (900.0, 150.0), (450.0, 700.0), (200.0, 1000.0), (1000.0, 1000.0)]
 
-SOURCES = 24
+SOURCES = 12
 
 _BITS = "('0x' || substr(md5({}), 1, 13))::BIGINT"
 _ROADS = "'S1100','S1200','S1400','S1500','S1630','S1640'"
@@ -24,18 +24,18 @@ def _cc(name: str, pairs: str, keys: tuple[str, ...] = ()) -> str:
 
 _BOTH = "{keys}{s} AS a, {t} AS b FROM {e} UNION ALL SELECT {keys}{t}, {s} FROM {e}"
 _ZONE_GRID = """
-  SELECT '{level}' AS level, CAST(i AS INTEGER) AS idx, format('Z{{:02d}}{{:02d}}', i // {n}, i % {n}) AS zone_id,
+  SELECT '{level}' AS level, CAST(i AS INTEGER) AS idx, format('K{{:04d}}', i) AS zone_id,
          (i % {n}) * s AS zx0, (i // {n}) * s AS zy0, (i % {n} + 1) * s AS zx1, (i // {n} + 1) * s AS zy1
   FROM (SELECT unnest(range({n} * {n})) AS i), (SELECT w * 100.0::DOUBLE / {n} AS s FROM k)"""
 
 _CTES = f"""WITH RECURSIVE
-k AS (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS w FROM customer),
-n AS (SELECT c_custkey AS key, c_custkey // w AS i, c_custkey % w AS j, c_acctbal, c_mktsegment, w FROM customer, k WHERE c_custkey < w * w),
-e0 AS (SELECT key AS f, key + 1 AS t, c_acctbal, c_mktsegment, w FROM n WHERE j + 1 < w UNION ALL SELECT key, key + w, c_acctbal, c_mktsegment, w FROM n WHERE i + 1 < w),
+k AS (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS w, count(*) AS cnt FROM customer),
+n AS (SELECT c_custkey AS key, c_custkey // w AS i, c_custkey % w AS j, c_acctbal, c_mktsegment, w, cnt FROM customer, k),
+e0 AS (SELECT key AS f, key + 1 AS t, c_acctbal, c_mktsegment, w FROM n WHERE j + 1 < w AND key + 1 < cnt UNION ALL SELECT key, key + w, c_acctbal, c_mktsegment, w FROM n WHERE key + w < cnt),
 raw AS (
   SELECT f * 100000 + t AS edge_id, f AS src, t AS dst, CASE WHEN c_acctbal < 0 THEN 'N' ELSE 'Y' END AS flag,
          CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'S1100' WHEN 'BUILDING' THEN 'S1200' WHEN 'FURNITURE' THEN 'S1400' WHEN 'HOUSEHOLD' THEN 'S1630' WHEN 'MACHINERY' THEN 'S1730' END AS mtfcc,
-         'L' || (f // 7) AS road, 100.0::DOUBLE * (f % w) AS x0, 100.0::DOUBLE * (f // w) AS y0, 100.0::DOUBLE * (t % w) AS x1, 100.0::DOUBLE * (t // w) AS y1
+         CASE WHEN t = f + 1 THEN 'row ' || (f // w) ELSE 'column ' || (f % w) END AS road, 100.0::DOUBLE * (f % w) AS x0, 100.0::DOUBLE * (f // w) AS y0, 100.0::DOUBLE * (t % w) AS x1, 100.0::DOUBLE * (t // w) AS y1
   FROM e0 WHERE {_BITS.format("'prune|' || (f * 100000 + t)")} >= CAST(0.15 * 4503599627370496 AS BIGINT)),
 messy AS (
   SELECT edge_id, CASE WHEN edge_id % 13 = 0 THEN 'x' || src ELSE src::VARCHAR END AS f, CASE WHEN edge_id % 11 = 0 THEN src ELSE dst END AS t FROM raw),
@@ -177,6 +177,17 @@ bdel AS (
   FROM net JOIN btw USING (edge_id), m, (SELECT p::DOUBLE AS p, CAST(round(p * 1000) AS INTEGER) AS p_milli FROM (SELECT unnest([0.05, 0.1, 0.2]) AS p))),
 bpair AS (SELECT p_milli AS p, src AS a, dst AS b FROM bdel WHERE NOT deleted UNION ALL SELECT p_milli, dst, src FROM bdel WHERE NOT deleted),
 {_cc("blab", "bpair", ("p",))},
+spot AS (SELECT s_suppkey AS id, s_suppkey * 37 % w * 100.0::DOUBLE + 30 AS x, s_suppkey * 53 % w * 100.0::DOUBLE - 20 AS y FROM supplier, k),
+pm(round, done, cs) AS (
+  SELECT 0, false, (SELECT list({{'i': i - 1, 'x': mx, 'y': my}} ORDER BY i) FROM (SELECT mx, my, row_number() OVER (ORDER BY {_BITS.format("'pmedian|0|' || edge_id")}, edge_id) AS i FROM net) WHERE i <= 5)
+  UNION ALL
+  SELECT round + 1, bool_and(abs(nx - cs[i + 1].x) <= 1e-8 + 1e-5 * abs(cs[i + 1].x) AND abs(ny - cs[i + 1].y) <= 1e-8 + 1e-5 * abs(cs[i + 1].y)), list({{'i': i, 'x': nx, 'y': ny}} ORDER BY i)
+  FROM (SELECT round, cs, near.i AS i, avg(mx) AS nx, avg(my) AS ny FROM (
+    SELECT round, cs, mx, my, list_min(list_transform(cs, lambda c: {{'d': sqrt((mx - c.x) ** 2 + (my - c.y) ** 2), 'i': c.i}})) AS near FROM pm, net WHERE NOT done AND round < 60) GROUP BY round, cs, near.i) GROUP BY round),
+pcs AS (SELECT unnest(cs, recursive := true) FROM (SELECT cs FROM pm WHERE NOT done ORDER BY round DESC LIMIT 1)),
+pml AS (SELECT edge_id, i, x, y FROM (SELECT edge_id, i, x, y, row_number() OVER (PARTITION BY edge_id ORDER BY sqrt((mx - x) ** 2 + (my - y) ** 2), i) AS r FROM net, pcs) WHERE r = 1),
+pma AS (
+  SELECT i, node FROM (SELECT p.i, ends.node, row_number() OVER (PARTITION BY p.i ORDER BY round(sqrt((xy.x - p.x) ** 2 + (xy.y - p.y) ** 2), 6), ends.node) AS r FROM pml p JOIN ends USING (edge_id) JOIN xy ON xy.node = ends.node) WHERE r = 1),
 fac AS (SELECT s_suppkey AS id, s_suppkey * 37 % w * 100.0::DOUBLE + 30 AS x, s_suppkey * 53 % w * 100.0::DOUBLE - 20 AS y FROM supplier, k WHERE s_acctbal > 5000),
 snap AS (
   SELECT id, node, gap FROM (
@@ -221,6 +232,8 @@ _FINAL = {
     "zone_anchor": "SELECT zone_id, cx, cy, anchor_node FROM zone z LEFT JOIN anchor a ON a.level = z.level AND a.idx = z.idx WHERE z.level = 'medium'",
     "drop_small_zones": "SELECT zone_idx, zone_id, n_edges, anchor_node FROM zkept WHERE level = 'medium'",
     "nearest_centre": f"SELECT CAST(c.i AS INTEGER) AS zone_idx, count(*) AS n, round(avg(mx), 6) AS x, round(avg(my), 6) AS y FROM (SELECT mx, my, list_min([{_NEAR}]) AS c FROM net) GROUP BY c.i",
+    "nearest_of_many": "SELECT edge_id, CAST(id AS INTEGER) AS zone_idx FROM (SELECT edge_id, id, row_number() OVER (PARTITION BY edge_id ORDER BY round(sqrt((mx - spot.x) ** 2 + (my - spot.y) ** 2), 9), id) AS r FROM net, spot) WHERE r = 1",
+    "pmedian": "SELECT CAST(pml.i AS INTEGER) AS zone_idx, count(*) AS n_edges, round(any_value(x), 5) AS cx, round(any_value(y), 5) AS cy, any_value(node) AS anchor_node FROM pml JOIN pma ON pma.i = pml.i GROUP BY pml.i",
     "delete_random_edge": "SELECT p_milli, replicate, edge_id FROM del WHERE deleted",
     "delete_fitness_edge": "SELECT p_milli, replicate, edge_id FROM delf WHERE deleted",
     "delete_random_road": "SELECT d.p_milli, d.replicate, d.edge_id FROM drawn d JOIN rrun USING (p_milli, replicate, road) WHERE d.target > 0 AND (run <= d.target OR rrun.i = 1)",
@@ -246,10 +259,68 @@ _FINAL = {
     "overlay_rescale": "SELECT '00000' AS fips, level, round(a * xmax ** b, 6) AS a_norm, round(b, 6) AS b FROM pf",
 }
 
+_BATCH = f"""WITH RECURSIVE
+n AS (
+  SELECT c_nationkey, lpad(c_nationkey::VARCHAR, 5, '0') AS fips, c_custkey AS f, c_acctbal, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS q0,
+         CAST(ceil(sqrt(count(*) OVER (PARTITION BY c_nationkey))) AS BIGINT) AS w FROM customer),
+e0 AS (
+  SELECT n.*, t.f AS t, t.q0 AS q1 FROM n JOIN n t ON t.c_nationkey = n.c_nationkey AND (t.q0 = n.q0 + 1 AND n.q0 % n.w + 1 < n.w OR t.q0 = n.q0 + n.w) WHERE n.w > 1),
+raw AS (
+  SELECT fips, f * 100000 + t AS edge_id, f AS src, t AS dst, 100.0::DOUBLE * (q0 % w + q1 % w) / 2 AS mx, 100.0::DOUBLE * (q0 // w + q1 // w) / 2 AS my, q0, q1, w,
+         CASE WHEN c_acctbal < 0 THEN 'N' ELSE 'Y' END AS flag,
+         CASE WHEN c_nationkey % 9 = 4 THEN 'S1740' WHEN c_mktsegment = 'AUTOMOBILE' THEN 'S1100' WHEN c_mktsegment = 'BUILDING' THEN 'S1200' WHEN c_mktsegment = 'FURNITURE' THEN 'S1400' WHEN c_mktsegment = 'HOUSEHOLD' THEN 'S1630' WHEN c_mktsegment = 'MACHINERY' THEN 'S1730' END AS mtfcc
+  FROM e0 WHERE {_BITS.format("'prune|' || (f * 100000 + t)")} >= CAST(0.15 * 4503599627370496 AS BIGINT)),
+past AS (SELECT DISTINCT lpad(s_nationkey::VARCHAR, 5, '0') AS fips FROM supplier WHERE s_acctbal > 9500),
+codes AS (SELECT lpad(n_nationkey::VARCHAR, 5, '0') AS fips FROM nation),
+mine AS (SELECT raw.* FROM raw JOIN codes USING (fips) ANTI JOIN past USING (fips)),
+drive AS (SELECT * FROM mine WHERE flag = 'Y' AND mtfcc IN ({_ROADS})),
+dpair AS (SELECT {_BOTH.format(keys="fips, ", s="src", t="dst", e="drive")}),
+{_cc("cc", "dpair", ("fips",))},
+giant AS (SELECT fips, label FROM (SELECT fips, label, row_number() OVER (PARTITION BY fips ORDER BY count(*) DESC, label) AS i FROM cc GROUP BY fips, label) WHERE i = 1),
+net AS (SELECT drive.* FROM drive JOIN cc ON cc.fips = drive.fips AND cc.node = src JOIN giant g ON g.fips = cc.fips AND g.label = cc.label),
+m AS (SELECT fips, count(*) AS m FROM net GROUP BY fips),
+zone AS (
+  SELECT fips, i AS idx, format('K{{:04d}}', i) AS zone_id, (i % 2) * s AS x0, (i // 2) * s AS y0, (i % 2 + 1) * s AS x1, (i // 2 + 1) * s AS y1
+  FROM (SELECT fips, c_nationkey, ceil(sqrt(count(*))) * 100.0::DOUBLE / 2 AS s FROM n GROUP BY ALL), (SELECT unnest(range(4)) AS i) WHERE c_nationkey % 7 <> 5),
+hit AS (SELECT net.fips, edge_id, min(idx) AS idx FROM net JOIN zone z ON z.fips = net.fips AND mx BETWEEN x0 AND x1 AND my BETWEEN y0 AND y1 GROUP BY ALL),
+ends AS (SELECT fips, edge_id, src AS node, 100.0::DOUBLE * (q0 % w) AS x, 100.0::DOUBLE * (q0 // w) AS y FROM net UNION ALL SELECT fips, edge_id, dst, 100.0::DOUBLE * (q1 % w), 100.0::DOUBLE * (q1 // w) FROM net),
+anchor AS (
+  SELECT fips, idx, node FROM (
+    SELECT h.fips, h.idx, node, row_number() OVER (PARTITION BY h.fips, h.idx ORDER BY round(sqrt((x - (x0 + x1) / 2) ** 2 + (y - (y0 + y1) / 2) ** 2), 6), node) AS r
+    FROM hit h JOIN ends ON ends.fips = h.fips AND ends.edge_id = h.edge_id JOIN zone z ON z.fips = h.fips AND z.idx = h.idx) WHERE r = 1),
+kept AS (SELECT h.fips, h.idx, zone_id, node AS anchor_node, count(*) AS n_edges FROM hit h JOIN zone z USING (fips, idx) JOIN anchor USING (fips, idx) GROUP BY ALL HAVING count(*) >= 5),
+del AS (
+  SELECT net.*, r, row_number() OVER (PARTITION BY net.fips, r ORDER BY {_BITS.format("'0|200|' || r || '|' || edge_id")}, edge_id) <= round_even(0.2::DOUBLE * m, 0) AS deleted
+  FROM net JOIN m USING (fips), (SELECT CAST(unnest(range(2)) AS INTEGER) AS r)),
+spair AS (SELECT fips, r, src AS a, dst AS b FROM del WHERE NOT deleted UNION ALL SELECT fips, r, dst, src FROM del WHERE NOT deleted),
+{_cc("lab", "spair", ("fips", "r"))},
+pz AS (
+  SELECT d.fips, d.r, k.idx, k.zone_id, count(*) AS n_total, count(*) FILTER (deleted) AS n_deleted, count(*) FILTER (NOT deleted AND NOT coalesce(a.label = h.label, false)) AS n_marooned
+  FROM del d JOIN hit ON hit.fips = d.fips AND hit.edge_id = d.edge_id JOIN kept k ON k.fips = hit.fips AND k.idx = hit.idx
+  LEFT JOIN lab a ON a.fips = d.fips AND a.r = d.r AND a.node = d.src LEFT JOIN lab h ON h.fips = d.fips AND h.r = d.r AND h.node = k.anchor_node GROUP BY ALL),
+zt AS (
+  SELECT fips, zone_id, max(n_total) AS n_edges, avg(n_deleted / n_total) AS frag_nominal, avg(n_marooned / n_total) AS frag_marooned, avg((n_deleted + n_marooned) / n_total) AS frag_effective FROM pz GROUP BY ALL),
+sizes AS (SELECT fips, r, label, count(*) AS size, row_number() OVER (PARTITION BY fips, r ORDER BY count(*) DESC, label) AS i FROM lab GROUP BY fips, r, label),
+dg AS (SELECT fips, r, max(size) / sum(size) AS giant_frac, coalesce(max(size) FILTER (i = 2) / sum(size), 0) AS second_frac, count(*) AS n_components FROM sizes GROUP BY ALL)
+"""
+
+_BATCH_FINAL = {
+    "batch_outcomes": """
+SELECT c.fips, 'quarter' AS level, CASE WHEN p.fips IS NOT NULL THEN 'skipped' WHEN coalesce(n_zones, 0) = 0 THEN 'failed' ELSE 'done' END AS outcome,
+       CASE WHEN p.fips IS NOT NULL THEN 'done before' WHEN n_raw IS NULL THEN 'no edge layer' WHEN n_edges IS NULL THEN 'no road of the set' WHEN n_zones IS NULL THEN 'no zone with enough edges'
+            WHEN coalesce(k, 0) < 2 THEN 'too few points for a fit' END AS reason, coalesce(n_edges, 0) AS n_edges, coalesce(n_zones, 0) AS n_zones
+FROM codes c LEFT JOIN past p USING (fips) LEFT JOIN (SELECT fips, count(*) AS n_raw FROM mine GROUP BY fips) USING (fips) LEFT JOIN (SELECT fips, m AS n_edges FROM m) USING (fips)
+LEFT JOIN (SELECT fips, count(*) AS n_zones FROM kept GROUP BY fips) USING (fips) LEFT JOIN (SELECT fips, count(*) FILTER (frag_marooned > 0) AS k FROM zt GROUP BY fips) USING (fips)""",
+    "batch_zones": "SELECT fips, 'quarter' AS level, zone_id, n_edges, round(frag_nominal, 9) AS frag_nominal, round(frag_marooned, 9) AS frag_marooned, round(frag_effective, 9) AS frag_effective FROM zt",
+    "batch_global": """
+SELECT g.fips, 'quarter' AS level, 0.2::DOUBLE AS p, g.r AS replicate, round(sum(n_deleted) / sum(n_total), 9) AS frag_nominal, round((sum(n_deleted) + sum(n_marooned)) / sum(n_total), 9) AS frag_effective,
+       round(any_value(giant_frac), 9) AS giant_frac, round(any_value(second_frac), 9) AS second_frac, any_value(n_components) AS n_components FROM pz g JOIN dg ON dg.fips = g.fips AND dg.r = g.r GROUP BY g.fips, g.r""",
+}
+
 _OTHER = {
     "restart_antijoin": "SELECT lpad(n_nationkey::VARCHAR, 5, '0') AS fips FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)",
 }
 
 
 def all_queries() -> dict[str, str]:
-    return {**{k: _CTES + v for k, v in _FINAL.items()}, **_OTHER}
+    return {**{k: _CTES + v for k, v in _FINAL.items()}, **{k: _BATCH + v for k, v in _BATCH_FINAL.items()}, **_OTHER}

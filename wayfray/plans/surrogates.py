@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geometry import md5_bits
@@ -21,24 +22,59 @@ def _point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
-def lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw edge layer: edge_id, fips, TNIDF, TNIDT, ROADFLG, MTFCC, LINEARID, geometry; w is the lattice's side."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal", "c_mktsegment")
-    side = c.agg(F.floor(F.sqrt(F.count("*"))).cast("bigint").alias("w"))
-    n = c.crossJoin(F.broadcast(side)).where("c_custkey < w * w").withColumns({"i": F.expr("c_custkey div w"), "j": F.expr("c_custkey % w")})  # side is one row
-    to = F.explode(F.array(F.when(F.col("j") + 1 < F.col("w"), F.col("c_custkey") + 1), F.when(F.col("i") + 1 < F.col("w"), F.col("c_custkey") + F.col("w"))))
-    e = n.withColumn("t", to).where("t is not null").withColumn("edge_id", F.col("c_custkey") * 100000 + F.col("t"))
+def _edges(n: DataFrame) -> DataFrame:
+    """The raw layer of links (fips, f, t, from, to: places in the lattice; along: whether a row's; w, c_acctbal, c_mktsegment)."""
+    e = n.withColumn("edge_id", F.col("f") * 100000 + F.col("t"))
     e = e.where(md5_bits(F.concat(F.lit("prune|"), F.col("edge_id").cast("string"))) >= PRUNED)
     classes = F.create_map(*[F.lit(v) for kv in CLASSES.items() for v in kv])
     at = lambda k: _point(F.expr(f"{k} % w") * SPACING, F.expr(f"{k} div w") * SPACING)
+    street = F.when(F.col("along"), F.concat(F.lit("row "), F.expr("cast(from div w as string)"))).otherwise(F.concat(F.lit("column "), F.expr("cast(from % w as string)")))
     return e.select(
-        "edge_id", F.lit(FIPS).alias("fips"), F.col("c_custkey").alias("TNIDF"), F.col("t").alias("TNIDT"),
-        F.when(F.col("c_acctbal") < 0, "N").otherwise("Y").alias("ROADFLG"), classes[F.col("c_mktsegment")].alias("MTFCC"),
-        F.concat(F.lit("L"), F.expr("cast(c_custkey div 7 as string)")).alias("LINEARID"),
-        F.array(at("c_custkey"), at("t")).alias("geometry"), "w",
+        "edge_id", "fips", F.col("f").alias("TNIDF"), F.col("t").alias("TNIDT"), F.when(F.col("c_acctbal") < 0, "N").otherwise("Y").alias("ROADFLG"),
+        classes[F.col("c_mktsegment")].alias("MTFCC"), street.alias("LINEARID"), F.array(at("from"), at("to")).alias("geometry"), "w",
     )
 
 
+def lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw edge layer of all customers, the last row being ragged: edge_id, fips, TNIDF, TNIDT, ROADFLG, MTFCC, LINEARID, geometry; w is the lattice's side."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("f"), "c_acctbal", "c_mktsegment")
+    side = c.agg(F.floor(F.sqrt(F.count("*"))).cast("bigint").alias("w"), F.count("*").alias("n"))
+    n = c.crossJoin(F.broadcast(side)).withColumn("from", F.col("f"))  # side is one row
+    to = F.explode(F.array(F.when((F.expr("f % w") + 1 < F.col("w")) & (F.col("f") + 1 < F.col("n")), F.col("f") + 1), F.when(F.col("f") + F.col("w") < F.col("n"), F.col("f") + F.col("w"))))
+    e = n.withColumn("t", to).where("t is not null").withColumns({"to": F.col("t"), "along": F.col("t") == F.col("f") + 1, "fips": F.lit(FIPS)})
+    return _edges(e)
+
+
+def counties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lattice for each nation, of its customers in the order of their keys; in every ninth nation all roads are private."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_nationkey", F.col("c_custkey").alias("f"), "c_acctbal", "c_mktsegment")
+    own = W.partitionBy("c_nationkey")
+    n = c.withColumns({"from": (F.row_number().over(own.orderBy("f")) - 1).cast("bigint"), "w": F.ceil(F.sqrt(F.count("*").over(own))).cast("bigint")})
+    to = F.explode(F.array(F.when(F.expr("from % w") + 1 < F.col("w"), F.col("from") + 1), F.col("from") + F.col("w")))
+    far = n.select("c_nationkey", F.col("from").alias("to"), F.col("f").alias("t"))
+    e = n.withColumn("to", to).where("to is not null").join(far, ["c_nationkey", "to"]).withColumns({"along": F.col("to") == F.col("from") + 1, "fips": _code("c_nationkey")})
+    raw = _edges(e.where("w > 1"))
+    return raw.withColumn("MTFCC", F.when(F.col("fips").cast("int") % 9 == 4, "S1740").otherwise(F.col("MTFCC")))
+
+
+def _code(key: str) -> Column:
+    return F.lpad(F.col(key).cast("string"), 5, "0")
+
+
+def county_zones(spark: SparkSession, sf_dir: str, n: int = 2) -> DataFrame:
+    """fips, GEOID, geometry: n by n squares over each nation's lattice, but for every seventh nation, whose layer is missing."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy("c_nationkey").agg((F.ceil(F.sqrt(F.count("*"))) * SPACING / n).alias("s"))
+    cells = c.where("c_nationkey % 7 <> 5").withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))))
+    return cells.select(_code("c_nationkey").alias("fips"), F.format_string("K%04d", F.col("id")).alias("GEOID"), _squares(n).alias("geometry"))
+
+
+def _squares(n: int) -> Column:
+    """The ring of the cell ``id`` of side s, row by row."""
+    r, c = F.expr(f"id div {n}"), F.expr(f"id % {n}")
+    x0, y0, x1, y1 = c * F.col("s"), r * F.col("s"), (c + 1) * F.col("s"), (r + 1) * F.col("s")
+    return F.array(F.array(_point(x0, y0), _point(x1, y0), _point(x1, y1), _point(x0, y1), _point(x0, y0)))
+
+
 def messy(raw: DataFrame) -> DataFrame:
     """The layer with some node ids that are no numbers and some self-loops."""
     return raw.withColumns({
@@ -51,22 +87,24 @@ def network(spark: SparkSession, sf_dir: str, roads: str = "drive", giant_only:
     return frozen(build_network(lattice(spark, sf_dir), roads, giant_only=giant_only, check_empty=False))
 
 
-def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fips, id, x, y: suppliers of some standing, as points beside the lattice's nodes."""
+def supplier_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fips, id, x, y, s_acctbal: suppliers as points beside the lattice's nodes."""
     side = spark.read.parquet(f"{sf_dir}/customer.parquet").agg(F.floor(F.sqrt(F.count("*"))).cast("bigint").alias("w"))
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_acctbal > 5000").crossJoin(F.broadcast(side))  # side is one row
-    return s.select(F.lit(FIPS).alias("fips"), F.col("s_suppkey").alias("id"), (F.expr("s_suppkey * 37 % w") * SPACING + 30).alias("x"), (F.expr("s_suppkey * 53 % w") * SPACING - 20).alias("y"))
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").crossJoin(F.broadcast(side))  # side is one row
+    return s.select(F.lit(FIPS).alias("fips"), F.col("s_suppkey").alias("id"), (F.expr("s_suppkey * 37 % w") * SPACING + 30).alias("x"), (F.expr("s_suppkey * 53 % w") * SPACING - 20).alias("y"), "s_acctbal")
+
+
+def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of some standing."""
+    return supplier_points(spark, sf_dir).where("s_acctbal > 5000")
 
 
 def zone_grid(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
     """Square zones over the lattice's extent, numbered row by row."""
     n = LEVELS[level]
     side = spark.read.parquet(f"{sf_dir}/customer.parquet").agg((F.floor(F.sqrt(F.count("*"))) * SPACING / n).alias("s"))
-    cells = spark.range(n * n).crossJoin(F.broadcast(side)).withColumns({"r": F.expr(f"id div {n}"), "c": F.expr(f"id % {n}")})  # side is one row
-    x0, y0, x1, y1 = F.col("c") * F.col("s"), F.col("r") * F.col("s"), (F.col("c") + 1) * F.col("s"), (F.col("r") + 1) * F.col("s")
-    ring = F.array(_point(x0, y0), _point(x1, y0), _point(x1, y1), _point(x0, y1), _point(x0, y0))
-    gid = F.format_string("Z%02d%02d", F.col("r"), F.col("c"))
-    return number_zones(cells.select(gid.alias("GEOID"), F.array(ring).alias("geometry")), level, FIPS)
+    cells = spark.range(n * n).crossJoin(F.broadcast(side))  # side is one row
+    return number_zones(cells.select(F.format_string("K%04d", F.col("id")).alias("GEOID"), _squares(n).alias("geometry")), level, FIPS)
 
 
 def assigned(spark: SparkSession, sf_dir: str, net: DataFrame, levels=("coarse", "medium"), drop_empty: bool = True) -> tuple[DataFrame, DataFrame]:

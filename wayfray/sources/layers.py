@@ -10,7 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -80,8 +80,15 @@ def load_layer(spark: SparkSession, layer: str, fips: str | None = None, year: i
     df = r.load(str(fetch(build_url(layer, fips, year), cache)))
     if layer not in ("edges", "roads"):
         return df.withColumnRenamed("parts", "geometry")
-    lines = df.withColumn("geometry", F.explode("parts")).drop("parts")
-    return lines.withColumns({"edge_id": F.monotonically_increasing_id(), "fips": F.lit(str(fips).zfill(5))})
+    lines = df.select("*", F.posexplode("parts").alias("_part", "geometry")).drop("parts")
+    return lines.withColumns({"edge_id": edge_id(df.columns), "fips": F.lit(str(fips).zfill(5))}).drop("_part")
+
+
+def edge_id(columns: list[str]) -> Column:
+    """The number of a line of a layer, however its files are split: of the layer's own id, or else of all it holds, and of the part (_part)."""
+    if "TLID" in columns:
+        return F.expr("cast(TLID as bigint) * 1000 + _part")
+    return F.xxhash64(*sorted(c for c in columns if c != "parts"), F.col("geometry"), F.col("_part"))
 
 
 def load_county_boundary(spark: SparkSession, fips: str, **kw) -> DataFrame:
@@ -116,6 +123,11 @@ def read_results(spark: SparkSession, folder: str, name: str, schema: str | None
     return df.withColumn("fips", F.lpad(F.col("fips").cast("string"), 5, "0"))
 
 
+def has_results(spark: SparkSession, folder: str, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def discover_fips(spark: SparkSession, folder: str, name: str = "zones") -> list[str]:
     """Counties with results, sorted; one entry per county."""
     return [r[0] for r in read_results(spark, folder, name).select("fips").distinct().orderBy("fips").collect()]
