@@ -25,14 +25,14 @@ def _largest(deleted: DataFrame) -> int:
 def zone_labels(deleted: DataFrame, edge_zone: DataFrame, strict: bool = False, per_task: int = PER_TASK) -> DataFrame:
     """Scope zone: paths stay in their zone. Edges in no zone count to zone 0, or with ``strict`` to none."""
     z = edge_zone.where("zone_idx is not null") if strict else edge_zone.withColumn("zone_idx", F.coalesce("zone_idx", F.lit(0)))
-    return components(deleted.where(~F.col("deleted")).join(z, ["fips", "edge_id"]), [*KEYS, "level", "zone_idx"], _largest(deleted), per_task)
+    return components(deleted.where(~F.col("deleted")).join(z.drop("share"), ["fips", "edge_id"]), [*KEYS, "level", "zone_idx"], _largest(deleted), per_task)
 
 
 def per_zone(deleted: DataFrame, edge_zone: DataFrame, zones: DataFrame, scope: str = "county", strict: bool = False, labels: DataFrame | None = None) -> DataFrame:
     """level, scope, zone_idx, n_total, n_deleted, n_marooned, km_total, km_lost under each scenario.
 
     An edge is marooned if it survives but no surviving path leads to its zone's anchor.
-    Every zone has a row, those without edges zeros."""
+    Every zone has a row, those without edges zeros. If edge_zone has ``share``, edges count by it."""
     if scope not in ("county", "zone"):
         raise ValueError("scope is county or zone")
     if labels is None:
@@ -46,9 +46,12 @@ def per_zone(deleted: DataFrame, edge_zone: DataFrame, zones: DataFrame, scope:
     e = counted.join(own, [*on, "src"], "left").join(base, [*KEYS, "level", "zone_idx"], "left")
     lost = ~F.col("deleted") & ~F.coalesce(F.col("label") == F.col("home"), F.lit(False))
     e = e.withColumn("marooned", lost)
+    share = F.col("share") if "share" in edge_zone.columns else F.lit(1)  # edges may count to several zones by parts
+    km = F.col("length_m") * share / 1000
+    part = lambda c: F.sum(F.when(c, share).otherwise(F.lit(0)))
     counts = e.groupBy(*KEYS, "level", "zone_idx").agg(
-        F.count("*").alias("n_total"), F.count_if("deleted").alias("n_deleted"), F.count_if("marooned").alias("n_marooned"),
-        (F.sum("length_m") / 1000).alias("km_total"), (F.sum(F.when(F.col("deleted") | F.col("marooned"), F.col("length_m")).otherwise(0.0)) / 1000).alias("km_lost"),
+        F.sum(share).alias("n_total"), part(F.col("deleted")).alias("n_deleted"), part(F.col("marooned")).alias("n_marooned"),
+        F.sum(km).alias("km_total"), F.sum(F.when(F.col("deleted") | F.col("marooned"), km).otherwise(0.0)).alias("km_lost"),
     )
     full = base.drop("home").join(counts, [*KEYS, "level", "zone_idx"], "left").na.fill(0)
     return full.withColumn("scope", F.lit(scope))

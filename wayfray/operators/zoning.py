@@ -1,7 +1,7 @@
 """Zones: which zone an edge's midpoint lies in, small zones, anchors, p-median areas.
 
 zones: fips, level, zone_idx, zone_id, geometry, cx, cy, anchor_node.
-edge_zone: fips, level, edge_id, zone_idx (null: in no zone).
+edge_zone: fips, level, edge_id, zone_idx (null: in no zone), and share where an edge counts by parts.
 """
 
 from __future__ import annotations
@@ -123,6 +123,23 @@ def assign_by_pmedian(net: DataFrame, k: int = 5, seed: int = 0, rounds: int = 6
     return ez, zones.join(anchors(net, ez, zones), ["fips", "level", "zone_idx"], "left")
 
 
+def assign_by_sides(net: DataFrame, sides: DataFrame, level: str = "sides", min_edges: float = 0) -> tuple[DataFrame, DataFrame]:
+    """edge_zone with ``share``, and zones with anchors, from the zones on the two sides of each edge: sides (fips, edge_id, left, right).
+
+    An edge between two zones counts by halves to both, one inside a zone or at the rim of the map whole to its zone, one
+    without any to none. Zones are numbered in the order of their ids; a zone's centre is the mean of its midpoints by share."""
+    named = net.select("fips", "edge_id", "mid_x", "mid_y").join(sides.select("fips", "edge_id", "left", "right"), ["fips", "edge_id"], "left")
+    both = F.array_compact(F.array_distinct(F.array(F.col("left").cast("string"), F.col("right").cast("string"))))
+    parts = named.withColumn("_z", both).select("fips", "edge_id", "mid_x", "mid_y", F.explode_outer("_z").alias("zone_id"), (1 / F.greatest(F.size("_z"), F.lit(1))).alias("share"))
+    parts = frozen(parts)
+    s = F.col("share")
+    zones = parts.where("zone_id is not null").groupBy("fips", "zone_id").agg((F.sum(F.col("mid_x") * s) / F.sum(s)).alias("cx"), (F.sum(F.col("mid_y") * s) / F.sum(s)).alias("cy"), F.sum(s).alias("_n")).where(F.col("_n") >= min_edges).drop("_n")
+    place = (F.row_number().over(W.partitionBy("fips").orderBy("zone_id")) - 1).cast("int")
+    zones = frozen(zones.withColumns({"zone_idx": place, "level": F.lit(level)}).select("fips", "level", "zone_idx", "zone_id", "cx", "cy"))
+    ez = parts.join(zones.select("fips", "zone_id", "zone_idx"), ["fips", "zone_id"], "left").select("fips", F.lit(level).alias("level"), "edge_id", "zone_idx", "share")
+    return ez, zones.join(anchors(net, ez, zones), ["fips", "level", "zone_idx"], "left")
+
+
 def all_levels(parts: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
     """The union of several assignments."""
     ez, zs = parts[0]

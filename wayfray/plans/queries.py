@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,11 @@ from ..operators import network as N
 from ..operators import powerlaw as P
 from ..operators import sweep as S
 from ..operators import trial as T
+from ..operators import touching as X
 from ..operators import zoning as Z
-from ..operators.components import contracted_components, frozen, keyed_components, star_components
+from ..operators.components import contracted_components, frozen, keyed_components, shared_folder, star_components
+from ..functions import geometry as G
+from ..sources import landing
 from . import county, sql
 from . import surrogates as U
 
@@ -321,6 +326,63 @@ def restart_antijoin(spark, d):
     return nation.join(done, "fips", "left_anti")
 
 
+def landed_box(spark, d):
+    """The raw layer landed along a curve, and read again within a box."""
+    raw = U.lattice(spark, d)
+    folder = f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}"
+    landing.land(raw, folder, G.bounds(F.array("geometry")))
+    return landing.read_box(spark, folder, (450.0, 320.0, 1290.0, 900.0)).select("edge_id", "box_x0", "box_y0")
+
+
+def touching_zones(spark, d):
+    """Which zones of the medium grid the suppliers' catchments touch."""
+    zones = U.zone_grid(spark, d, "medium").select(F.col("zone_id").alias("right_id"), "geometry")
+    return X.touching(U.diamonds(spark, d).withColumnRenamed("id", "left_id"), zones, 400.0)
+
+
+def zones_by_sides(spark, d):
+    """Areas known from the two sides of each edge; border edges count by halves."""
+    net = U.network(spark, d)
+    ez, zones = Z.assign_by_sides(net, U.sides(net))
+    n = ez.groupBy("fips", "level", "zone_idx").agg(F.sum("share").alias("n_edges"))
+    return _r(zones.join(n, ["fips", "level", "zone_idx"]), "cx", "cy", digits=5).select("zone_id", "n_edges", "cx", "cy", "anchor_node")
+
+
+def trial_by_sides(spark, d):
+    net = U.network(spark, d)
+    ez, zones = Z.assign_by_sides(net, U.sides(net))
+    c = T.per_zone(frozen(D.deletions(net, _sc(spark))), ez, frozen(zones))
+    return c.join(zones, ["fips", "level", "zone_idx"]).select("p_milli", "replicate", "zone_id", "n_total", "n_deleted", "n_marooned")
+
+
+def conflated_ratings(spark, d):
+    """The edge each rated point lies on."""
+    return X.conflate(U.supplier_points(spark, d), U.network(spark, d), 40.0).select("id", "edge_id", "gap")
+
+
+def delete_measured_edge(spark, d):
+    """Deletion by fitness measured at points on the edges, and by class elsewhere."""
+    ratings = U.supplier_points(spark, d).withColumn("rating", F.col("s_acctbal") / 10_000)
+    net = frozen(X.measured_fitness(U.network(spark, d), ratings, 40.0))
+    return D.deletions(net, _sc(spark, protocols=("fitness",))).where("deleted").select("p_milli", "replicate", "edge_id")
+
+
+def line_measures(spark, d):
+    """Lengths and halfway points of bent lines, one through each customer's orders."""
+    p = spark.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 1000).cast("double").alias("x"), (F.floor("o_totalprice") % 1000).cast("double").alias("y"))
+    line = F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", "x", "y"))), lambda v: F.struct(v.x.alias("x"), v.y.alias("y")))
+    lines = p.groupBy("o_custkey").agg(line.alias("g")).where(F.size("g") > 1)
+    mid = G.halfway(F.col("g"))
+    return lines.select("o_custkey", F.size("g").alias("n"), F.round(G.line_length(F.col("g")), 5).alias("length"), F.round(mid.x, 4).alias("mid_x"), F.round(mid.y, 4).alias("mid_y"))
+
+
+def projected_points(spark, d):
+    """Customers' places on a map of the country, in the equal-area plane."""
+    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", (-125 + F.col("c_custkey") % 590 / 10).alias("lon"), (24 + F.col("c_custkey") % 251 / 10).alias("lat"))
+    a = G.albers(F.col("lon"), F.col("lat"))
+    return c.select("c_custkey", F.round(a.x, 3).alias("x"), F.round(a.y, 3).alias("y"))
+
+
 def _batch(spark, d):
     done = spark.read.parquet(f"{d}/supplier.parquet").where("s_acctbal > 9500").select(U._code("s_nationkey").alias("fips"))
     codes = spark.read.parquet(f"{d}/nation.parquet").select(U._code("n_nationkey").alias("fips"))
@@ -347,7 +409,7 @@ _ALL = (
     edge_betweenness, delete_betweenness_edge, trial_betweenness, sample_by_thresholds, sample_by_thresholds_fitness, snap_facilities, accessibility, trial_contracted,
     delete_random_edge, delete_fitness_edge, delete_random_road, delete_fitness_road, trial_county, trial_zone, trial_zone_strict, trial_km, trial_global,
     sweep_global, sweep_zone_detail, rank_curves, curve_summary, estimate_pc, county_summary, percolation_means, cluster_sizes, ccdf, powerlaw_mle,
-    critical_exponent, marooned_score_rank, score_powerfit, overlay_rescale, restart_antijoin, batch_outcomes, batch_zones, batch_global,
+    critical_exponent, marooned_score_rank, score_powerfit, overlay_rescale, restart_antijoin, landed_box, touching_zones, zones_by_sides, trial_by_sides, conflated_ratings, delete_measured_edge, line_measures, projected_points, batch_outcomes, batch_zones, batch_global,
 )
 
 

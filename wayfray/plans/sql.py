@@ -192,6 +192,24 @@ fac AS (SELECT s_suppkey AS id, s_suppkey * 37 % w * 100.0::DOUBLE + 30 AS x, s_
 snap AS (
   SELECT id, node, gap FROM (
     SELECT id, node, gap, row_number() OVER (PARTITION BY id ORDER BY gap, node) AS i FROM (SELECT id, node, round(sqrt((fac.x - xy.x) ** 2 + (fac.y - xy.y) ** 2), 6) AS gap FROM fac, xy)) WHERE i = 1),
+area AS (
+  SELECT edge_id, s, CASE WHEN x >= 0 AND y >= 0 THEN 'area ' || CAST(floor(y / 400) AS BIGINT) || '/' || CAST(floor(x / 400) AS BIGINT) END AS zone_id
+  FROM (SELECT edge_id, s, CASE WHEN y0 = y1 THEN mx ELSE mx + s END AS x, CASE WHEN y0 = y1 THEN my + s ELSE my END AS y FROM net, (SELECT unnest([-1, 1]) AS s))),
+shared AS (SELECT edge_id, zone_id, 1.0::DOUBLE / count(*) OVER (PARTITION BY edge_id) AS share FROM (SELECT DISTINCT edge_id, zone_id FROM area WHERE zone_id IS NOT NULL)),
+azone AS (SELECT zone_id, sum(mx * share) / sum(share) AS cx, sum(my * share) / sum(share) AS cy, sum(share) AS n_edges FROM shared JOIN net USING (edge_id) GROUP BY zone_id),
+aanchor AS (
+  SELECT zone_id, node AS anchor_node FROM (
+    SELECT s.zone_id, ends.node, row_number() OVER (PARTITION BY s.zone_id ORDER BY round(sqrt((xy.x - cx) ** 2 + (xy.y - cy) ** 2), 6), ends.node) AS r
+    FROM shared s JOIN ends USING (edge_id) JOIN xy ON xy.node = ends.node JOIN azone z ON z.zone_id = s.zone_id) WHERE r = 1),
+rated AS (
+  SELECT id, edge_id, gap FROM (
+    SELECT id, edge_id, gap, row_number() OVER (PARTITION BY id ORDER BY gap, edge_id) AS r FROM (
+      SELECT id, edge_id, round(sqrt((x - x0 - t * (x1 - x0)) ** 2 + (y - y0 - t * (y1 - y0)) ** 2), 6) AS gap
+      FROM (SELECT spot.*, net.*, greatest(0, least(1, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / ((x1 - x0) ** 2 + (y1 - y0) ** 2))) AS t FROM spot, net)) WHERE gap <= 40) WHERE r = 1),
+mfit AS (SELECT edge_id, avg(greatest(0, least(1, s_acctbal / 10000))) AS f FROM rated JOIN supplier ON s_suppkey = id GROUP BY edge_id),
+delm AS (
+  SELECT p_milli, replicate, edge_id, row_number() OVER (PARTITION BY p_milli, replicate ORDER BY -ln((bits + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / greatest(coalesce(1 - f, wt), 1e-12::DOUBLE), edge_id) <= target AS deleted
+  FROM drawn LEFT JOIN mfit USING (edge_id)),
 away(p, r, node, dist) USING KEY (p, r, node) AS (
   SELECT p_milli, replicate, node, 0.0::DOUBLE FROM (SELECT DISTINCT node FROM snap), sc
   UNION
@@ -223,6 +241,14 @@ _FINAL = {
     "snap_facilities": "SELECT id, node, gap FROM snap",
     "accessibility": "SELECT p_milli, replicate, count(*) AS n_nodes, count(*) FILTER (dist IS NULL) AS n_unreachable, round(count(*) FILTER (dist IS NULL) / count(*), 6) AS unreachable_frac, round(avg(dist), 6) AS mean_m, round(max(dist), 6) AS max_m "
     "FROM (SELECT p_milli, replicate, deg.node, dist FROM deg CROSS JOIN sc LEFT JOIN away ON away.node = deg.node AND away.p = p_milli AND away.r = replicate) GROUP BY ALL",
+    "landed_box": "SELECT edge_id, least(x0, x1) AS box_x0, least(y0, y1) AS box_y0 FROM raw WHERE least(x0, x1) <= 1290 AND greatest(x0, x1) >= 450 AND least(y0, y1) <= 900 AND greatest(y0, y1) >= 320",
+    "touching_zones": "SELECT id AS left_id, zone_id AS right_id FROM spot JOIN zone ON level = 'medium' AND greatest(zx0 - x, 0, x - zx1) + greatest(zy0 - y, 0, y - zy1) <= 170",
+    "zones_by_sides": "SELECT zone_id, n_edges, round(cx, 5) AS cx, round(cy, 5) AS cy, anchor_node FROM azone JOIN aanchor USING (zone_id)",
+    "trial_by_sides": "SELECT d.p_milli, d.replicate, z.zone_id, sum(share) AS n_total, sum(CASE WHEN deleted THEN share ELSE 0 END) AS n_deleted, sum(CASE WHEN NOT deleted AND NOT coalesce(a.label = h.label, false) THEN share ELSE 0 END) AS n_marooned "
+    "FROM del d JOIN shared USING (edge_id) JOIN aanchor z ON z.zone_id = shared.zone_id LEFT JOIN lab a ON a.p = d.p_milli AND a.r = d.replicate AND a.node = d.src "
+    "LEFT JOIN lab h ON h.p = d.p_milli AND h.r = d.replicate AND h.node = z.anchor_node GROUP BY ALL",
+    "conflated_ratings": "SELECT id, edge_id, gap FROM rated",
+    "delete_measured_edge": "SELECT p_milli, replicate, edge_id FROM delm WHERE deleted",
     "trial_contracted": f"SELECT {_Z6} FROM pzc",
     "giant_component": "SELECT '00000' AS fips, label, size FROM giant",
     "restrict_giant": "SELECT edge_id, src, dst, length_m FROM net",
@@ -317,7 +343,27 @@ SELECT g.fips, 'quarter' AS level, 0.2::DOUBLE AS p, g.r AS replicate, round(sum
        round(any_value(giant_frac), 9) AS giant_frac, round(any_value(second_frac), 9) AS second_frac, any_value(n_components) AS n_components FROM pz g JOIN dg ON dg.fips = g.fips AND dg.r = g.r GROUP BY g.fips, g.r""",
 }
 
+_ALBERS = """
+WITH RECURSIVE c AS (SELECT c_custkey, (-125 + (c_custkey % 590) / 10) AS lon, (24 + (c_custkey % 251) / 10) AS lat FROM customer),
+k AS (SELECT sqrt(f * (2 - f)) AS e FROM (SELECT 1 / 298.257222101::DOUBLE AS f)),
+t AS (SELECT 1 AS i, 29.5 AS d UNION ALL SELECT 2, 45.5 UNION ALL SELECT 0, 23.0),
+g AS (SELECT i, cos(radians(d)) / sqrt(1 - (e * sin(radians(d))) ** 2) AS m, (1 - e * e) * (sin(radians(d)) / (1 - (e * sin(radians(d))) ** 2) - ln((1 - e * sin(radians(d))) / (1 + e * sin(radians(d)))) / (2 * e)) AS q FROM t, k),
+v AS (SELECT (a.m ** 2 - b.m ** 2) / (b.q - a.q) AS n, a.m, a.q, o.q AS q0 FROM g a, g b, g o WHERE a.i = 1 AND b.i = 2 AND o.i = 0),
+w AS (SELECT n, m * m + n * q AS c0, 6378137.0 * sqrt(m * m + n * q - n * q0) / n AS rho0 FROM v),
+x AS (SELECT c_custkey, lon, n, rho0, 6378137.0 * sqrt(c0 - n * (1 - e * e) * (sin(radians(lat)) / (1 - (e * sin(radians(lat))) ** 2) - ln((1 - e * sin(radians(lat))) / (1 + e * sin(radians(lat)))) / (2 * e))) / n AS rho FROM c, k, w)
+SELECT c_custkey, round(rho * sin(n * radians(lon + 96)), 3) AS x, round(rho0 - rho * cos(n * radians(lon + 96)), 3) AS y FROM x"""
+
+_LINES = """
+WITH p AS (SELECT o_custkey, o_orderkey, (o_orderkey % 1000)::DOUBLE AS x, (CAST(floor(o_totalprice) AS BIGINT) % 1000)::DOUBLE AS y FROM orders),
+s AS (SELECT *, lead(x) OVER o AS bx, lead(y) OVER o AS by_ FROM p WINDOW o AS (PARTITION BY o_custkey ORDER BY o_orderkey, x, y)),
+l AS (SELECT *, sqrt((bx - x) ** 2 + (by_ - y) ** 2) AS d FROM s),
+r AS (SELECT *, coalesce(sum(d) OVER (PARTITION BY o_custkey ORDER BY o_orderkey, x, y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run, sum(d) OVER (PARTITION BY o_custkey) / 2 AS half, count(*) OVER (PARTITION BY o_custkey) AS n FROM l),
+m AS (SELECT o_custkey, arg_max(x + CASE WHEN d > 0 THEN (half - run) / d ELSE 0 END * (bx - x), o_orderkey) AS mx, arg_max(y + CASE WHEN d > 0 THEN (half - run) / d ELSE 0 END * (by_ - y), o_orderkey) AS my FROM r WHERE run <= half AND half <= run + d GROUP BY o_custkey)
+SELECT r.o_custkey, CAST(any_value(n) AS INTEGER) AS n, round(2 * any_value(half), 5) AS length, round(any_value(mx), 4) AS mid_x, round(any_value(my), 4) AS mid_y FROM r JOIN m ON m.o_custkey = r.o_custkey WHERE n > 1 GROUP BY r.o_custkey"""
+
 _OTHER = {
+    "line_measures": _LINES,
+    "projected_points": _ALBERS,
     "restart_antijoin": "SELECT lpad(n_nationkey::VARCHAR, 5, '0') AS fips FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)",
 }
 

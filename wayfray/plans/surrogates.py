@@ -107,6 +107,23 @@ def zone_grid(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
     return number_zones(cells.select(F.format_string("K%04d", F.col("id")).alias("GEOID"), _squares(n).alias("geometry")), level, FIPS)
 
 
+def sides(net: DataFrame) -> DataFrame:
+    """fips, edge_id, left, right: postal areas of four blocks' width on the two sides of each edge, none west of the map."""
+    along = F.col("y0") == F.col("y1")
+    def area(sign: int) -> Column:
+        x, y = F.col("mid_x") + F.when(along, 0).otherwise(sign), F.col("mid_y") + F.when(along, sign).otherwise(0)
+        return F.when((x >= 0) & (y >= 0), F.concat(F.lit("area "), F.floor(y / (4 * SPACING)).cast("string"), F.lit("/"), F.floor(x / (4 * SPACING)).cast("string")))
+
+    return net.select("fips", "edge_id", area(-1).alias("left"), area(1).alias("right"))
+
+
+def diamonds(spark: SparkSession, sf_dir: str, radius: float = 170.0) -> DataFrame:
+    """id, geometry: squares on their corner around suppliers."""
+    p = supplier_points(spark, sf_dir)
+    x, y = F.col("x"), F.col("y")
+    return p.select("id", F.array(F.array(_point(x - radius, y), _point(x, y - radius), _point(x + radius, y), _point(x, y + radius), _point(x - radius, y))).alias("geometry"))
+
+
 def assigned(spark: SparkSession, sf_dir: str, net: DataFrame, levels=("coarse", "medium"), drop_empty: bool = True) -> tuple[DataFrame, DataFrame]:
     ez, zs = all_levels([assign_by_polygons(net, zone_grid(spark, sf_dir, v), cell=SPACING * 4, drop_empty=drop_empty) for v in levels])
     return frozen(ez), frozen(zs)
