@@ -183,6 +183,19 @@ def test_sweep_and_summaries(county1, spark):
     assert C.rank_curves(zone, 0.77).count() == 0
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_one_pass_is_the_joined_path(county1, spark, strict):
+    """Counties that fit a task are counted over arrays, others by joins and distributed components: the same tables."""
+    net, ez, zones = county1
+    other = Z.assign_by_polygons(net, Z.number_zones(squares(spark, 2, 700.0), "part of it", "1"), cell=300.0)
+    ez, zones = (frozen(x) for x in Z.all_levels([(ez, zones), other]))
+    sc = D.scenarios(spark, [0.0, 0.3, 1.0], 2, ("random", "fitness"), ("edge", "road"))
+    one, two = (S.sweep(net, ez, zones, sc, ("county", "zone"), [0.3], strict, per_task=n) for n in (10**6, 1))
+    for a, b in zip(one, two, strict=True):
+        row = lambda df: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.collect())
+        assert a.dtypes == b.dtypes and row(a) == row(b) and row(a)
+
+
 def test_number_of_scenarios_is_checked(spark):
     with pytest.raises(ValueError):
         D.scenarios(spark, [1.5], 1)

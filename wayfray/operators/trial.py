@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schemas import SCENARIO
-from .components import PER_TASK, components
+from .components import PER_TASK, _min_labels, components, frozen
 
 KEYS = ["fips", *SCENARIO]
 
@@ -70,3 +70,80 @@ def diagnostics(deleted: DataFrame, labels: DataFrame) -> DataFrame:
     out = deleted.select(*KEYS).distinct().join(agg, KEYS, "left")
     share = lambda c: F.coalesce(F.col(c) / F.col("_live"), F.lit(0.0))
     return out.select(*KEYS, share("_one").alias("giant_frac"), share("_two").alias("second_frac"), F.coalesce("n_components", F.lit(0)).alias("n_components"))
+
+
+def zone_columns(net: DataFrame, edge_zone: DataFrame, levels: list[str]) -> DataFrame:
+    """net with a column z0, z1, ... of zone_idx for each level (null: no zone); an edge has one zone a level."""
+    out = net
+    for i, level in enumerate(levels):
+        out = out.join(edge_zone.where(F.col("level") == level).select("fips", "edge_id", F.col("zone_idx").alias(f"z{i}")), ["fips", "edge_id"], "left")
+    return out
+
+
+def one_pass(deleted: DataFrame, zones: DataFrame, levels: list[str], scopes: tuple[str, ...] = ("county",), strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """What ``per_zone`` and ``diagnostics`` give for all levels and scopes, in one task per county and scenario.
+
+    deleted: the network with ``zone_columns``, under each scenario. Edges meet once, by county and scenario: labels,
+    marooned edges and cluster sizes are counted over arrays, and only counts leave the task."""
+    if not set(scopes) <= {"county", "zone"}:
+        raise ValueError("scopes are county and zone")
+    kinds = dict(deleted.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in KEYS) + ", level string, scope string, zone_idx int, n_total bigint, n_deleted bigint, n_marooned bigint, km_total double, km_lost double, giant_frac double, second_frac double, n_components bigint"
+
+    def each(key, e, z):
+        import numpy as np
+        import pandas as pd
+
+        ids, ends = np.unique(np.concatenate([e["src"].to_numpy(), e["dst"].to_numpy()]), return_inverse=True)
+        src, dst, gone, km = ends[: len(e)], ends[len(e) :], e["deleted"].to_numpy(bool), e["length_m"].to_numpy(float) / 1000
+
+        def labels(of, a, b, n):
+            """Labels of n places, -1 where no edge of ``of`` ends."""
+            out = np.full(n, -1)
+            if of.any():
+                place, least = _min_labels(a[of], b[of])
+                out[place] = least
+            return out
+
+        whole = labels(~gone, src, dst, len(ids)) if "county" in scopes else None
+        rows = []
+        for i, level in enumerate(levels):
+            zone = e[f"z{i}"].to_numpy(float)
+            inside = ~np.isnan(zone)
+            zone = np.where(inside, zone, 0).astype(np.int64)
+            own = z[z["level"] == level]
+            if not len(own):
+                continue
+            known, anchor = own["zone_idx"].to_numpy(np.int64), own["anchor_node"].to_numpy(float)
+            n = int(max(known.max(), zone.max(initial=0))) + 1
+            at = np.searchsorted(ids, np.nan_to_num(anchor, nan=0).astype(ids.dtype)).clip(max=max(len(ids) - 1, 0))
+            found = ~np.isnan(anchor) & (ids[at] == np.nan_to_num(anchor, nan=0)) if len(ids) else np.zeros(len(own), bool)
+            home_at = np.full(n, -1)
+            home_at[known] = np.where(found, at, -1)
+            for scope in scopes:
+                if scope == "county":
+                    here, home = whole[src], np.where(home_at >= 0, whole[home_at], -1)
+                else:
+                    label = labels(~gone & (inside if strict else True), zone * len(ids) + src, zone * len(ids) + dst, n * len(ids))
+                    here, home = label[zone * len(ids) + src], np.where(home_at >= 0, label[np.arange(n) * len(ids) + home_at], -1)
+                lost = ~gone & ~((here == home[zone]) & (here >= 0))
+                count = lambda of, zone=zone, inside=inside, n=n: np.bincount(zone[inside & of], minlength=n)[known]
+                length = lambda of, zone=zone, inside=inside, n=n: np.bincount(zone[inside & of], km[inside & of], n)[known]
+                every = np.ones(len(e), bool)
+                cols = {"zone_idx": known, "n_total": count(every), "n_deleted": count(gone), "n_marooned": count(lost), "km_total": length(every), "km_lost": length(gone | lost)}
+                rows.append(pd.DataFrame({"level": level, "scope": scope, **cols}))
+        if "county" in scopes:
+            size = np.sort(np.bincount(whole[whole >= 0])) if (whole >= 0).any() else np.zeros(0, int)
+            size = size[size > 0]
+            live = max(int(size.sum()), 1)
+            rows.append(pd.DataFrame({"giant_frac": [size[-1] / live if len(size) else 0.0], "second_frac": [size[-2] / live if len(size) > 1 else 0.0], "n_components": [len(size)]}))
+        out = pd.concat([r.astype(object) for r in rows], ignore_index=True) if rows else pd.DataFrame({"level": []})  # whole numbers stay whole beside nulls
+        names = ["level", "scope", "zone_idx", "n_total", "n_deleted", "n_marooned", "km_total", "km_lost", "giant_frac", "second_frac", "n_components"]
+        return out.reindex(columns=names).assign(**dict(zip(KEYS, key, strict=True)))[[*KEYS, *names]]
+
+    e = deleted.select(*KEYS, "src", "dst", "length_m", "deleted", *(f"z{i}" for i in range(len(levels))))
+    grid = deleted.select(*KEYS).distinct()
+    z = grid.join(zones.select("fips", "level", "zone_idx", "anchor_node"), "fips").select(*(F.col(c).alias(c) for c in (*KEYS, "level", "zone_idx", "anchor_node")))
+    found = frozen(e.groupBy(*KEYS).cogroup(z.groupBy(*KEYS)).applyInPandas(each, schema))
+    counted = found.where("level is not null").select(*KEYS, "level", "zone_idx", "n_total", "n_deleted", "n_marooned", "km_total", "km_lost", "scope")
+    return counted, found.where("level is null").select(*KEYS, "giant_frac", "second_frac", "n_components")
