@@ -1060,3 +1060,32 @@ def test_fills_are_all_groups_of_a_sum():
                 want = {t for t in itertools.combinations_with_replacement(sorted(keys, reverse=True), n) if sum(t) == gap}
                 found = list(lengths.fills(gap, n))
                 assert set(found) == want and len(found) == len(want)
+
+
+LONG = "The committee met in the afternoon and read the whole of the report aloud, line by line, before anyone spoke. "
+
+
+@pytest.mark.parametrize(
+    ("inside", "kept"),
+    [
+        ('<p>See <a href="/s">the long official statement of the committee about its afternoon meeting</a> here.</p>', True),
+        ('<p><a href="/s">The long official statement of the committee about its afternoon meeting</a></p>', True),
+        ('<blockquote><a href="/s">The long official statement of the committee about its afternoon meeting</a></blockquote>', True),
+        ('<h2><a href="/s">The long official statement of the committee</a></h2>', True),
+        ('<ul><li><a href="/a">The long official statement of the committee</a></li><li><a href="/b">The meeting</a></li></ul>', False),
+    ],
+)
+def test_links_in_an_article(inside, kept):
+    got = html_text.main_text(f"<html><body><nav><a href='/'>Home</a></nav><article><p>{LONG * 3}</p>{inside}<p>{LONG * 3}</p></article></body></html>")
+    assert ("long official statement" in got) == kept and got.count("line by line") == 6 and "Home" not in got
+
+
+@pytest.mark.parametrize("wrap", ["article", "main"])
+def test_header_of_an_article(wrap):
+    got = html_text.main_text(f"<body><header><h1>Our paper</h1></header><{wrap}><header><h1>Report read aloud</h1></header><p>{LONG * 4}</p></{wrap}></body>")
+    assert got == "Report read aloud " + (LONG * 4).strip()
+
+
+def test_pages_empty_table(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>x</p>")], "page_id long, url string, html string")
+    assert html_text.main_texts(pages.limit(0)).count() == 0

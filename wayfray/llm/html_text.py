@@ -7,6 +7,10 @@ smallest density on the path from the body to it is the threshold under which pa
 noise, and whatever else reaches it, with what stands between, is the article too. Elements that are never article text are taken out first, as are those whose class, id
 or role names noise, unless they hold the page's articles or most of its text.
 
+A header inside an article or main element heads the article and stays; others are the page's and go, as do asides.
+Inside a part that is kept, lists and other containers that are mostly links go; paragraphs, headings and quotes
+stay, however much of them is a link.
+
 Defined cases: null, empty and text-less pages give an empty text; repeated rows each give
 a row; an empty table gives an empty result; other columns are ignored; the whole page is
 read, however long; unclosed and crossing tags are repaired.
@@ -65,6 +69,8 @@ LISTS = frozenset("ul ol dl table tbody thead select menu".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements of running text.
 RUNNING = HEADINGS | frozenset("p blockquote pre ul ol dl table figure".split())
+#: Elements of running text that links don't make a menu, so that a part that is kept keeps them.
+PROSE = HEADINGS | frozenset("p blockquote pre figcaption caption dt dd td th".split())
 #: Beside the article's own path, a part as plain as this share of the path's least is the article's too.
 SLACK = 0.5
 #: Characters outside links per tag that are running text wherever they stand.
@@ -235,7 +241,7 @@ def tree(page: str) -> Node:
             if n and n[0].depth > here.rows.depth:
                 back_to(n[0].parent)
         noise, mark = _is_noise(name, attrs)
-        node = Node(name, here, noise or name == "header" and not opened.get("article"), mark)
+        node = Node(name, here, noise or name == "header" and not (opened.get("article") or opened.get("main")), mark)
         here.children.append(node)
         if name not in VOID and not attrs.endswith("/"):
             node.depth = here.depth + 1
@@ -381,7 +387,7 @@ def _blocks(top: Node, threshold: float) -> list[str]:
             now.append(n)
         elif n is None:
             close()
-        elif not n.noise and not (n is not top and n.name not in INLINE and n.chars and n.link_chars > 0.5 * n.chars and n.density < threshold):
+        elif not n.noise and not (n is not top and n.name not in PROSE and n.name not in INLINE and n.chars and n.link_chars > 0.5 * n.chars and n.density < threshold):
             block = n.name not in INLINE
             if block:
                 close()
