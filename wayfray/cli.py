@@ -73,7 +73,7 @@ def main(argv: list[str] | None = None) -> int:
             N.summary(N.build_network(L.load_layer(spark, "edges", code, a.year, a.cache), a.roads, project=True)).show(truncate=False)
         return 0
     kw = {"levels": a.levels, "pmedian": [k for k in a.pmedian if k], "roads": a.roads, "scopes": a.scopes, "protocols": a.protocols, "units": a.units, "p_values": a.p_values, "replicates": a.replicates, "detail": a.detail_p, "seed": a.seed, "year": a.year, "cache": a.cache}
-    L.write_manifest(a.outdir, vars(a))
+    L.write_manifest(spark, a.outdir, vars(a))
     found = P.run_many(spark, a.fips, a.outdir, per_job=a.per_job, csv=a.csv, **kw)
     found.orderBy("fips", "level").show(100, truncate=False)
     if not a.csv and L.has_results(spark, a.outdir, "summary"):

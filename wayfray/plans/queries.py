@@ -72,8 +72,20 @@ def components(spark, d):
     return star_components(_open(spark, d).select("src", "dst"))
 
 
+def _new_counties(spark, d):
+    """The nations' edge layers, but for those that are done."""
+    done = spark.read.parquet(f"{d}/supplier.parquet").where("s_acctbal > 9500").select(U._code("s_nationkey").alias("fips"))
+    return U.counties(spark, d).join(done, "fips", "left_anti")
+
+
 def components_keyed(spark, d):
-    return keyed_components(_open(spark, d), ["fips"]).select("node", "label")
+    """Every nation's graph, a graph to a task."""
+    return keyed_components(N.build_network(_new_counties(spark, d), giant_only=False, check_empty=False), ["fips"])
+
+
+def giant_of_each(spark, d):
+    """The giant component of every nation's graph."""
+    return N.build_network(_new_counties(spark, d), check_empty=False).select("fips", "edge_id", "src", "dst")
 
 
 def components_contracted(spark, d):
@@ -300,6 +312,12 @@ def powerlaw_mle(spark, d):
     return _r(P.fit_powerlaw(frozen(_hist(spark, d)), ["fips"]), "alpha", "ks", digits=6).select("alpha", "xmin", "n_tail", "ks")
 
 
+def fitted_tail(spark, d):
+    """The fitted tail beside the cluster sizes, for plots."""
+    hist = frozen(_hist(spark, d))
+    return P.fitted_tail(P.fit_powerlaw(hist, ["fips"]), hist, ["fips"]).select("size", F.round("fitted", 6).alias("fitted"))
+
+
 def critical_exponent(spark, d):
     return _r(P.critical_exponent(U.network(spark, d), 0.4, 4), "alpha", "ks", "tau_2d_reference", digits=6).select("alpha", "xmin", "n_tail", "ks", "p", "tau_2d_reference")
 
@@ -404,11 +422,11 @@ def batch_global(spark, d):
 
 
 _ALL = (
-    road_filter, road_filter_main, try_numeric_nodes, self_loop_drop, degree, network_summary, node_coords, geometric_noding, components, components_keyed, components_contracted,
+    road_filter, road_filter_main, try_numeric_nodes, self_loop_drop, degree, network_summary, node_coords, geometric_noding, components, components_keyed, giant_of_each, components_contracted,
     giant_component, restrict_giant, edge_midpoint, point_in_zone_first_match, edges_per_zone, zone_anchor, drop_small_zones, nearest_centre, nearest_of_many, pmedian,
     edge_betweenness, delete_betweenness_edge, trial_betweenness, sample_by_thresholds, sample_by_thresholds_fitness, snap_facilities, accessibility, trial_contracted,
     delete_random_edge, delete_fitness_edge, delete_random_road, delete_fitness_road, trial_county, trial_zone, trial_zone_strict, trial_km, trial_global,
-    sweep_global, sweep_zone_detail, rank_curves, curve_summary, estimate_pc, county_summary, percolation_means, cluster_sizes, ccdf, powerlaw_mle,
+    sweep_global, sweep_zone_detail, rank_curves, curve_summary, estimate_pc, county_summary, percolation_means, cluster_sizes, ccdf, powerlaw_mle, fitted_tail,
     critical_exponent, marooned_score_rank, score_powerfit, overlay_rescale, restart_antijoin, landed_box, touching_zones, zones_by_sides, trial_by_sides, conflated_ratings, delete_measured_edge, line_measures, projected_points, batch_outcomes, batch_zones, batch_global,
 )
 

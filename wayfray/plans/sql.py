@@ -230,7 +230,6 @@ _FINAL = {
     "node_coords": "SELECT node, avg(x) AS x, avg(y) AS y FROM (SELECT src AS node, x0 AS x, y0 AS y FROM drive UNION ALL SELECT dst, x1, y1 FROM drive) GROUP BY node",
     "geometric_noding": "SELECT CAST(round_even(x0 / 150, 0) AS BIGINT) * 4294967296 + CAST(round_even(y0 / 150, 0) AS BIGINT) + 2147483648 AS src, CAST(round_even(x1 / 150, 0) AS BIGINT) * 4294967296 + CAST(round_even(y1 / 150, 0) AS BIGINT) + 2147483648 AS dst, count(*) AS n FROM raw GROUP BY ALL",
     "components": "SELECT node, label FROM cc",
-    "components_keyed": "SELECT node, label FROM cc",
     "components_contracted": "SELECT node, label FROM cc",
     "edge_betweenness": "SELECT edge_id, betweenness FROM btw",
     "delete_betweenness_edge": "SELECT p_milli, edge_id FROM bdel WHERE deleted",
@@ -279,6 +278,7 @@ _FINAL = {
     "cluster_sizes": "SELECT size, n FROM hist",
     "ccdf": "SELECT size, round(sum(n) OVER (ORDER BY size DESC ROWS UNBOUNDED PRECEDING) / sum(n) OVER (), 9) AS ccdf FROM hist",
     "powerlaw_mle": "SELECT round(alpha, 6) AS alpha, xmin::DOUBLE AS xmin, CAST(n_tail AS BIGINT) AS n_tail, round(ks, 6) AS ks FROM best",
+    "fitted_tail": "SELECT h.size, round(n_tail / (SELECT sum(n) FROM hist) * (h.size / xmin) ** (1 - alpha), 6) AS fitted FROM hist h, best WHERE h.size >= xmin",
     "critical_exponent": "SELECT round(alpha, 6) AS alpha, xmin::DOUBLE AS xmin, CAST(n_tail AS BIGINT) AS n_tail, round(ks, 6) AS ks, 0.4::DOUBLE AS p, round(187::DOUBLE / 91, 6) AS tau_2d_reference FROM best",
     "marooned_score_rank": "SELECT zone_id, n_edges, round(marooned, 6) AS marooned, round(score, 6) AS score, rank, round(norm_rank, 6) AS norm_rank FROM score WHERE level = 'medium'",
     "score_powerfit": "SELECT '00000' AS fips, pf.level, n_zones, round(a, 6) AS a, round(b, 6) AS b, round(r2, 6) AS r2 FROM pf JOIN pr ON pr.level = pf.level",
@@ -331,6 +331,8 @@ dg AS (SELECT fips, r, max(size) / sum(size) AS giant_frac, coalesce(max(size) F
 """
 
 _BATCH_FINAL = {
+    "components_keyed": "SELECT fips, node, label FROM cc",
+    "giant_of_each": "SELECT fips, edge_id, src, dst FROM net",
     "batch_outcomes": """
 SELECT c.fips, 'quarter' AS level, CASE WHEN p.fips IS NOT NULL THEN 'skipped' WHEN coalesce(n_zones, 0) = 0 THEN 'failed' ELSE 'done' END AS outcome,
        CASE WHEN p.fips IS NOT NULL THEN 'done before' WHEN n_raw IS NULL THEN 'no edge layer' WHEN n_edges IS NULL THEN 'no road of the set' WHEN n_zones IS NULL THEN 'no zone with enough edges'

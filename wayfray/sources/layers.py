@@ -133,6 +133,11 @@ def discover_fips(spark: SparkSession, folder: str, name: str = "zones") -> list
     return [r[0] for r in read_results(spark, folder, name).select("fips").distinct().orderBy("fips").collect()]
 
 
-def write_manifest(folder: str, arguments: dict) -> None:
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    Path(folder, "manifest.json").write_text(json.dumps(arguments, indent=1, default=str))
+def write_manifest(spark: SparkSession, folder: str, arguments: dict) -> None:
+    """manifest.json in the folder of the results, wherever that is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest.json")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(json.dumps(arguments, indent=1, default=str).encode()))
+    finally:
+        out.close()
