@@ -27,6 +27,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -264,8 +265,10 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("q"), b.column("node"), pa.array(d, pa.float64())], ["q", "node", "dist"])
 
 
-def greedy_search(asked: DataFrame, nodes: DataFrame, graph: DataFrame, tables: Scratch, beam: int = 256, step: int = 96, entries: int = 32, rounds: int = 100) -> DataFrame:
-    """q, node, dist: up to ``beam`` nearest nodes found for each query (q, d, f; q is its own node's number where it has one)."""
+def greedy_search(asked: DataFrame, nodes: DataFrame, graph: DataFrame, tables: Scratch, beam: int = 256, step: int | None = None, entries: int = 32, rounds: int = 100) -> DataFrame:
+    """q, node, dist: up to ``beam`` nearest nodes found for each query (q, d, f; q is its own node's number where it has one).
+
+    A round expands up to ``step`` nodes of a query, by default all of its beam that aren't expanded yet."""
     last = nodes.agg(F.max("node")).first()[0]
     every = max(1, -(-((last or 0) + 1) // entries))
     doors = nodes.where(F.col("node") % every == 0).select("node", "d", F.col("f").alias("g"))  # at most ``entries`` rows
@@ -274,23 +277,22 @@ def greedy_search(asked: DataFrame, nodes: DataFrame, graph: DataFrame, tables:
     pairs = own.unionByName(outside.join(F.broadcast(doors), "d").select("q", "node", "f", "g")).dropDuplicates(["q", "node"])
     schema = "q long, node long, dist double"
     first = tables.keep(arrow_map(pairs, _measured, schema, 4096))
-    seen, state = first.select("q", "node"), first.withColumn("done", F.lit(0))
-    met, now = tables.keep(seen), None
+    seen, state, now = [first.select("q", "node")], first.withColumn("done", F.lit(0)), None
     step_schema = "q long, node long, dist double, done int, todo boolean"
     for k in range(rounds + 1):
-        old, now = now, tables.keep(arrow_map(state.repartition("q").sortWithinPartitions("q"), _beam(beam, step), step_schema, 20_000))
+        old, now = now, tables.keep(arrow_map(state.repartition("q").sortWithinPartitions("q"), _beam(beam, step or beam), step_schema, 20_000))
         if old is not None:
             tables.drop(old)
         todo = now.where("todo")
         if k == rounds or todo.isEmpty():
             break
         far = now.groupBy("q").agg(F.when(F.count("*") >= beam, F.max("dist")).otherwise(float("inf")).alias("far"))
+        met = reduce(DataFrame.unionByName, seen)
         fresh = todo.join(graph, F.col("node") == F.col("a")).select("q", F.col("b").alias("node")).distinct().join(met, ["q", "node"], "left_anti")
         bound = asked.select("q", "f").join(far, "q")
         both = fresh.join(bound, "q").join(nodes.select("node", F.col("f").alias("g")), "node")
         found = tables.keep(arrow_map(both.select("q", "node", "f", "g"), _measured, schema, 4096))
-        before, met = met, tables.keep(met.unionByName(found.select("q", "node")))
-        tables.drop(before)
+        seen.append(found.select("q", "node"))
         state = now.select("q", "node", "dist", F.when(F.col("todo"), 1).otherwise(F.col("done")).alias("done")).unionByName(found.join(far, "q").where("dist < far").select("q", "node", "dist", F.lit(0).alias("done")))
     return now.select("q", "node", "dist")
 
