@@ -116,6 +116,12 @@ class WordIds(dict):
                 self.update(zip(part, found, strict=True))
 
 
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """Those of a Python worker, which outlive its tasks."""
+    return WordIds(path)
+
+
 def pack_ids(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit."""
     return array("I", ids).tobytes() if sys.byteorder == "little" and array("I").itemsize == 4 else np.array(ids, "<u4").tobytes()
@@ -125,7 +131,7 @@ def pieces(docs: DataFrame, path: str, room: int = 2048) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document."""
 
     def each(batches):
-        words = WordIds(path)
+        words = word_ids(path)
         for b in batches:
             ids_col, out = b.column("doc_id").to_pylist(), ([], [], [], [], [])
             for doc, ids in zip(ids_col, words.of_texts([t or b"" for t in binary(b, "text")]), strict=True):
