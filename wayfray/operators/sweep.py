@@ -42,19 +42,26 @@ def zone_table(counts: DataFrame, zones: DataFrame, detail: list[float], label:
     return named.withColumn("label", F.col("fips") if label is None else F.lit(label)).select(*ZONE_COLUMNS)
 
 
-def sweep(net: DataFrame, edge_zone: DataFrame, zones: DataFrame, sc: DataFrame, scopes=("county",), detail=(0.20,), strict: bool = False, table: dict[str, float] | None = None, label: str | None = None, per_task: int = PER_TASK) -> tuple[DataFrame, DataFrame]:
-    """The global table and the zone table. Counties of up to ``per_task`` edges are counted in one pass over each scenario;
-    larger ones by masks, distributed components and joins, made once for all levels and scopes."""
+def trials(net: DataFrame, edge_zone: DataFrame, zones: DataFrame, sc: DataFrame, scopes=("county",), strict: bool = False, table: dict[str, float] | None = None, per_task: int = PER_TASK) -> tuple[DataFrame, DataFrame | None]:
+    """Counts by zone (as ``per_zone``) of all levels and scopes, and the diagnostics (None without scope county), of every scenario.
+
+    Counties of up to ``per_task`` edges are counted in one pass over each scenario; larger ones by masks, distributed
+    components and joins, made once for all levels and scopes."""
     largest = net.groupBy("fips").count().agg(F.max("count")).first()[0] or 0
     if largest <= per_task and "share" not in edge_zone.columns:
         levels = sorted(r["level"] for r in zones.select("level").distinct().collect())  # the levels asked for
         counts, diag = one_pass(deletions(frozen(zone_columns(net, edge_zone, levels)), sc, table), zones, levels, tuple(scopes), strict)
-        return global_table(counts, diag if "county" in scopes else None, label), zone_table(counts, zones, list(detail), label)
+        return counts, diag if "county" in scopes else None
     gone = frozen(deletions(net, sc, table))
     labels = frozen(surviving_labels(gone, per_task)) if "county" in scopes else None
     counts = None
     for scope in scopes:
         c = per_zone(gone, edge_zone, zones, scope, strict, labels if scope == "county" else zone_labels(gone, edge_zone, strict, per_task))
         counts = c if counts is None else counts.unionByName(c)
-    counts = frozen(counts)
-    return global_table(counts, diagnostics(gone, labels) if labels is not None else None, label), zone_table(counts, zones, list(detail), label)
+    return frozen(counts), diagnostics(gone, labels) if labels is not None else None
+
+
+def sweep(net: DataFrame, edge_zone: DataFrame, zones: DataFrame, sc: DataFrame, scopes=("county",), detail=(0.20,), strict: bool = False, table: dict[str, float] | None = None, label: str | None = None, per_task: int = PER_TASK) -> tuple[DataFrame, DataFrame]:
+    """The global table and the zone table."""
+    counts, diag = trials(net, edge_zone, zones, sc, scopes, strict, table, per_task)
+    return global_table(counts, diag, label), zone_table(counts, zones, list(detail), label)

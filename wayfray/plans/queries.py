@@ -229,8 +229,7 @@ def trial_contracted(spark, d):
 def _trial(spark, d, scope, strict=False):
     net = U.network(spark, d)
     ez, zs = U.assigned(spark, d, net)
-    gone = frozen(D.deletions(net, _sc(spark)))
-    return T.per_zone(gone, ez, zs, scope, strict)
+    return S.trials(net, ez, zs, _sc(spark), (scope,), strict)[0]
 
 
 def trial_county(spark, d):
@@ -250,8 +249,9 @@ def trial_km(spark, d):
 
 
 def trial_global(spark, d):
-    gone = frozen(D.deletions(U.network(spark, d), _sc(spark)))
-    return _r(T.diagnostics(gone, T.surviving_labels(gone)), "giant_frac", "second_frac").select("p_milli", "replicate", "giant_frac", "second_frac", "n_components")
+    net = U.network(spark, d)
+    ez, zs = U.assigned(spark, d, net, ("coarse",))
+    return _r(S.trials(net, ez, zs, _sc(spark))[1], "giant_frac", "second_frac").select("p_milli", "replicate", "giant_frac", "second_frac", "n_components")
 
 
 def _swept(spark, d, scopes=("county", "zone")):
