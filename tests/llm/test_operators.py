@@ -1089,3 +1089,32 @@ def test_header_of_an_article(wrap):
 def test_pages_empty_table(spark):
     pages = spark.createDataFrame([(1, "u", "<p>x</p>")], "page_id long, url string, html string")
     assert html_text.main_texts(pages.limit(0)).count() == 0
+
+
+def test_substrings_of_rows_that_share_an_id(spark):
+    """A document does not repeat itself, be it in one row or in several of its id."""
+    rng = random.Random(12)
+    shared, other = words(rng, 30, 10_000), words(rng, 20, 10_000)
+    rows = [(5, " ".join(words(rng, 9) + shared), "a"), (5, " ".join(shared + other), "a"), (9, " ".join(shared), "a"), (9, " ".join(other + words(rng, 4)), "a"), (5, "", "a"), (7, None, "a"), (None, " ".join(shared), "a")]
+    got = sorted((r["doc_id"] or -1, r["n_words"], r["n_removed"]) for r in substrings.drop_repeated(frame(spark, rows)).collect())
+    assert got == sorted([(5, 39, 0), (5, 50, 0), (9, 30, 30), (9, 24, 20), (5, 0, 0), (7, 0, 0), (-1, 30, 0)])
+
+
+def test_packing_of_one_row_many_times(spark):
+    """Equal rows are packed each for itself, without a gap or an overlap; added tokens in other case are words."""
+    rows = [(4, "the same words <|ENDOFTEXT|> again " * 60, "a")] * 300 + [(i, "x" * i, "b") for i in range(40)]
+    got = packing.pack(frame(spark, rows), tokenizer_path()).collect()
+    whole = packing.tokenizer(tokenizer_path())
+    n = len(whole.encode(rows[0][1], add_special_tokens=False).ids) + 1
+    same = [r for r in got if r["doc_id"] == 4 and r["length"] > 50]
+    assert len(same) == 300 and {r["length"] for r in same} == {n} and 2 * n < 2048
+    by = {}
+    for r in got:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(by) <= -(-300 // (2048 // n)) + 1

@@ -14,8 +14,11 @@ class's length, far above the rounding of distances of such lengths (4e-7). Scor
 integers: 64-bit where a block's lengths prove that they suffice, else of any size. A score
 beyond 64 bits is returned as the nearest 64-bit number; ranks go by the true score.
 
-Queries meet vectors in blocks (``query_block`` by ``vector_block`` rows); each pair of
-blocks is one bounded piece of work whose k best go on to a per-query merge.
+Queries meet vectors in blocks (``query_block`` by ``vector_block`` rows of 64 dimensions,
+fewer of more); each pair of blocks is one bounded piece of work whose k best go on to a
+per-query merge. Blocks are as large as a task's memory lets them be, as a vector is sent
+once for each block of queries and a query once for each block of vectors; smaller tables
+are dealt to up to SPREAD blocks of ``least_block`` rows, for work to be shared.
 
 Pivots: the longest of a bounded sample and then, one by one, the vector farthest from those
 taken (``sample`` rows, the smallest hashes of id and vector); any pivots give exact results.
@@ -42,6 +45,8 @@ from .common import frozen
 
 #: Share of a class's length by which bounds may be off.
 ALLOWED = 1e-6
+#: Blocks that vectors are dealt to though they fit fewer.
+SPREAD = 32
 LONG = 2**63 - 1
 
 
@@ -121,7 +126,7 @@ def block_top(q_ids, q, q_scaled, q_table, ids, x, table, k: int, unit: int, bat
             yield q_ids[i], j, -s
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, pivots: int = 32, sample: int = 2000, query_block: int = 2048, vector_block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, pivots: int = 32, sample: int = 2000, query_block: int = 8192, vector_block: int = 32768, least_block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query's k best. is_query: a condition on ``id``. scale: a power of two."""
     if scale & (scale - 1):
         raise ValueError("scale must be a power of two, so that products with it are exact")
@@ -153,8 +158,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, pi
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     all_ = frozen(base.mapInPandas(tabled, f"id {kind}, v array<double>, d int, c int, t array<double>"))
     once = all_.where(is_query).groupBy("id", "d").agg(F.min("v").alias("v"))  # a query given twice is one
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.count("*") / n)).cast("int")
-    grid = all_.groupBy("d", "c").agg(blocks(vector_block).alias("n_x")).join(once.groupBy("d").agg(blocks(query_block).alias("n_q")), "d")
+    wide = F.greatest(F.col("d"), F.lit(64)) / 64
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.count("*") * wide / n)).cast("int")
+    n_x = F.greatest(blocks(vector_block), F.least(blocks(least_block), F.lit(SPREAD)))
+    grid = all_.groupBy("d", "c").agg(n_x.alias("n_x")).join(once.groupBy("d").agg(blocks(query_block).alias("n_q")), "d")
     grid = frozen(grid)  # a row per dimension and class, of which floats have some 2,100
     place = lambda n: F.pmod(F.xxhash64(F.col("id").cast("string"), "v", F.lit(7)), n).cast("int")
     left = all_.join(F.broadcast(grid), ["d", "c"]).withColumn("xb", place(F.col("n_x"))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1))).select("d", "c", "qb", "xb", "id", "v", "t")
