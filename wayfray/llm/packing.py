@@ -42,9 +42,9 @@ def tokenizer(path: str):
 
 #: The splitting pattern of tokenizers whose words can be encoded one by one (a fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Stands between words that are encoded together; words that hold it are encoded alone.
-BETWEEN = "\ue000"
-_BETWEEN, _GAP = BETWEEN.encode(), f" {BETWEEN} ".encode()
+#: Stands between words that are encoded together and are not of letters only; words that hold it are encoded alone.
+_BETWEEN = b"\x7f"
+_GAP = b" \x7f "
 #: Words encoded at a time, and the longest that are (bytes).
 TOGETHER, LONGEST = 1000, 64
 
@@ -76,7 +76,12 @@ class WordIds(dict):
         self.by_words, self.added = parts_of(path)
         self.encode, self.most = tokenizer(path).encode, most
         self.batch = getattr(tokenizer(path), "encode_batch_fast", tokenizer(path).encode_batch)
-        self.between = self[_BETWEEN]
+        between = np.frombuffer(self[_BETWEEN], "<u4")
+        self.between = int(between[0]) if len(between) == 1 else None
+        suffix = (json.loads(tokenizer(path).to_str())["model"].get("end_of_word_suffix") or "") if self.by_words else ""
+        vocabulary = tokenizer(path).get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # which ids end a run of letters, digits or signs
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
 
     def __missing__(self, word: bytes) -> bytes:
         return pack_ids(self.encode(word.decode(), add_special_tokens=False).ids)
@@ -107,13 +112,31 @@ class WordIds(dict):
         return (text if b"\xcc" in text or b"\xcd" in text else low).split()
 
     def learn(self, words: set[bytes]) -> None:
-        """Encodes new words together and, but for the longest, remembers them."""
-        new = [w for w in words if len(w) <= LONGEST and _BETWEEN not in w]
-        for k in range(0, len(new), TOGETHER):
-            part = new[k : k + TOGETHER]
-            found = pack_ids(self.batch([_GAP.join(part).decode()], add_special_tokens=False)[0].ids).split(self.between)  # ids under 2 ** 16 match at whole numbers only
-            if len(found) == len(part):
-                self.update(zip(part, found, strict=True))
+        """Encodes new words together and, but for the longest, remembers them.
+
+        A word of letters is one run, whose last id has the suffix of ends; so such words need nothing between them."""
+        plain, mixed = [], []
+        for w in words:
+            if len(w) <= LONGEST and _BETWEEN not in w:
+                (plain if w.decode().isalpha() else mixed).append(w)
+        for k in range(0, len(plain), TOGETHER):
+            part = plain[k : k + TOGETHER]
+            ids = np.array(self.batch([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part) and stops[-1] == len(ids):
+                self._remember(part, ids, np.concatenate([[0], stops[:-1]]), stops)
+            else:
+                mixed += part
+        for k in range(0, len(mixed) if self.between is not None else 0, TOGETHER):
+            part = mixed[k : k + TOGETHER]
+            ids = np.array(self.batch([_GAP.join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            gaps = np.flatnonzero(ids == self.between)
+            if len(gaps) == len(part) - 1:
+                self._remember(part, ids, np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(ids)]]))
+
+    def _remember(self, words: list[bytes], ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
+        raw = ids.tobytes()
+        self.update((w, raw[a:b]) for w, a, b in zip(words, (4 * starts).tolist(), (4 * stops).tolist(), strict=True))
 
 
 @lru_cache(1)
