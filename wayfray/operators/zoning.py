@@ -72,7 +72,7 @@ def drop_small_zones(edge_zone: DataFrame, zones: DataFrame, min_edges: int = 5)
 
 def assign_by_polygons(net: DataFrame, zones: DataFrame, cell: float, drop_empty: bool = True, min_edges: int = 5) -> tuple[DataFrame, DataFrame]:
     """edge_zone and zones with anchors."""
-    ez = point_in_zone(net, zones, cell)
+    ez = frozen(point_in_zone(net, zones, cell))  # met again by counts and anchors
     full = zones.drop("geometry").join(anchors(net, ez, zones), ["fips", "level", "zone_idx"], "left")
     return drop_small_zones(ez, full, min_edges) if drop_empty else (ez, full)
 
