@@ -47,11 +47,11 @@ def per_zone(deleted: DataFrame, edge_zone: DataFrame, zones: DataFrame, scope:
     lost = ~F.col("deleted") & ~F.coalesce(F.col("label") == F.col("home"), F.lit(False))
     e = e.withColumn("marooned", lost)
     share = F.col("share") if "share" in edge_zone.columns else F.lit(1)  # edges may count to several zones by parts
-    km = F.col("length_m") * share / 1000
+    metres = F.col("length_m") * share
     part = lambda c: F.sum(F.when(c, share).otherwise(F.lit(0)))
     counts = e.groupBy(*KEYS, "level", "zone_idx").agg(
         F.sum(share).alias("n_total"), part(F.col("deleted")).alias("n_deleted"), part(F.col("marooned")).alias("n_marooned"),
-        F.sum(km).alias("km_total"), F.sum(F.when(F.col("deleted") | F.col("marooned"), km).otherwise(0.0)).alias("km_lost"),
+        (F.sum(metres) / 1000).alias("km_total"), (F.sum(F.when(F.col("deleted") | F.col("marooned"), metres).otherwise(0.0)) / 1000).alias("km_lost"),
     )
     full = base.drop("home").join(counts, [*KEYS, "level", "zone_idx"], "left").na.fill(0)
     return full.withColumn("scope", F.lit(scope))
@@ -95,7 +95,7 @@ def one_pass(deleted: DataFrame, zones: DataFrame, levels: list[str], scopes: tu
         import pandas as pd
 
         ids, ends = np.unique(np.concatenate([e["src"].to_numpy(), e["dst"].to_numpy()]), return_inverse=True)
-        src, dst, gone, km = ends[: len(e)], ends[len(e) :], e["deleted"].to_numpy(bool), e["length_m"].to_numpy(float) / 1000
+        src, dst, gone, metres = ends[: len(e)], ends[len(e) :], e["deleted"].to_numpy(bool), e["length_m"].to_numpy(float)
 
         def labels(of, a, b, n):
             """Labels of n places, -1 where no edge of ``of`` ends."""
@@ -128,9 +128,9 @@ def one_pass(deleted: DataFrame, zones: DataFrame, levels: list[str], scopes: tu
                     here, home = label[zone * len(ids) + src], np.where(home_at >= 0, label[np.arange(n) * len(ids) + home_at], -1)
                 lost = ~gone & ~((here == home[zone]) & (here >= 0))
                 count = lambda of, zone=zone, inside=inside, n=n: np.bincount(zone[inside & of], minlength=n)[known]
-                length = lambda of, zone=zone, inside=inside, n=n: np.bincount(zone[inside & of], km[inside & of], n)[known]
+                length = lambda of, zone=zone, inside=inside, n=n: np.bincount(zone[inside & of], metres[inside & of], n)[known]
                 every = np.ones(len(e), bool)
-                cols = {"zone_idx": known, "n_total": count(every), "n_deleted": count(gone), "n_marooned": count(lost), "km_total": length(every), "km_lost": length(gone | lost)}
+                cols = {"zone_idx": known, "n_total": count(every), "n_deleted": count(gone), "n_marooned": count(lost), "km_total": length(every) / 1000, "km_lost": length(gone | lost) / 1000}
                 rows.append(pd.DataFrame({"level": level, "scope": scope, **cols}))
         if "county" in scopes:
             size = np.sort(np.bincount(whole[whole >= 0])) if (whole >= 0).any() else np.zeros(0, int)
