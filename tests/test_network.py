@@ -196,6 +196,17 @@ def test_one_pass_is_the_joined_path(county1, spark, strict):
         assert a.dtypes == b.dtypes and row(a) == row(b) and row(a)
 
 
+def test_large_node_ids_in_one_pass(spark):
+    """Ids beyond 2 ** 53 differ in their last digit only, and a zone has no anchor."""
+    top = 2**60
+    net = spark.createDataFrame([("1", k, top + k, top + k + 1, 10.0, "S1400", "r") for k in range(6)], "fips string, edge_id long, src long, dst long, length_m double, mtfcc string, road_key string")
+    ez = spark.createDataFrame([("1", "v", k, k // 3) for k in range(6)], "fips string, level string, edge_id long, zone_idx int")
+    zs = spark.createDataFrame([("1", "v", 0, "a", top + 1), ("1", "v", 1, "b", None)], "fips string, level string, zone_idx int, zone_id string, anchor_node long")
+    sc = D.scenarios(spark, [0.0, 0.5], 2)
+    row = lambda n: sorted(map(str, S.trials(net, ez, zs, sc, ("county", "zone"), per_task=n)[0].select(*T.KEYS, "scope", "zone_idx", "n_deleted", "n_marooned").collect()))
+    assert row(10**6) == row(1)
+
+
 def test_number_of_scenarios_is_checked(spark):
     with pytest.raises(ValueError):
         D.scenarios(spark, [1.5], 1)

@@ -114,10 +114,10 @@ def one_pass(deleted: DataFrame, zones: DataFrame, levels: list[str], scopes: tu
             own = z[z["level"] == level]
             if not len(own):
                 continue
-            known, anchor = own["zone_idx"].to_numpy(np.int64), own["anchor_node"].to_numpy(float)
+            known, anchor, has = own["zone_idx"].to_numpy(np.int64), own["anchor_node"].to_numpy(ids.dtype), own["has"].to_numpy(bool)
             n = int(max(known.max(), zone.max(initial=0))) + 1
-            at = np.searchsorted(ids, np.nan_to_num(anchor, nan=0).astype(ids.dtype)).clip(max=max(len(ids) - 1, 0))
-            found = ~np.isnan(anchor) & (ids[at] == np.nan_to_num(anchor, nan=0)) if len(ids) else np.zeros(len(own), bool)
+            at = np.searchsorted(ids, anchor).clip(max=max(len(ids) - 1, 0))
+            found = has & (ids[at] == anchor) if len(ids) else np.zeros(len(own), bool)
             home_at = np.full(n, -1)
             home_at[known] = np.where(found, at, -1)
             for scope in scopes:
@@ -143,7 +143,8 @@ def one_pass(deleted: DataFrame, zones: DataFrame, levels: list[str], scopes: tu
 
     e = deleted.select(*KEYS, "src", "dst", "length_m", "deleted", *(f"z{i}" for i in range(len(levels))))
     grid = deleted.select(*KEYS).distinct()
-    z = grid.join(zones.select("fips", "level", "zone_idx", "anchor_node"), "fips").select(*(F.col(c).alias(c) for c in (*KEYS, "level", "zone_idx", "anchor_node")))
+    homes = zones.select("fips", "level", "zone_idx", F.coalesce("anchor_node", F.lit(0)).alias("anchor_node"), F.col("anchor_node").isNotNull().alias("has"))  # no null, so that ids stay whole numbers
+    z = grid.join(homes, "fips").select(*(F.col(c).alias(c) for c in (*KEYS, "level", "zone_idx", "anchor_node", "has")))
     found = frozen(e.groupBy(*KEYS).cogroup(z.groupBy(*KEYS)).applyInPandas(each, schema))
     counted = found.where("level is not null").select(*KEYS, "level", "zone_idx", "n_total", "n_deleted", "n_marooned", "km_total", "km_lost", "scope")
     return counted, found.where("level is null").select(*KEYS, "giant_frac", "second_frac", "n_components")

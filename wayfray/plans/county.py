@@ -64,7 +64,7 @@ def outcomes(codes: DataFrame, raw: DataFrame, net: DataFrame, zones: DataFrame,
 
 
 def run_layers(raw: DataFrame, polygons: dict[str, DataFrame], fips: str, **kw) -> dict[str, DataFrame]:
-    """The same of one county whose layers are given, without their ``fips``; a road set that leaves nothing is an error."""
+    """The same of one county whose layers are given without ``fips``."""
     code = F.lit(fips)
     return run_batch(raw.withColumn("fips", code), {level: p.withColumn("fips", code) for level, p in polygons.items()}, **kw)
 
