@@ -57,7 +57,7 @@ def distances(deleted: DataFrame, places: DataFrame, per_task: int = PER_TASK) -
     def each(key, edges: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         node, dist = shortest(edges["src"].to_numpy(np.int64), edges["dst"].to_numpy(np.int64), edges["length_m"].to_numpy(float), own["node"].to_numpy(np.int64))
         met = np.isfinite(dist)
-        return pd.DataFrame({**dict(zip(KEYS, key, strict=True)), "node": node[met], "dist": dist[met]})[[*KEYS, "node", "dist"]]
+        return pd.DataFrame({**dict(zip(KEYS, key, strict=True)), "node": node[met], "dist": dist[met]})[[*KEYS, "node", "dist"]].astype(object)
 
     asked = grid.join(starts, "fips").select(*(F.col(c).alias(c) for c in (*KEYS, "node")))
     return alive.groupBy(*KEYS).cogroup(asked.groupBy(*KEYS)).applyInPandas(each, ", ".join(f"{c} {kinds[c]}" for c in KEYS) + f", node {kinds['src']}, dist double")

@@ -68,7 +68,9 @@ def _dealt(net: DataFrame, sc: DataFrame, table: dict[str, float] | None) -> Dat
     """The edges under each scenario, with _w (weight), _score (0 if not given), _target, _m, and the county's mean weight and largest score."""
     e = net.withColumns({"_w": _unfit(net, table), "_score": F.round("betweenness", 6) if "betweenness" in net.columns else F.lit(0.0)})
     size = e.groupBy("fips").agg(F.count("*").alias("_m"), F.avg("_w").alias("_mean"), F.max("_score").alias("_top"))
-    return e.join(size, "fips").crossJoin(F.broadcast(sc)).withColumn("_target", F.rint(F.col("p") * F.col("_m")))  # the grid is a list of the caller's
+    cores = net.sparkSession.sparkContext.defaultParallelism
+    spread = e.join(size, "fips").repartition(cores, "fips", "edge_id")  # before each row becomes one for each scenario
+    return spread.crossJoin(F.broadcast(sc)).withColumn("_target", F.rint(F.col("p") * F.col("_m")))  # the grid is a list of the caller's
 
 
 def _key(bits: Column, weight: str, score: str) -> Column:

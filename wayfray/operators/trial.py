@@ -139,7 +139,7 @@ def one_pass(deleted: DataFrame, zones: DataFrame, levels: list[str], scopes: tu
             rows.append(pd.DataFrame({"giant_frac": [size[-1] / live if len(size) else 0.0], "second_frac": [size[-2] / live if len(size) > 1 else 0.0], "n_components": [len(size)]}))
         out = pd.concat([r.astype(object) for r in rows], ignore_index=True) if rows else pd.DataFrame({"level": []})  # whole numbers stay whole beside nulls
         names = ["level", "scope", "zone_idx", "n_total", "n_deleted", "n_marooned", "km_total", "km_lost", "giant_frac", "second_frac", "n_components"]
-        return out.reindex(columns=names).assign(**dict(zip(KEYS, key, strict=True)))[[*KEYS, *names]]
+        return out.reindex(columns=names).assign(**dict(zip(KEYS, key, strict=True)))[[*KEYS, *names]].astype(object)
 
     e = deleted.select(*KEYS, "src", "dst", "length_m", "deleted", *(f"z{i}" for i in range(len(levels))))
     grid = deleted.select(*KEYS).distinct()
