@@ -11,11 +11,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import PER_TASK, frozen, release
+from .components import frozen, release
 from .nearest import nearest_join
 from .network import nodes
 from .trial import KEYS
 
+#: Edges of a county under a scenario that a task may hold.
+PER_TASK = 5_000_000
+
 
 def snap(facilities: DataFrame, net: DataFrame, cell: float = 500.0) -> DataFrame:
     """fips, id, node, gap: the node nearest to each facility (fips, id, x, y)."""

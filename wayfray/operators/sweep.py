@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..schemas import GLOBAL_COLUMNS, ZONE_COLUMNS
 from .components import PER_TASK, frozen
 from .deletion import deletions
-from .trial import KEYS, diagnostics, one_pass, per_zone, surviving_labels, zone_columns, zone_labels
+from .trial import KEYS, diagnostics, memberships, one_pass, per_zone, surviving_labels, zone_columns, zone_labels
 
 
 def global_table(counts: DataFrame, diag: DataFrame | None, label: str | None = None) -> DataFrame:
@@ -52,11 +52,12 @@ def trials(net: DataFrame, edge_zone: DataFrame, zones: DataFrame, sc: DataFrame
         levels = sorted(r["level"] for r in zones.select("level").distinct().collect())  # the levels asked for
         counts, diag = one_pass(deletions(frozen(zone_columns(net, edge_zone, levels)), sc, table), zones, levels, tuple(scopes), strict)
         return counts, diag if "county" in scopes else None
-    gone = frozen(deletions(net, sc, table))
+    zoned = frozen(memberships(net, edge_zone))
+    gone = frozen(deletions(zoned, sc, table).select(*KEYS, "edge_id", "src", "dst", "length_m", "deleted", "_in"))
     labels = frozen(surviving_labels(gone, per_task)) if "county" in scopes else None
     counts = None
     for scope in scopes:
-        c = per_zone(gone, edge_zone, zones, scope, strict, labels if scope == "county" else zone_labels(gone, edge_zone, strict, per_task))
+        c = per_zone(gone, edge_zone, zones, scope, strict, labels if scope == "county" else frozen(zone_labels(gone, edge_zone, strict, per_task)))
         counts = c if counts is None else counts.unionByName(c)
     return frozen(counts), diagnostics(gone, labels) if labels is not None else None
 
