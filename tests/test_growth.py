@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from wayfray.operators import components as K
+from wayfray.operators import nearest
 
 
 def test_contraction_needs_no_star_rounds_on_a_strip(spark, monkeypatch):
@@ -30,3 +31,14 @@ def test_a_large_graph_is_not_one_task(spark, monkeypatch):
     got = K.components(e, ["g"]).groupBy("label").count()
     assert got.count() == 300 and got.where("count <> 1000").count() == 0
     assert sizes and max(sizes) < 1000
+
+
+def test_targets_in_one_place_are_met_once(spark, monkeypatch):
+    met = []
+    own = nearest.frozen
+    monkeypatch.setattr(nearest, "frozen", lambda df: (met.append((df.columns, df.count())), own(df))[1])
+    points = spark.range(50).select("id", (F.col("id") % 7).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    targets = spark.range(400).select((F.col("id") + 5).alias("target"), (F.col("id") % 2 * 6).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    got = {r["id"]: (r["target"], r["gap"]) for r in nearest.nearest_join(points, targets, 4.0).collect()}
+    assert got == {i: (5, float(i % 7)) if i % 7 <= 3 else (6, 6.0 - i % 7) for i in range(50)}
+    assert [n for columns, n in met if "target" in columns and "gap" not in columns] == [2]

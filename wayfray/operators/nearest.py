@@ -16,6 +16,7 @@ def nearest_join(points: DataFrame, targets: DataFrame, cell: float, by: list[st
     to ``digits`` decimals. Points without any target have no row."""
     by = by or []
     left = frozen(points.select(*by, "id", F.col("x").alias("_px"), F.col("y").alias("_py")).where("_px is not null and _py is not null"))
+    targets = frozen(targets.where("x is not null and y is not null").groupBy(*by, "x", "y").agg(F.min("target").alias("target")))  # of those in one place the least is met
     some = targets.select(*by).distinct() if by else None
     left = frozen(left.join(some, by, "left_semi")) if by else left if not targets.isEmpty() else left.where("false")
     out = None
