@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wayfray.operators import components as K
 from wayfray.operators import nearest
+from wayfray.operators import zoning as Z
 
 
 def test_contraction_needs_no_star_rounds_on_a_strip(spark, monkeypatch):
@@ -42,3 +43,17 @@ def test_targets_in_one_place_are_met_once(spark, monkeypatch):
     got = {r["id"]: (r["target"], r["gap"]) for r in nearest.nearest_join(points, targets, 4.0).collect()}
     assert got == {i: (5, float(i % 7)) if i % 7 <= 3 else (6, 6.0 - i % 7) for i in range(50)}
     assert [n for columns, n in met if "target" in columns and "gap" not in columns] == [2]
+
+
+def test_points_stay_where_they_are_for_a_handful_of_centres(spark):
+    """A round over a county's points doesn't gather them by county."""
+    points = spark.createDataFrame([("1", i, float(i), 0.0) for i in range(100)], "fips string, edge_id long, mid_x double, mid_y double")
+    centres = spark.createDataFrame([("1", 0, 20.0, 0.0), ("1", 1, 80.0, 0.0)], "fips string, zone_idx int, x double, y double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = Z.nearest_centre(points, centres)
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert {r["zone_idx"]: r["count"] for r in near.groupBy("zone_idx").count().collect()} == {0: 51, 1: 49}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
