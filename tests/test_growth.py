@@ -57,3 +57,19 @@ def test_points_stay_where_they_are_for_a_handful_of_centres(spark):
         assert {r["zone_idx"]: r["count"] for r in near.groupBy("zone_idx").count().collect()} == {0: 51, 1: 49}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_betweenness_of_a_county_of_a_million_edges_is_dealt_by_sources(spark, monkeypatch):
+    """Two sources a task, each row of a task an edge alone; no joins by levels."""
+    from wayfray.operators import betweenness as B
+
+    def levels(*args, **kw):
+        raise AssertionError("joins by levels")
+
+    monkeypatch.setattr(B, "levels_betweenness", levels)
+    n = 1_000_100
+    star = spark.range(n).select(F.lit("1").alias("fips"), F.col("id").alias("edge_id"), F.lit(-1).cast("long").alias("src"), F.col("id").alias("dst"))
+    got = B.edge_betweenness(star, 2)
+    low, high, total = got.agg(F.min("betweenness"), F.max("betweenness"), F.count("*")).first()
+    scale = (n + 1) / 2
+    assert total == n and abs(low - 2 * scale) < 1e-3 and abs(high - (n + 1) * scale) < 1e-3 * scale
