@@ -1014,6 +1014,45 @@ def test_ids_of_added_tokens_marks_and_private_characters():
     assert np.frombuffer(ids.of_text(b"foo <|ENDOFTEXT|> bar"), "<u4").tolist() == [23435, 27, 347, 40786, 4160, 91, 285, 2411]
 
 
+def test_runs_of_latin_words_are_encoded_once():
+    """Words that differ by their signs share what the tokenizer is given, and ids are those of the whole text."""
+    rng = random.Random(32)
+    names = sorted({"".join(rng.choices("abcdeéüß", k=9)) for _ in range(300)})
+    ids, whole, sent = packing.WordIds(tokenizer_path()), packing.tokenizer(tokenizer_path()), []
+
+    def counted(batch):
+        return lambda texts, **how: sent.extend(map(len, texts)) or batch(texts, **how)
+
+    for name in ("batch", "runs"):
+        if hasattr(ids, name):
+            setattr(ids, name, counted(getattr(ids, name)))
+    text = " ".join(n + end for end in ("", ",", ".", "!!", "'s", "7", "'x") for n in names)
+    assert bytes(ids.of_text(text.encode())) == packing.pack_ids(whole.encode(text, add_special_tokens=False).ids)
+    assert sum(sent) < 1.1 * sum(len(n) + 1 for n in names)
+    bits = [*map(chr, range(256)), *"   \n'", "'S", "'ll", "</w>", "don't", "Éa", "A\u030a", "\u0131", "я", "\u2028", "\u03a3"]
+    for k in range(3000):
+        if k % 100 == 0:
+            ids.clear()
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(14)))
+        assert ids.of_text(text.encode()) == packing.pack_ids(whole.encode(text, add_special_tokens=False).ids), text
+
+
+def test_a_known_text_costs_the_same_however_many_words_are_remembered():
+    import time
+
+    ids = packing.WordIds(tokenizer_path())
+
+    def took():
+        began = time.process_time()
+        for _ in range(50):
+            ids.of_text(b"some words that are known")
+        return time.process_time() - began
+
+    one = min(took() for _ in range(3))
+    ids.update((f"#{k}", b"") for k in range(450_000))
+    assert min(took() for _ in range(3)) < 4 * one + 0.05
+
+
 def test_other_tokenizers_encode_whole_texts(tmp_path):
     import json
 

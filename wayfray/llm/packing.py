@@ -18,6 +18,7 @@ from __future__ import annotations
 import bisect
 import json
 import math
+import re
 import sys
 import zlib
 from array import array
@@ -26,11 +27,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_map, binary, frozen
+from .common import arrow_map, frozen
 
 
 @lru_cache(1)
@@ -42,15 +44,17 @@ def tokenizer(path: str):
 
 #: The splitting pattern of tokenizers whose words can be encoded one by one (a fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words that no normal form changes and whose lower case is that of each letter, and ``SPLIT`` for them in lower case.
+LATIN, RUN = re.compile("[!-~À-ÖØ-öø-ÿ]+"), re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
 #: Stands between words that are encoded together and are not of letters only; words that hold it are encoded alone.
-_BETWEEN = b"\x7f"
-_GAP = b" \x7f "
-#: Words encoded at a time, and the longest that are (bytes).
-TOGETHER, LONGEST = 1000, 64
+_BETWEEN = "\x7f"
+_GAP = " \x7f "
+#: Words encoded at a time, and the longest that are remembered (characters).
+TOGETHER, LONGEST = 250, 64
 
 
 @lru_cache(1)
-def parts_of(path: str) -> tuple[bool, tuple[bytes, ...]]:
+def parts_of(path: str) -> tuple[bool, tuple[str, ...]]:
     """Whether a tokenizer folds case and splits at white space as ``WordIds`` relies on, and its added tokens in lower case."""
     s = json.loads(tokenizer(path).to_str())
     listed = lambda x, key: [] if x is None else x[key] if x["type"] == "Sequence" else [x]
@@ -60,7 +64,22 @@ def parts_of(path: str) -> tuple[bool, tuple[bytes, ...]]:
         [x["type"] for x in norm] == ["NFC", "Replace", "Lowercase"] and norm[1]["pattern"] == {"Regex": r"\s+"} and norm[1]["content"] == " "
         and first.get("type") == "Split" and first["pattern"] == {"Regex": SPLIT} and (first["behavior"], first["invert"]) == ("Removed", True) and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] for x in pre[1:])
     )
-    return fine, tuple(x["content"].lower().encode() for x in s["added_tokens"])
+    return fine, tuple(x["content"].encode().lower().decode() for x in s["added_tokens"])
+
+
+def bare_tokenizer(path: str):
+    """The tokenizer of ``path`` for runs between spaces: without normaliser, splitting pattern and added tokens."""
+    from tokenizers import Tokenizer
+
+    s = json.loads(tokenizer(path).to_str())
+    pre = s["pre_tokenizer"]
+    rest = pre["pretokenizers"][1:] if pre["type"] == "Sequence" else []
+    s |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *rest]}}
+    return Tokenizer.from_str(json.dumps(s))
+
+
+def batches_of(tok):
+    return getattr(tok, "encode_batch_fast", tok.encode_batch)
 
 
 class WordIds(dict):
@@ -68,73 +87,97 @@ class WordIds(dict):
 
     The tokenizer's pre-tokenizer never joins characters across white space, so a text's
     ids are those of its words, one after another. It also folds case, so words are taken
-    in lower case (``_split``). That holds for tokenizers of the form that ``parts_of``
-    looks for; with others, and for texts that hold an added token in any case (added tokens
-    are matched in the raw text), whole texts are encoded. Memory is bounded by ``most`` words."""
+    in lower case. That holds for tokenizers of the form that ``parts_of`` looks for; with
+    others, and for texts that hold an added token in any case (added tokens are matched in
+    the raw text), whole texts are encoded. A batch's distinct words are looked up once;
+    Latin words are encoded by their runs of letters, digits and signs, each run once.
+    Memory is bounded by ``most`` words and runs, and those of a batch."""
 
     def __init__(self, path: str, most: int = 500_000):
         self.by_words, self.added = parts_of(path)
         self.encode, self.most = tokenizer(path).encode, most
-        self.batch = getattr(tokenizer(path), "encode_batch_fast", tokenizer(path).encode_batch)
+        self.batch = batches_of(tokenizer(path))
         between = np.frombuffer(self[_BETWEEN], "<u4")
         self.between = int(between[0]) if len(between) == 1 else None
         suffix = (json.loads(tokenizer(path).to_str())["model"].get("end_of_word_suffix") or "") if self.by_words else ""
         vocabulary = tokenizer(path).get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # which ids end a run of letters, digits or signs
         self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.runs = batches_of(bare_tokenizer(path)) if self.ends.any() else None
 
-    def __missing__(self, word: bytes) -> bytes:
-        return pack_ids(self.encode(word.decode(), add_special_tokens=False).ids)
+    def __missing__(self, word: str) -> bytes:
+        return pack_ids(self.encode(word, add_special_tokens=False).ids)
 
-    def of_texts(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text; the words that are new to any of them are encoded together."""
-        split = [self._split(t) for t in texts]
-        new = set().union(*(w for w in split if w is not None)) - self.keys()
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = set().union(*(w for w in split if w is not None))
-        self.learn(new)
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                yield pack_ids(self.encode(text.decode(), add_special_tokens=False).ids)
-            else:
-                yield b"".join(map(self.__getitem__, words))
+    def of_texts(self, texts: pa.Array) -> Iterator[bytes | memoryview]:
+        """The ids of each of an array of strings without nulls."""
+        low, raw = pc.ascii_lower(texts), texts.cast(pa.binary())
+        whole = np.full(len(texts), not self.by_words)
+        for t in self.added:
+            whole |= pc.match_substring(low, t).to_numpy(zero_copy_only=False)
+        # combining marks may compose with a letter of either case: their texts stay as they are
+        marked = pc.or_(pc.match_substring(raw, b"\xcc"), pc.match_substring(raw, b"\xcd"))
+        lists = pc.ascii_split_whitespace(pc.if_else(pa.array(whole), "", pc.if_else(marked, texts, low)))
+        words = lists.flatten().dictionary_encode()
+        ids = pa.array(self.of_words(words.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(words.indices)
+        at = np.concatenate([[0], np.cumsum(pc.binary_length(ids).to_numpy())])[lists.offsets.to_numpy()].tolist()
+        data = memoryview(ids.buffers()[2] or b"").cast("B")
+        for k, alone in enumerate(whole.tolist()):
+            yield self.__missing__(texts[k].as_py()) if alone else data[at[k] : at[k + 1]]
 
     def of_text(self, text: bytes) -> bytes:
-        return next(self.of_texts([text]))
+        return bytes(next(self.of_texts(pa.array([text.decode()], pa.string()))))
 
-    def _split(self, text: bytes) -> list[bytes] | None:
-        """The words that the text's ids follow from; None: the text must be encoded whole."""
-        low = text.lower()
-        if not self.by_words or any(t in low for t in self.added):
-            return None
-        # combining marks may compose with a letter of either case: their texts stay as they are
-        return (text if b"\xcc" in text or b"\xcd" in text else low).split()
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words; the new ones are encoded together."""
+        known = list(map(self.get, words))
+        new = [k for k, ids in enumerate(known) if ids is None]
+        if len(self) + len(new) > self.most:
+            self.clear()
+        self.learn([words[k] for k in new])
+        for k in new:
+            known[k] = self[words[k]]
+        return known
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[str]) -> None:
         """Encodes new words together and, but for the longest, remembers them.
 
-        A word of letters is one run, whose last id has the suffix of ends; so such words need nothing between them."""
-        plain, mixed = [], []
+        The last id of a run has the suffix of ends; so runs, and words that are one run of letters, need nothing between them."""
+        latin, alone, plain, mixed = [], set(), [], []
         for w in words:
-            if len(w) <= LONGEST and _BETWEEN not in w:
-                (plain if w.decode().isalpha() else mixed).append(w)
-        for k in range(0, len(plain), TOGETHER):
-            part = plain[k : k + TOGETHER]
-            ids = np.array(self.batch([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(part) and stops[-1] == len(ids):
-                self._remember(part, ids, np.concatenate([[0], stops[:-1]]), stops)
-            else:
-                mixed += part
+            if len(w) <= LONGEST:
+                if self.runs and LATIN.fullmatch(w):
+                    runs = RUN.findall(w.lower())
+                    alone.update(runs)
+                    if runs != [w]:
+                        latin.append((w, runs))
+                elif w.isalpha():
+                    plain.append(w)
+                elif w and _BETWEEN not in w:
+                    mixed.append(w)
+        self._by_ends(self.runs, [r for r in alone if r not in self])
+        self.update((w, b"".join(map(self.__getitem__, runs))) for w, runs in latin)
+        mixed += self._by_ends(self.batch, plain)
         for k in range(0, len(mixed) if self.between is not None else 0, TOGETHER):
             part = mixed[k : k + TOGETHER]
-            ids = np.array(self.batch([_GAP.join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.batch([_GAP.join(part)], add_special_tokens=False)[0].ids, "<u4")
             gaps = np.flatnonzero(ids == self.between)
             if len(gaps) == len(part) - 1:
                 self._remember(part, ids, np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(ids)]]))
 
-    def _remember(self, words: list[bytes], ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
+    def _by_ends(self, batch, words: list[str]) -> list[str]:
+        """Remembers words of one run each; returns those that did not come out as such."""
+        left = []
+        for k in range(0, len(words), TOGETHER):
+            part = words[k : k + TOGETHER]
+            ids = np.array(batch([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part) and stops[-1] == len(ids):
+                self._remember(part, ids, np.concatenate([[0], stops[:-1]]), stops)
+            else:
+                left += part
+        return left
+
+    def _remember(self, words: list[str], ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
         raw = ids.tobytes()
         self.update((w, raw[a:b]) for w, a, b in zip(words, (4 * starts).tolist(), (4 * stops).tolist(), strict=True))
 
@@ -157,8 +200,8 @@ def pieces(docs: DataFrame, path: str, room: int = 2048) -> DataFrame:
         words = word_ids(path)
         for b in batches:
             ids_col, out = b.column("doc_id").to_pylist(), ([], [], [], [], [])
-            for doc, ids in zip(ids_col, words.of_texts([t or b"" for t in binary(b, "text")]), strict=True):
-                ids += bytes(4)
+            for doc, ids in zip(ids_col, words.of_texts(b.column("text").fill_null("")), strict=True):
+                ids = b"".join((ids, bytes(4)))
                 for k, at in enumerate(range(0, len(ids), 4 * room)):
                     piece = ids[at : at + 4 * room]
                     for c, v in zip(out, (doc, k, at // 4, len(piece) // 4, zlib.crc32(piece)), strict=True):
