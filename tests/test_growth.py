@@ -73,3 +73,31 @@ def test_betweenness_of_a_county_of_a_million_edges_is_dealt_by_sources(spark, m
     low, high, total = got.agg(F.min("betweenness"), F.max("betweenness"), F.count("*")).first()
     scale = (n + 1) / 2
     assert total == n and abs(low - 2 * scale) < 1e-3 and abs(high - (n + 1) * scale) < 1e-3 * scale
+
+
+def test_betweenness_of_a_county_of_millions_of_edges_is_not_joined_by_levels(spark, monkeypatch):
+    """Above 1,500,000 edges sources are dealt to tasks too."""
+    from wayfray.operators import betweenness as B
+
+    def levels(*args, **kw):
+        raise AssertionError("joins by levels")
+
+    monkeypatch.setattr(B, "levels_betweenness", levels)
+    n = 1_600_000
+    star = spark.range(n).select(F.lit("1").alias("fips"), F.col("id").alias("edge_id"), F.lit(-1).cast("long").alias("src"), F.col("id").alias("dst"))
+    got = B.edge_betweenness(star, 1)
+    assert got.agg(F.count("*"), F.countDistinct("edge_id")).first() == (n, n)
+    assert B.PER_TASK >= 6_600_000
+
+
+def test_paths_beyond_a_double_are_counted():
+    """A full grid of 1,100 by 1,100 has up to 10 ** 660 shortest paths; dependencies sum up to the depths of all nodes."""
+    import numpy as np
+
+    from wayfray.operators import betweenness as B
+
+    w = 1100
+    f = np.arange(w * w)
+    a, b = f[f % w + 1 < w], f[f + w < w * w]
+    got = B.dependencies(np.concatenate([a, b]), np.concatenate([a + 1, b + w]), np.array([0]))
+    assert np.isfinite(got).all() and abs(got.sum() - (f % w + f // w).sum()) < 1
