@@ -299,6 +299,27 @@ def test_powerlaw(spark, n):
         assert math.isclose(r["alpha"], a, rel_tol=1e-9) and math.isclose(r["ks"], ks, rel_tol=1e-9)
 
 
+def test_fitted_tail_tries_every_size(spark, monkeypatch):
+    """Of 231 candidate sizes the best start of the tail is one that an even choice of 200 leaves out."""
+    from wayfray.plans import queries
+
+    rng = random.Random(6)
+    x = [int(rng.paretovariate(0.6)) for _ in range(2500)]
+    u, total = sorted(set(x))[:-10], len(x)
+    best = (math.inf, None, None, 0)
+    for m in u:
+        t = sorted(v for v in x if v >= m)
+        if len(t) >= 20:
+            a = 1 + len(t) / sum(math.log(v / (m - 0.5)) for v in t)
+            best = min(best, (max(abs(i / len(t) - (1 - (v / (m - 0.5)) ** (1 - a))) for i, v in enumerate(t)), m, a, len(t)))
+    _, m, a, k = best
+    assert len(u) > 200 and m not in {u[i * (len(u) - 1) // 199] for i in range(200)}
+    monkeypatch.setattr(queries, "_hist", lambda spark, d: P.histogram(spark.createDataFrame([("1", v) for v in x], "fips string, size long"), ["fips"]))
+    got = {r["size"]: r["fitted"] for r in queries.fitted_tail(spark, "").collect()}
+    assert got.keys() == {v for v in x if v >= m}
+    assert all(abs(got[v] - k / total * (v / m) ** (1 - a)) < 2e-6 for v in got)
+
+
 def test_scores_and_fit(spark):
     rows = [("1", "v", "county", f"Z{k}", 100, 0.002 * k**1.5) for k in range(1, 30)] + [("2", "v", "county", "Z", 10, 0.0)]
     z = spark.createDataFrame(rows, "fips string, level string, scope string, zone_id string, n_edges long, frag_marooned double")

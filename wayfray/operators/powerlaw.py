@@ -30,10 +30,14 @@ def ccdf(hist: DataFrame, by: list[str]) -> DataFrame:
     return hist.withColumn("ccdf", at_least / F.sum("n").over(w))
 
 
-def candidates(hist: DataFrame, by: list[str], most: int = 200, spare: int = 10) -> DataFrame:
-    """by..., xmin: all distinct sizes but the ``spare`` largest, thinned evenly to ``most``."""
+def candidates(hist: DataFrame, by: list[str], most: int | None = 200, spare: int = 10) -> DataFrame:
+    """by..., xmin: all distinct sizes but the ``spare`` largest, thinned evenly to ``most``, or whole with None.
+
+    Of k distinct sizes a fit meets k * (k + 1) / 2 pairs, which for cluster sizes are no more than the pooled nodes."""
     w = W.partitionBy(*by)
     c = hist.select(*by, "size").withColumns({"_i": F.row_number().over(w.orderBy("size")) - 1, "_n": F.count("*").over(w) - spare}).where("_i < _n")
+    if most is None:
+        return c.select(*by, F.col("size").alias("xmin"))
     picks = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.floor(i * (F.col("_n") - 1) / (most - 1)))
     return c.where((F.col("_n") <= most) | F.array_contains(picks, F.col("_i").cast("bigint"))).select(*by, F.col("size").alias("xmin"))
 
